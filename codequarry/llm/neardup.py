@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from .workspace import written
 
 HALF = 3  # min-hashes in each half of a table key
 SKETCH = 64  # one byte of each of so many min-hashes estimates a pair's similarity
+FIRST_REPS = 4  # likeliest representatives that a node is confirmed against before the turn across components
 FILTER_BITS = 1 << 24
 BROADCAST_PAIRS = 500_000
 
@@ -106,6 +109,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return one.join(two, ["a", "b"]).where(common * den >= (F.size("x") + F.size("y") - common) * num).select("a", "b").distinct()
 
 
+def _across(nodes: DataFrame, sets: DataFrame, m: int, agree: int, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes ``(id, c, left, right, sketch)`` of different components c that share a table key.
+
+    A pair meets under the first left triple that it shares, once, and the join itself compares the sketches and the
+    full sets, so that only links leave it.
+    """
+    slots = nodes.select("id", "c", F.posexplode("left").alias("slot", "h"))
+    mixed = written(slots.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"), "mixed")
+    rows = slots.join(mixed, "h", "left_semi").join(nodes.drop("c").join(sets, "id"), "id")
+    rows = written(rows, "slots")
+    x, y = rows.alias("x"), rows.alias("y")
+    first = [(F.col("x.slot") <= k) | (F.col("x.left")[k] != F.col("y.left")[k]) for k in range(m)]
+    right = [F.col("x.right")[k] == F.col("y.right")[k] for k in range(m)]
+    common = F.size(F.array_intersect("x.shingles", "y.shingles")).cast("long")
+    union = F.size("x.shingles") + F.size("y.shingles") - common
+    tests = [F.col("x.h") == F.col("y.h"), F.col("x.id") < F.col("y.id"), F.col("x.c") != F.col("y.c"), *first, reduce(or_, right), _agreeing(F.col("x.sketch"), F.col("y.sketch")) >= agree, common * den >= union * num]
+    return x.join(y, reduce(and_, tests)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5) -> DataFrame:
     """Link documents whose shingle sets have Jaccard similarity of at least num/den; a row for each row of ``docs``.
 
@@ -114,7 +136,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     Documents with equal sets are one node.  Triples and keys that only one node has are dropped by counting; in each
     shared key nodes are compared with a representative, and what these links leave apart is compared across
     components in a second turn, so no bucket is expanded into all its pairs and none is capped.  A one-byte sketch
-    skips pairs that are far below the threshold (over four standard deviations); every link is confirmed on full sets.
+    skips pairs that are far below the threshold (3.5 standard deviations); every link is confirmed on full sets.
 
     Texts without words, and null texts, link with nothing (n_shingles 0).  Rows that repeat a doc_id are judged by
     their own texts.  Rows with a null doc_id are returned with a null component_id and kept.  Other columns of
@@ -122,7 +144,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     m = tables_per_side(num / den)
-    agree = math.floor(SKETCH * num / den - 4.3 * math.sqrt(SKETCH * num / den * (1 - num / den)))
+    agree = math.floor(SKETCH * num / den - 3.5 * math.sqrt(SKETCH * num / den * (1 - num / den)))
     sketched = written(docs.mapInArrow(_sketch(m, words), "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>, sketch array<long>"), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     leaders = written(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "leaders")
@@ -141,19 +163,16 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     sketch = nodes.select("id", "sketch")
     first = members.where("id <> rep").select("id", "rep").distinct()
     first = first.join(sketch, "id").withColumnRenamed("sketch", "x").join(sketch.withColumnsRenamed({"id": "rep"}), "rep").withColumn("like", _agreeing(F.col("x"), F.col("sketch"))).where(F.col("like") >= agree)
-    best = first.groupBy("id").agg(F.max(F.struct("like", "rep"))["rep"].alias("rep"))
+    best = first.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("like", "rep")), asc=False), 1, FIRST_REPS).alias("r")).select("id", F.explode("r.rep").alias("rep"))
     pairs = written(best.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct(), "pairs")
     links = written(_confirmed(pairs, sets, num, den), "links")
     groups = written(connected_components(links), "groups")
 
     at = written(members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
     split = written(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "split")
-    left = written(at.join(split, "key", "left_semi").join(sketch, "id"), "left")
-    x, y = left.alias("x"), left.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (_agreeing(F.col("x.sketch"), F.col("y.sketch")) >= agree)
-    pairs = written(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(_confirmed(pairs, sets, num, den))
+    apart = written(at.join(split, "key", "left_semi").select("id", "c").distinct(), "apart")
+    if not apart.isEmpty():
+        links = links.union(written(_across(apart.join(nodes, "id"), sets, m, agree, num, den), "across"))
         groups = written(connected_components(links), "groups")
 
     node_of = leaders.join(groups, leaders["node"] == groups["id"], "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
