@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
+from .decontaminate import contaminated
+from .langid import fit_languages, identify
+from .mixing import mix_sources
 from .neardup import near_duplicates
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100, words=5)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(remainder(3) != 1).select("doc_id", "toxic")
+    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return score_toxicity(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(remainder(5) != 0))
+    return identify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict:
-    return {"op1_minhash_neardup": op1_minhash_neardup}
+    return {f.__name__: f for f in (op1_minhash_neardup, op3_source_mixing, op7_decontamination, op8_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
