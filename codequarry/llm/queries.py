@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .decontaminate import contaminated
+from .html import extract_pages
 from .langid import fit_languages, identify
+from .lm import score_documents
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .toxicity import fit_toxicity, score_toxicity
@@ -30,6 +32,15 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, remainder(5) != 1).withColumn("held_out", remainder(5) == 1)
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op3_source_mixing, op7_decontamination, op8_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op3_source_mixing, op5_lm_scoring, op6_html_extraction, op7_decontamination, op8_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
