@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from . import sql
 from .decontaminate import contaminated
 from .html import extract_pages
+from .imatch import fingerprints
 from .langid import fit_languages, identify
+from .licenses import fit_licenses, scan_licenses
 from .lm import score_documents
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .pii import find_pii
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -28,10 +31,19 @@ def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100, words=5)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scan_licenses(docs, fit_licenses(docs.where("text is not null")))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_documents(docs, remainder(5) != 1).withColumn("held_out", remainder(5) == 1)
@@ -52,6 +64,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_languages(docs.where(remainder(5) != 0))
@@ -59,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op3_source_mixing, op5_lm_scoring, op6_html_extraction, op7_decontamination, op8_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op1_minhash_neardup, op2_license_scan, op3_source_mixing, op4_imatch_fingerprint, op5_lm_scoring, op6_html_extraction, op7_decontamination, op8_toxicity, op9_pii, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -208,3 +208,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     for name, w in zip(FEATURES, model.weights):
         logit = logit + F.col(name) * float(w)
     return scored.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"), *FEATURES)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.7) -> DataFrame:
+    """``docs``, whole rows with all their columns, without those scored ``limit`` or more."""
+    rows = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kind = rows.schema["_doc"].dataType.simpleString()
+    logit = F.lit(float(model.weights[-1]))
+    for name, w in zip(FEATURES, model.weights):
+        logit = logit + F.col(name) * float(w)
+    found = rows.mapInArrow(_feature_task(model), f"_doc {kind}, {FEATURE_SCHEMA}")
+    return found.where(1 / (1 + F.exp(-logit)) < limit).select("_doc.*")
