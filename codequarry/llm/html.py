@@ -150,7 +150,7 @@ def infer(pages: list[str]) -> dict:
     """A host's wrapper from sample pages: the expression, its constant texts outside articles, and its main container.
 
     A text that stands at the same path in at least three pages and in nine of ten of all is template, any other is a
-    slot.  Where no article or main element marks the text, the main container is the one whose slots hold most of it.
+    slot; template text inside the main container stays in the result.  Where no article or main element marks the text, the main container is the one whose slots hold most of it.
     """
     wrapper, constant, mass, marked = None, Counter(), Counter(), 0
     for page in pages:
@@ -184,10 +184,9 @@ def main_text(page: str | None, rule: dict | None) -> str:
     if any(s[2] for s in found):
         return " ".join(s[3] for s in found if s[2])
     if rule:
+        inside = [s for s in found if "/".join(s[0]).startswith(rule["main"])] if rule["main"] else []
         fixed = set(rule["fixed"])
-        found = [s for s in found if f"{'/'.join(s[0])}\t{s[3]}" not in fixed]
-        inside = [s for s in found if "/".join(s[0]).startswith(rule["main"])]
-        found = inside or found
+        found = inside or [s for s in found if f"{'/'.join(s[0])}\t{s[3]}" not in fixed]
     return " ".join(s[3] for s in found)
 
 
