@@ -147,7 +147,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     Other columns stay; null texts stay null.
     """
-    rows = keyed(docs.withColumn("_null", F.col("text").isNull()))
+    rows = keyed(docs.select(F.struct("*").alias("_doc"), F.col("text").isNull().alias("_null"), "doc_id", "text"))
     found = written(_in_order(all_spans(rows.select("doc_id", "text", "_key"))), "found")
     found = F.broadcast(found) if found.count() <= SMALL else found
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -159,4 +159,5 @@ def sanitised(docs: DataFrame) -> DataFrame:
     clean = F.aggregate(order, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     rows = rows.join(found, F.col("_key") == F.col("key"), "left")
     changed = rows.withColumn("_text", F.when(~F.col("_null"), F.when(F.col("s").isNull(), text).otherwise(clean)))
-    return changed.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return changed.select(*[new.get(c, F.col(f"_doc.{c}")).alias(c) for c in docs.columns])

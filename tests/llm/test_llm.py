@@ -176,7 +176,7 @@ def test_decontamination(spark, edge, empty):
         assert closest(p, t)[0] == d
     item = "the quick brown fox jumps over the lazy dog and then it runs far away from the bear " * 2
     bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny"), (1, item)], "item_id long, text string")
-    typo = item.replace("quick", "qu1ck").upper().replace(" ", "  ")
+    typo = item.replace("quick", "qu1ck", 1).upper().replace(" ", "  ")
     docs = frame(spark, [(1, "xx " + item + " yy", "en", "a"), (2, "aa " + typo, "en", "a"), (3, "clean text of no matter", "en", "a"), (4, item[:60], "en", "a"), (5, "a tiny one", "en", "a"), (6, "destiny", "en", "a")])
     assert {(r["doc_id"], r["items"]) for r in contaminated(docs, bench).collect()} == {(1, "1"), (2, "1"), (5, "3")}
     assert [r["distance"] for r in benchmark_matches(docs.where("doc_id = 2"), bench).collect()] == [1]
