@@ -94,7 +94,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, supp
     have = spans.select("key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     terms = written(pairs.select("term").distinct(), "terms")
     terms = F.broadcast(terms) if terms.count() <= SMALL else terms
-    used = docs.select(F.explode(F.array_distinct(words("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    used = docs.select(F.explode(F.array_distinct(words("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(terms, "term")
     n = docs.count()
     told = both.join(have, "entity").join(used, "term")
     pmi = F.log(F.col("both") * F.lit(float(n)) / (F.col("with_entity") * F.col("with_term")))
