@@ -5,17 +5,21 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
+from bisect import bisect_left
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import written
 
-PAGES_PER_HOST = 24
+GROUP = 32  # streams, or wrappers of streams, that one call aligns on average
+LONG = 1_000_000  # cells of an alignment table; longer streams are aligned greedily
+SMALL = 200_000  # hosts that may be broadcast
 BROADCAST_BYTES = 8_000_000
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>"
@@ -88,7 +92,7 @@ def segments(page: str | None):
             if name == "body":
                 stack = [s for s in stack if s[0] == "html"]
             out = (name in EXCLUDED_TAGS and not (main and name != "head")) or name == "title" or role in EXCLUDED_ROLES or (bool(words & EXCLUDED_NAMES) and name not in ("html", "body") and not (main and name == "main"))
-            stack.append((name, ".".join([name, *sorted(words)[:3]]), out, main))
+            stack.append((name, ".".join([name, *sorted(words)[:3]]).replace("/", "|"), out, main))
     if at < len(page):
         held.append(page[at:])
     yield from flush()
@@ -125,6 +129,8 @@ def align(wrapper: list, page: list) -> list:
         return x == y or x[0] == "rep" and x[1] == (y,) or y[0] == "rep" and y[1] == (x,)
 
     n, m = len(wrapper), len(page)
+    if n * m > LONG:
+        return _greedy(wrapper, page)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -146,28 +152,45 @@ def align(wrapper: list, page: list) -> list:
     return out
 
 
-def infer(pages: list[str]) -> dict:
-    """A host's wrapper from sample pages: the expression, its constant texts outside articles, and its main container.
+def _greedy(wrapper: list, page: list) -> list:
+    """As :func:`align`, in linear memory: each token of the wrapper takes the next equal one of the page."""
+    places: dict = {}
+    for j, y in enumerate(page):
+        places.setdefault(y[1] if y[0] == "opt" else y, []).append(j)
+    opt = lambda x: x if x[0] == "opt" else ("opt", x)
+    out, at = [], 0
+    for x in wrapper:
+        there = places.get(x[1] if x[0] == "opt" else x, [])
+        k = bisect_left(there, at)
+        if k < len(there):
+            out += map(opt, page[at : there[k]])
+            out.append(x if x[0] == "opt" else page[there[k]])
+            at = there[k] + 1
+        else:
+            out.append(opt(x))
+    return out + list(map(opt, page[at:]))
+
+
+def stream(found: list) -> list:
+    """A page's blocks as folded slots ``("slot", path, kind)``; kind tells what is excluded and what main elements hold."""
+    return fold([k for k, _ in groupby(("slot", "/".join(path), _kind(out, main)) for path, out, main, _ in found)])
+
+
+def _kind(out: bool, main: bool) -> str:
+    return "out" if out else "main" if main else ""
+
+
+def slots(tokens) -> set[tuple[str, str]]:
+    """Path and kind of every text slot of a wrapper."""
+    found = set()
+    for x in tokens:
+        found |= {x[1:]} if x[0] == "slot" else slots([x[1]] if x[0] == "opt" else x[1])
+    return found
 
-    A text that stands at the same path in at least three pages and in nine of ten of all is template, any other is a
-    slot; template text inside the main container stays in the result.  Where no article or main element marks the text, the main container is the one whose slots hold most of it.
-    """
-    wrapper, constant, mass, marked = None, Counter(), Counter(), 0
-    for page in pages:
-        found = list(segments(page))
-        tokens = fold([k for k, _ in groupby([("slot", "/".join(p)) for p, *_ in found])])[:400]
-        wrapper = tokens if wrapper is None else align(wrapper, tokens)
-        constant.update({("/".join(p), t) for p, _, _, t in found})
-        marked += any(main and not out for _, out, main, _ in found)
-    fixed = {k for k, n in constant.items() if n >= 3 and n >= 0.9 * len(pages)}
-    for page in pages:
-        for path, out, _, text in segments(page):
-            if not out and ("/".join(path), text) not in fixed:
-                for k in range(1, len(path) + 1):
-                    mass["/".join(path[:k])] += len(text)
-    whole = mass.get("html/body", 0) or mass.get("html", 0) or sum(n for k, n in mass.items() if "/" not in k)
-    best = max((k for k, n in mass.items() if n >= 0.7 * whole), key=lambda k: (k.count("/"), k), default="")
-    return {"wrapper": render(wrapper or []), "fixed": sorted(f"{p}\t{t}" for p, t in fixed if not marked), "main": "" if marked else best}
+
+def _read(tokens: str) -> list:
+    tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else x
+    return list(tuples(json.loads(tokens)))
 
 
 def render(tokens: list) -> str:
@@ -178,15 +201,23 @@ def render(tokens: list) -> str:
     return " ".join(map(one, tokens))
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def main_text(page: str | None, rule: dict | None) -> str:
-    """Texts in the article or main element; without one, in the host's main container; else all that is not excluded."""
-    found = [s for s in segments(page) if not s[1]]
+    """The page's texts that stand in slots of its host's wrapper, in order.
+
+    Slots of article and main elements win where the page has them; then those of the host's main container; then all
+    that are not excluded, without the host's template texts.
+    """
+    found = [s for s in segments(page) if not s[1] and (rule is None or ("/".join(s[0]), _kind(*s[1:3])) in rule["slots"])]
     if any(s[2] for s in found):
         return " ".join(s[3] for s in found if s[2])
     if rule:
-        inside = [s for s in found if "/".join(s[0]).startswith(rule["main"])] if rule["main"] else []
-        fixed = set(rule["fixed"])
-        found = inside or [s for s in found if f"{'/'.join(s[0])}\t{s[3]}" not in fixed]
+        main = rule["main"].split("/") if rule["main"] else []
+        inside = [s for s in found if list(s[0][: len(main)]) == main] if main else []
+        found = inside or [s for s in found if ("/".join(s[0]), _hash(s[3])) not in rule["fixed"]]
     return " ".join(s[3] for s in found)
 
 
@@ -194,28 +225,93 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def host_wrappers(pages: DataFrame, pages_per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """``host, rule`` (JSON) inferred from at most ``pages_per_host`` pages of each host, drawn by hash of the page_id."""
-    keyed = pages.select("page_id", host_of(F.col("url")).alias("host"))
-    draw = F.struct(F.xxhash64("page_id").alias("h"), "page_id")
-    ids = written(keyed.groupBy("host", F.pmod(F.xxhash64("page_id"), F.lit(pages_per_host)).alias("part")).agg(F.min(draw)["page_id"].alias("page_id")), "samples").select("host", "page_id").where("page_id is not null")
-    ids = F.broadcast(ids) if ids.count() <= 200_000 else ids
-
-    def rules(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values("page_id")["html"].fillna("").drop_duplicates().tolist()[:pages_per_host]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "rule": [json.dumps(infer(texts))]})
+def _cells(batches):
+    """Of each page its stream (kind "stream"), and each different text outside excluded parts by path, kind and hash."""
+    for b in batches:
+        rows = []
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found = list(segments(page))
+            tokens = json.dumps(stream(found))
+            rows.append((host, "stream", tokens, _hash(tokens), 0))
+            texts: dict = {}
+            for path, out, main, text in found:
+                if not out:
+                    key = (host, _kind(out, main), "/".join(path), _hash(text))
+                    texts[key] = texts.get(key, 0) + len(text)
+            rows += [(*key, chars) for key, chars in texts.items()]
+        columns = list(zip(*rows)) or [[]] * 5
+        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "kind", "path", "h", "chars"])
+
+
+def _wrapper(pdf: pd.DataFrame) -> pd.DataFrame:
+    tokens = reduce(align, map(_read, pdf.sort_values(["h", "tokens"])["tokens"]))
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [json.dumps(tokens)], "h": [pdf["h"].min()]})
+
+
+def _merged(streams: DataFrame) -> DataFrame:
+    """One wrapper ``host, tokens, h`` of all streams of a host: rounds of groups of about GROUP streams each."""
+    while True:
+        parts = written(streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")), "parts")
+        most = parts.agg(F.max("parts")).first()[0] or 0
+        hosts = F.broadcast(parts) if parts.count() <= SMALL else parts
+        grouped = streams.join(hosts, "host").withColumn("part", F.pmod("h", "parts")).drop("parts")
+        streams = written(grouped.groupBy("host", "part").applyInPandas(_wrapper, "host string, tokens string, h long"), "merged")
+        if most <= 1:
+            return streams
+
+
+def host_wrappers(pages: DataFrame) -> DataFrame:
+    """``host, wrapper, rule`` of each host, inferred from all its pages.
+
+    wrapper: the expression that covers every page's stream, each different stream aligned once.  rule (JSON): its
+    slots that are not excluded; where no article or main element marks the text, also the template texts ``fixed``
+    (the same text at the same path on at least three pages and nine of ten of all, by hash) and the container
+    ``main``: the deepest one that holds seven tenths of the characters of the other texts.
+    """
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
+    cells = rows.mapInArrow(_cells, "host string, kind string, path string, h long, chars long")
+    cells = written(cells.groupBy("host", "kind", "path", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "cells")
+    streams = cells.where("kind = 'stream'")
+    merged = _merged(streams.select("host", F.col("path").alias("tokens"), "h"))
 
-    return pages.select("page_id", "html").join(ids, "page_id").groupBy("host").applyInPandas(rules, "host string, rule string")
+    def told(batches):
+        for b in batches:
+            tokens = [_read(t) for t in b.column(1).to_pylist()]
+            found = [json.dumps(sorted(s for s in slots(t) if s[1] != "out")) for t in tokens]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(render, tokens), pa.string()), pa.array(found, pa.string())], ["host", "wrapper", "slots"])
+
+    wrappers = written(merged.select("host", "tokens").mapInArrow(told, "host string, wrapper string, slots string"), "expressions")
+    marked = cells.where("kind = 'main'").select("host").distinct()
+    plain = written(streams.groupBy("host").agg(F.sum("n").alias("pages")).join(marked, "host", "left_anti"), "unmarked")
+    plain = F.broadcast(plain) if plain.count() <= SMALL else plain
+    texts = cells.where("kind = ''").join(plain, "host").withColumn("template", (F.col("n") >= 3) & (F.col("n") >= 0.9 * F.col("pages")))
+    fixed = texts.where("template").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "h"))).alias("fixed"))
+    steps = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("box")
+    own = texts.where("not template").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    mass = own.select("host", "chars", above).groupBy("host", "box").agg(F.sum("chars").alias("mass"))
+    tops = [F.max(F.when(F.col("box") == b, F.col("mass"))) for b in ("html/body", "html")]
+    whole = mass.groupBy("host").agg(F.coalesce(*tops, F.sum(F.when(~F.col("box").contains("/"), F.col("mass")))).alias("whole"))
+    deepest = F.max(F.struct(F.size(F.split("box", "/")).alias("depth"), "box"))["box"]
+    main = mass.join(whole, "host").where("mass >= 0.7 * whole").groupBy("host").agg(deepest.alias("main"))
+    pairs = F.coalesce(F.to_json("fixed"), F.lit("[]"))
+    rule = F.to_json(F.struct(F.coalesce("main", F.lit("")).alias("main"), pairs.alias("fixed"), F.col("slots")))
+    return wrappers.join(main, "host", "left").join(fixed, "host", "left").select("host", "wrapper", rule.alias("rule"))
+
+
+def _rule(text: str) -> dict:
+    rule = json.loads(text)
+    return {"main": rule["main"], "fixed": {(x["path"], x["h"]) for x in json.loads(rule["fixed"])}, "slots": set(map(tuple, json.loads(rule["slots"])))}
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of each page: ``page_id, url, text, n_chars, host``, a row for each row of ``pages``.
 
-    Null or empty html gives an empty text; a page of a host without a sampled page is read without a wrapper; a null
-    url counts as host "".  Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments
+    Null or empty html gives an empty text; a null url counts as host "".  Scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and comments
     go by tag, role, class and id; nothing else is dropped or cut.  Broken and cut-off markup is read to its end.
     """
-    wrappers = written(host_wrappers(pages), "wrappers")
+    wrappers = written(host_wrappers(pages).select("host", "rule"), "wrappers")
     size = wrappers.agg(F.coalesce(F.sum(F.length("rule") + F.length("host") + 32), F.lit(0))).first()[0]
     wrappers = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(wrappers, "host", "left").select("page_id", "url", "host", "html", "rule")
@@ -227,7 +323,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             for page, rule in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if rule is not None and rule not in known:
                     known.clear() if len(known) > 1000 else None
-                    known[rule] = json.loads(rule)
+                    known[rule] = _rule(rule)
                 texts.append(main_text(page, known.get(rule)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), b.column(2)], ["page_id", "url", "text", "n_chars", "host"])
 

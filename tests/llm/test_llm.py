@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.components import connected_components
 from codequarry.llm.decontaminate import benchmark_matches, closest, contaminated
 from codequarry.llm.hashing import shingle_set, word_hashes
-from codequarry.llm.html import align, extract_pages, fold, infer, main_text
+from codequarry.llm.html import _greedy, align, extract_pages, fold, host_wrappers, main_text, segments, slots, stream
 from codequarry.llm.imatch import fingerprints
 from codequarry.llm.langid import codewords, fit_languages, identify
 from codequarry.llm.licenses import fit_licenses, scan_licenses
@@ -168,7 +168,19 @@ def test_html(spark):
     s = lambda *names: [("slot", n) for n in names]
     assert fold(s("a", "b", "a", "b", "c")) == [("rep", (("slot", "a"), ("slot", "b"))), ("slot", "c")]
     assert align(s("a", "b", "c"), s("a", "c")) == [("slot", "a"), ("opt", ("slot", "b")), ("slot", "c")]
-    assert "wrapper" in infer([PAGE.format("x", 1, 2)])
+    long = _greedy(s("a", "b", "c"), s("a", "x", "c"))
+    assert long == [("slot", "a"), ("opt", ("slot", "b")), ("opt", ("slot", "x")), ("slot", "c")]
+    assert slots(stream(list(segments(PAGE.format("x", 1, 2))))) >= {("html/body/div.x", ""), ("html/body/nav", "out")}
+
+
+def test_html_wrappers_cover_every_page(spark):
+    body = '<body><section class="top"><p>Our shop</p></section>{}<section class="text"><p>{}</p></section></body>'
+    pages = [(i, "http://h.org", body.format("<table><td>cell</td></table>" * (i % 90), f"long text number {i} " * 50)) for i in range(120)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rule = host_wrappers(frame).collect()
+    assert len(rule) == 1 and "(body/table/td)?" in rule[0]["wrapper"] or "(body/table/td)+" in rule[0]["wrapper"]
+    got = {r["page_id"]: r["text"] for r in extract_pages(frame).collect()}
+    assert all(got[i] == ("long text number %d " % i * 50).strip() for i in got)
 
 
 def test_decontamination(spark, edge, empty):
