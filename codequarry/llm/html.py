@@ -116,64 +116,116 @@ def fold(tokens: list) -> list:
     return tokens
 
 
+def _bare(x):
+    return x[1] if x[0] == "opt" else x
+
+
+def _shape(x):
+    """What two tokens must share to be aligned: a block's path and kind, not its text; a group of one block is that block."""
+    x = _bare(x)
+    return x[:3] if x[0] != "rep" else _shape(x[1][0]) if len(x[1]) == 1 else ("rep", tuple(map(_shape, x[1])))
+
+
+def _text(x):
+    """The text that leads at a block, or None."""
+    x = _bare(x)
+    return x[3] if x[0] == "slot" and len(x) > 3 else _text(x[1][0]) if x[0] == "rep" and len(x[1]) == 1 else None
+
+
+def _met(x, y):
+    """Two aligned tokens as one: votes for equal texts add up, those for different ones cancel out."""
+    x, y = _bare(x), _bare(y)
+    if x[0] == "rep" or y[0] == "rep":
+        return "rep", tuple(map(_met, *(z[1] if z[0] == "rep" else (z,) for z in (x, y))))
+    if len(x) == 3 or len(x) == 2:
+        return x
+    (*at, h, votes, seen), (*_, g, others, more) = x, y
+    if h == g:
+        return *at, h, votes + others, seen + more
+    return (*at, h, votes - others, seen + more) if votes >= others else (*at, g, others - votes, seen + more)
+
+
+def _joined(x, y):
+    return ("opt", _met(x, y)) if "opt" in (x[0], y[0]) else _met(x, y)
+
+
+def _opt(x):
+    return x if x[0] == "opt" else ("opt", x)
+
+
 def align(wrapper: list, page: list) -> list:
     """One step of inference: the wrapper that also covers ``page``.
 
-    Tokens that both have stay; a repeated group covers one instance of itself; what only one side has becomes optional.
+    Blocks at the same path meet, sooner those of the same text; a repeated group covers one instance of itself; what
+    only one side has becomes optional.
     """
-    def bare(x):
-        return x[1] if x[0] == "opt" else x
-
-    def same(x, y):
-        x, y = bare(x), bare(y)
-        return x == y or x[0] == "rep" and x[1] == (y,) or y[0] == "rep" and y[1] == (x,)
-
     n, m = len(wrapper), len(page)
-    if n * m > LONG:
-        return _greedy(wrapper, page)
+    a, b = [(_shape(x), _text(x)) for x in wrapper], [(_shape(y), _text(y)) for y in page]
+    head = tail = 0
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    n, m = n - tail, m - tail
+    if (n - head) * (m - head) > LONG:
+        middle = _greedy(wrapper[head:n], page[head:m])
+    else:
+        middle = _best(wrapper[head:n], page[head:m], a[head:n], b[head:m])
+    ends = zip(wrapper[n:], page[m:])
+    return [_joined(x, y) for x, y in zip(wrapper[:head], page)] + middle + [_joined(x, y) for x, y in ends]
+
+
+def _best(wrapper: list, page: list, a: list, b: list) -> list:
+    n, m = len(wrapper), len(page)
     best = [[0] * (m + 1) for _ in range(n + 1)]
+    worth = lambda i, j: 0 if a[i][0] != b[j][0] else 4 if a[i][1] == b[j][1] else 1
     for i in range(n - 1, -1, -1):
+        row, below, (shape, text) = best[i], best[i + 1], a[i]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if same(wrapper[i], page[j]) else max(best[i + 1][j], best[i][j + 1])
+            x = below[j] if below[j] >= row[j + 1] else row[j + 1]
+            if shape == b[j][0]:
+                y = below[j + 1] + (4 if text == b[j][1] else 1)
+                x = y if y > x else x
+            row[j] = x
     out, i, j = [], 0, 0
-    opt = lambda x: x if x[0] == "opt" else ("opt", x)
     while i < n or j < m:
-        if i < n and j < m and same(wrapper[i], page[j]):
-            x, y = bare(wrapper[i]), bare(page[j])
-            kept = x if x[0] == "rep" else y if y[0] == "rep" else x
-            out.append(opt(kept) if "opt" in (wrapper[i][0], page[j][0]) else kept)
+        if i < n and j < m and (w := worth(i, j)) and best[i][j] == best[i + 1][j + 1] + w:
+            out.append(_joined(wrapper[i], page[j]))
             i, j = i + 1, j + 1
         elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(opt(wrapper[i]))
+            out.append(_opt(wrapper[i]))
             i += 1
         else:
-            out.append(opt(page[j]))
+            out.append(_opt(page[j]))
             j += 1
     return out
 
 
 def _greedy(wrapper: list, page: list) -> list:
-    """As :func:`align`, in linear memory: each token of the wrapper takes the next equal one of the page."""
+    """As :func:`align`, in linear memory: each token of the wrapper takes the next one of the page at the same path."""
     places: dict = {}
     for j, y in enumerate(page):
-        places.setdefault(y[1] if y[0] == "opt" else y, []).append(j)
-    opt = lambda x: x if x[0] == "opt" else ("opt", x)
+        places.setdefault(_shape(y), []).append(j)
     out, at = [], 0
     for x in wrapper:
-        there = places.get(x[1] if x[0] == "opt" else x, [])
+        there = places.get(_shape(x), [])
         k = bisect_left(there, at)
         if k < len(there):
-            out += map(opt, page[at : there[k]])
-            out.append(x if x[0] == "opt" else page[there[k]])
+            out += map(_opt, page[at : there[k]])
+            out.append(_joined(x, page[there[k]]))
             at = there[k] + 1
         else:
-            out.append(opt(x))
-    return out + list(map(opt, page[at:]))
+            out.append(_opt(x))
+    return out + list(map(_opt, page[at:]))
 
 
 def stream(found: list) -> list:
-    """A page's blocks as folded slots ``("slot", path, kind)``; kind tells what is excluded and what main elements hold."""
-    return fold([k for k, _ in groupby(("slot", "/".join(path), _kind(out, main)) for path, out, main, _ in found)])
+    """A page's blocks as folded slots: ``("slot", path, kind, text's hash, votes, pages)``, without text where excluded.
+
+    kind tells what is excluded and what main elements hold.
+    """
+    blocks = (("slot", "/".join(path), "out") if out else ("slot", "/".join(path), _kind(out, main), _hash(text), 1, 1) for path, out, main, text in found)
+    return fold([x for k, g in groupby(blocks) for x in ([k] if len(k) == 3 else g)])
 
 
 def _kind(out: bool, main: bool) -> str:
@@ -184,7 +236,21 @@ def slots(tokens) -> set[tuple[str, str]]:
     """Path and kind of every text slot of a wrapper."""
     found = set()
     for x in tokens:
-        found |= {x[1:]} if x[0] == "slot" else slots([x[1]] if x[0] == "opt" else x[1])
+        found |= {x[1:3]} if x[0] == "slot" else slots([x[1]] if x[0] == "opt" else x[1])
+    return found
+
+
+def constants(tokens, pages: int) -> set[tuple[str, int]]:
+    """Path and text of the blocks outside main elements that are the same on all but a few of ``pages`` different pages.
+
+    Where a text stands on nine tenths of the pages, votes less missing pages are eight tenths of the pages or more.
+    """
+    found = set()
+    for x in tokens:
+        if x[0] != "slot":
+            found |= constants([x[1]] if x[0] == "opt" else x[1], pages)
+        elif len(x) > 3 and x[2] == "" and x[4] >= 3 and x[4] - (pages - x[5]) >= 0.8 * pages:
+            found.add((x[1], x[3]))
     return found
 
 
@@ -206,18 +272,15 @@ def _hash(text: str) -> int:
 
 
 def main_text(page: str | None, rule: dict | None) -> str:
-    """The page's texts that stand in slots of its host's wrapper, in order.
+    """The page's texts that stand in slots of its host's wrapper, in order; constants of the wrapper are template.
 
-    Slots of article and main elements win where the page has them; then those of the host's main container; then all
-    that are not excluded, without the host's template texts.
+    Article and main elements win where the page has them; then all slots that are not excluded.
     """
-    found = [s for s in segments(page) if not s[1] and (rule is None or ("/".join(s[0]), _kind(*s[1:3])) in rule["slots"])]
+    found = [s for s in segments(page) if not s[1]]
     if any(s[2] for s in found):
         return " ".join(s[3] for s in found if s[2])
     if rule:
-        main = rule["main"].split("/") if rule["main"] else []
-        inside = [s for s in found if list(s[0][: len(main)]) == main] if main else []
-        found = inside or [s for s in found if ("/".join(s[0]), _hash(s[3])) not in rule["fixed"]]
+        found = [s for s in found if ("/".join(s[0]), _hash(s[3])) not in rule["fixed"]]
     return " ".join(s[3] for s in found)
 
 
@@ -225,38 +288,28 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def _cells(batches):
-    """Of each page its stream (kind "stream"), and each different text outside excluded parts by path, kind and hash."""
+def _streams(batches):
     for b in batches:
-        rows = []
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = list(segments(page))
-            tokens = json.dumps(stream(found))
-            rows.append((host, "stream", tokens, _hash(tokens), 0))
-            texts: dict = {}
-            for path, out, main, text in found:
-                if not out:
-                    key = (host, _kind(out, main), "/".join(path), _hash(text))
-                    texts[key] = texts.get(key, 0) + len(text)
-            rows += [(*key, chars) for key, chars in texts.items()]
-        columns = list(zip(*rows)) or [[]] * 5
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "kind", "path", "h", "chars"])
+        tokens = [json.dumps(stream(list(segments(page)))) for page in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.string()), pa.array(map(_hash, tokens), pa.int64())], ["host", "tokens", "h"])
+
+
+MERGED = "host string, tokens string, h long, pages long"
 
 
 def _wrapper(pdf: pd.DataFrame) -> pd.DataFrame:
     tokens = reduce(align, map(_read, pdf.sort_values(["h", "tokens"])["tokens"]))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [json.dumps(tokens)], "h": [pdf["h"].min()]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tokens": [json.dumps(tokens)], "h": [pdf["h"].min()], "pages": [pdf["pages"].sum()]})
 
 
 def _merged(streams: DataFrame) -> DataFrame:
-    """One wrapper ``host, tokens, h`` of all streams of a host: rounds of groups of about GROUP streams each."""
+    """One wrapper ``host, tokens, h, pages`` of all streams of a host: rounds of groups of about GROUP streams each."""
     while True:
         parts = written(streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")), "parts")
         most = parts.agg(F.max("parts")).first()[0] or 0
         hosts = F.broadcast(parts) if parts.count() <= SMALL else parts
         grouped = streams.join(hosts, "host").withColumn("part", F.pmod("h", "parts")).drop("parts")
-        streams = written(grouped.groupBy("host", "part").applyInPandas(_wrapper, "host string, tokens string, h long"), "merged")
+        streams = written(grouped.groupBy("host", "part").applyInPandas(_wrapper, MERGED), "merged")
         if most <= 1:
             return streams
 
@@ -264,45 +317,24 @@ def _merged(streams: DataFrame) -> DataFrame:
 def host_wrappers(pages: DataFrame) -> DataFrame:
     """``host, wrapper, rule`` of each host, inferred from all its pages.
 
-    wrapper: the expression that covers every page's stream, each different stream aligned once.  rule (JSON): its
-    slots that are not excluded; where no article or main element marks the text, also the template texts ``fixed``
-    (the same text at the same path on at least three pages and nine of ten of all, by hash) and the container
-    ``main``: the deepest one that holds seven tenths of the characters of the other texts.
+    wrapper: the expression that covers every page's stream, each different stream aligned once, so that copies of a
+    page count as one.  rule (JSON): the wrapper's constants ``fixed``, as paths and hashes of texts.
     """
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    cells = rows.mapInArrow(_cells, "host string, kind string, path string, h long, chars long")
-    cells = written(cells.groupBy("host", "kind", "path", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "cells")
-    streams = cells.where("kind = 'stream'")
-    merged = _merged(streams.select("host", F.col("path").alias("tokens"), "h"))
+    streams = rows.mapInArrow(_streams, "host string, tokens string, h long").dropDuplicates(["host", "h"])
+    merged = _merged(written(streams.withColumn("pages", F.lit(1).cast("long")), "streams"))
 
     def told(batches):
         for b in batches:
             tokens = [_read(t) for t in b.column(1).to_pylist()]
-            found = [json.dumps(sorted(s for s in slots(t) if s[1] != "out")) for t in tokens]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(render, tokens), pa.string()), pa.array(found, pa.string())], ["host", "wrapper", "slots"])
-
-    wrappers = written(merged.select("host", "tokens").mapInArrow(told, "host string, wrapper string, slots string"), "expressions")
-    marked = cells.where("kind = 'main'").select("host").distinct()
-    plain = written(streams.groupBy("host").agg(F.sum("n").alias("pages")).join(marked, "host", "left_anti"), "unmarked")
-    plain = F.broadcast(plain) if plain.count() <= SMALL else plain
-    texts = cells.where("kind = ''").join(plain, "host").withColumn("template", (F.col("n") >= 3) & (F.col("n") >= 0.9 * F.col("pages")))
-    fixed = texts.where("template").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "h"))).alias("fixed"))
-    steps = F.split("path", "/")
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).alias("box")
-    own = texts.where("not template").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-    mass = own.select("host", "chars", above).groupBy("host", "box").agg(F.sum("chars").alias("mass"))
-    tops = [F.max(F.when(F.col("box") == b, F.col("mass"))) for b in ("html/body", "html")]
-    whole = mass.groupBy("host").agg(F.coalesce(*tops, F.sum(F.when(~F.col("box").contains("/"), F.col("mass")))).alias("whole"))
-    deepest = F.max(F.struct(F.size(F.split("box", "/")).alias("depth"), "box"))["box"]
-    main = mass.join(whole, "host").where("mass >= 0.7 * whole").groupBy("host").agg(deepest.alias("main"))
-    pairs = F.coalesce(F.to_json("fixed"), F.lit("[]"))
-    rule = F.to_json(F.struct(F.coalesce("main", F.lit("")).alias("main"), pairs.alias("fixed"), F.col("slots")))
-    return wrappers.join(main, "host", "left").join(fixed, "host", "left").select("host", "wrapper", rule.alias("rule"))
+            rules = [json.dumps({"fixed": sorted(constants(t, n))}) for t, n in zip(tokens, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(render, tokens), pa.string()), pa.array(rules, pa.string())], ["host", "wrapper", "rule"])
+
+    return merged.select("host", "tokens", "pages").mapInArrow(told, "host string, wrapper string, rule string")
 
 
 def _rule(text: str) -> dict:
-    rule = json.loads(text)
-    return {"main": rule["main"], "fixed": {(x["path"], x["h"]) for x in json.loads(rule["fixed"])}, "slots": set(map(tuple, json.loads(rule["slots"])))}
+    return {"fixed": set(map(tuple, json.loads(text)["fixed"]))}
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.components import connected_components
 from codequarry.llm.decontaminate import benchmark_matches, closest, contaminated
 from codequarry.llm.hashing import shingle_set, word_hashes
-from codequarry.llm.html import _greedy, align, extract_pages, fold, host_wrappers, main_text, segments, slots, stream
+from codequarry.llm.html import _greedy, align, constants, extract_pages, fold, host_wrappers, main_text, segments, slots, stream
 from codequarry.llm.imatch import fingerprints
 from codequarry.llm.langid import codewords, fit_languages, identify
 from codequarry.llm.licenses import fit_licenses, scan_licenses
@@ -183,6 +183,19 @@ def test_html_wrappers_cover_every_page(spark):
     assert all(got[i] == ("long text number %d " % i * 50).strip() for i in got)
 
 
+def test_html_alignment_decides(spark):
+    page = "<body><div class='a'><p>Your shop for tea</div><div class='b'><p>Tea {0} of the north<p>Price in pounds<p>{0} pounds</div>{1}</body>"
+    pages = [(i, "http://h.org", page.format(i, "<div class='c'>Also seen %d</div>" % i if i % 2 else "")) for i in range(40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_pages(frame).collect()}
+    assert "Your shop" not in got[3] and got[3].startswith("Tea 3 of the north") and "3 pounds" in got[3]
+    assert main_text(pages[3][2], None) != got[3]  # without a wrapper the constants would stay
+    assert "(body/div.c)?" in host_wrappers(frame).first()["wrapper"]
+    leaf = lambda h: [("slot", "p", "", h, 1, 1)]
+    assert align(leaf(5), leaf(5)) == [("slot", "p", "", 5, 2, 2)] and align(leaf(5), leaf(6)) == [("slot", "p", "", 5, 0, 2)]
+    assert constants(align(align(leaf(5), leaf(5)), leaf(5)), 3) == {("p", 5)} and constants(align(align(leaf(5), leaf(6)), leaf(5)), 3) == set()
+
+
 def test_decontamination(spark, edge, empty):
     for p, t, d in (("abc", "xxabcxx", 0), ("abc", "xxabxcx", 1), ("kitten", "sitting", 2), ("ab", "", 2)):
         assert closest(p, t)[0] == d
