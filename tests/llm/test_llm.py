@@ -196,6 +196,16 @@ def test_html_alignment_decides(spark):
     assert constants(align(align(leaf(5), leaf(5)), leaf(5)), 3) == {("p", 5)} and constants(align(align(leaf(5), leaf(6)), leaf(5)), 3) == set()
 
 
+def test_html_keeps_articles_without_markup(spark):
+    copy = "<body><div class='t'>One title</div><div class='b'>%s</div></body>" % ("The same long article text. " * 20)
+    apart = "<body><section class='s'>Our shop sells tea</section><div class='t'>Title {0}</div><div class='b'>{1}</div></body>"
+    pages = [(i, f"http://copy.org/?u={i}", copy) for i in range(4)] + [(4 + i, f"http://print.org/{i}", copy.replace("</body>", f"<div class='d'>Printed {i}</div></body>")) for i in range(4)]
+    pages += [(10 + i, "http://apart.org", apart.format(i, f"body number {i} " * 40)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all("One title The same long article text." in got[i] for i in range(8))
+    assert all(got[10 + i].startswith(f"Title {i} body number {i}") for i in range(6))
+
+
 def test_decontamination(spark, edge, empty):
     for p, t, d in (("abc", "xxabcxx", 0), ("abc", "xxabxcx", 1), ("kitten", "sitting", 2), ("ab", "", 2)):
         assert closest(p, t)[0] == d
