@@ -45,14 +45,14 @@ def _valid(kind: Column, x: Column) -> Column:
 
 
 def _cut(text: Column, pattern: Column, kind: int, gate: Column) -> Column:
-    """An array of (kind, i, gap before, text, left, right) of the pattern's matches in a text."""
+    """An array of (kind, i, gap before, text) of the pattern's matches in a text."""
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    item = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(between[i]).alias("gap"), x.alias("x"), F.right(between[i], F.lit(80)).alias("left"), F.left(between[i + 1], F.lit(80)).alias("right"))
-    return F.when(gate, F.transform(found, item)).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,x:string,left:string,right:string>>"))
+    item = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(between[i]).alias("gap"), x.alias("x"))
+    return F.when(gate, F.transform(found, item)).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,x:string>>"))
 
 
 def _placed(cut: DataFrame) -> DataFrame:
-    """``key, kind, start, end, x, left, right`` from rows ``(key, e)``: running sums of gaps and matches."""
+    """``key, kind, start, end, x`` from rows ``(key, e)``: running sums of gaps and matches."""
     rows = cut.select("key", "e.*").dropDuplicates(["key", "kind", "i"])
     w = Window.partitionBy("key", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("x")).over(w)
@@ -66,39 +66,53 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Spans of the base patterns: ``key, kind (0 to 3), start, end, x, left, right``; code points, end exclusive."""
+    """Spans of the base patterns: ``key, kind (0 to 3), start, end, x``; code points, end exclusive."""
     text = F.col("text")
     cuts = [_cut(text, F.lit(PATTERNS[k]), i, GATES[k](text)) for i, k in enumerate(KINDS[:4])]
     found = docs.select(F.col("_key").alias("key"), F.explode(F.concat(*cuts)).alias("e"))
     return _placed(found).where(_valid(F.col("kind"), F.col("x")))
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, support: int = 3, reach: int = 5) -> DataFrame:
+def entity_of(kind: Column, x: Column) -> Column:
+    return F.xxhash64(kind, F.when(kind == 0, F.lower(x)).otherwise(_digits(x)))
+
+
+def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, alpha: float = 0.05) -> DataFrame:
     """``entity, term`` where the term gives the entity away.
 
-    Entity: a matched value.  Terms: words of at least four letters within ``reach`` words of it.  With p estimated
-    over documents, PMI(entity; term) = log p(e, t) / (p(e) p(t)) is what the term tells of the entity, and
-    -log p(e) is all there is to tell; the term discloses from ``ratio`` of that on.  A pair must stand in at least
-    ``support`` different contexts, so that copies of one passage do not count as evidence.
+    Entity: a matched value.  Terms: words of at least four letters anywhere in a document that holds it, but not in a
+    matched value there.  Counts are of different texts, so that copies of one do not count as evidence.  With one
+    pseudo-document added by which the entity's terms are as frequent as everywhere, p(t | e) = (n(e, t) + p(t)) /
+    (n(e) + 1); PMI = log p(t | e) / p(t) is what the term tells of the entity, -log p(e) all there is to tell, and the
+    term discloses from ``ratio`` of that on.  By chance, n(e, t) of the entity's documents hold the term with
+    probability C(n(e), n(e, t)) p(t)^n(e, t) at most; times the entity's number of terms this must be ``alpha`` or
+    less.  So a term seen once or twice with an entity is judged too.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}])\p{L}{4,}(?![\p{L}\p{N}])"), F.lit(0))
-    left, right = words("left"), words("right")
-    near = F.concat(F.slice(F.reverse(left), 1, reach), F.slice(right, 1, reach))
-    entity = F.xxhash64("kind", F.when(F.col("kind") == 0, F.lower("x")).otherwise(_digits(F.col("x"))))
-    seen = spans.select("key", entity.alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(F.array_distinct(near)).alias("term"))
-    pairs = seen.groupBy("entity", "term", "context").agg(F.min("key").alias("key")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    pairs = written(pairs.where(F.col("contexts") >= support), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    both = seen.join(pairs, ["entity", "term"]).groupBy("entity", "term").agg(F.count_distinct("key").alias("both"))
-    have = spans.select("key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    terms = written(pairs.select("term").distinct(), "terms")
-    terms = F.broadcast(terms) if terms.count() <= SMALL else terms
-    used = docs.select(F.explode(F.array_distinct(words("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(terms, "term")
-    n = docs.count()
-    told = both.join(have, "entity").join(used, "term")
-    pmi = F.log(F.col("both") * F.lit(float(n)) / (F.col("with_entity") * F.col("with_term")))
-    return told.where(pmi >= ratio * F.log(F.lit(float(n)) / F.col("with_entity"))).where(F.col("with_entity") < n).select("entity", "term")
+    entity = entity_of(F.col("kind"), F.col("x"))
+    held = spans.groupBy("key").agg(F.collect_set(entity).alias("entities"), F.array_distinct(F.flatten(F.collect_list(words("x")))).alias("own"))
+    held = written(held, "held")
+    if held.isEmpty():
+        return held.select(F.explode("entities").alias("entity"), F.lit("").alias("term"))
+    texts = docs.select(F.xxhash64("text").alias("copy"), "_key", "text").dropDuplicates(["copy"])
+    n = float(texts.count())
+    used = texts.select(F.explode(F.array_distinct(words("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    small = F.broadcast(held) if held.count() <= SMALL else held
+    mine = docs.join(small, docs["_key"] == held["key"]).select(F.xxhash64("text").alias("copy"), "entities", F.array_except(words("text"), "own").alias("terms")).dropDuplicates(["copy"])
+    mine = written(mine, "texts_with")
+    each = mine.select(F.explode("entities").alias("entity"), "terms")
+    have = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    both = each.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    both = written(both, "pairs")
+    tested = both.groupBy("entity").agg(F.count(F.lit(1)).alias("tested"))
+    have = written(have.join(tested, "entity"), "entities").where(F.col("with_entity") < n)
+    have = F.broadcast(have) if have.count() <= SMALL else have
+    told = both.join(have, "entity").join(written(used, "used"), "term")
+    ne, c, p = F.col("with_entity"), F.col("both"), F.col("with_term") / F.lit(n)
+    pmi = F.log((c + p) / (ne + 1) / p)
+    ways = F.least(c, ne - c) * F.log(ne * F.lit(2.718281828) / F.greatest(F.least(c, ne - c), F.lit(1)))  # at least log C(ne, c)
+    chance = F.log("tested") + ways + c * F.log(p)
+    return told.where((pmi >= ratio * F.log(F.lit(n) / ne)) & (chance <= F.log(F.lit(alpha)))).select("entity", "term")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -108,8 +122,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     out = spans.select("key", "kind", "start", "end")
     if terms.isEmpty():
         return out
-    entity = F.xxhash64("kind", F.when(F.col("kind") == 0, F.lower("x")).otherwise(_digits(F.col("x"))))
-    mine = spans.select("key", entity.alias("entity")).distinct().join(terms, "entity").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms"))
+    mine = spans.select("key", entity_of(F.col("kind"), F.col("x")).alias("entity")).distinct().join(terms, "entity").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms"))
     mine = written(mine, "terms_of")
     mine = F.broadcast(mine) if mine.count() <= SMALL else mine
     pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.col("terms"), F.lit(r")(?![\p{L}\p{N}])"))

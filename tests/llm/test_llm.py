@@ -278,6 +278,19 @@ def test_pii(spark, edge, empty):
     assert find_pii(edge).count() == len(EDGE) and find_pii(empty).count() == 0 and sanitised(edge).columns == edge.columns
 
 
+def test_pii_terms_of_rare_values(spark):
+    rng = np.random.default_rng(9)
+    common = ["".join(w) for w in rng.choice(list("abcdefgh"), (30, 5))]
+    texts = [" ".join(rng.choice(common, 6)) for _ in range(900)]
+    texts[0] = "zanzibar " + " ".join(common[:6]) + " write " + " ".join(common[:9]) + " ann@mail.org"  # once
+    texts[1] = texts[2] = "bob@mail.org " + texts[1] + " timbuktu"  # a copy is no second document
+    texts[3] = "quito " + texts[3] + " bob@mail.org"
+    docs = frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    clean = {r["doc_id"]: r["text"] for r in sanitised(docs).collect()}
+    assert "zanzibar" not in clean[0] and common[0] in clean[0] and "[EMAIL]" in clean[0]
+    assert all(clean[k].count("[TERM]") <= 1 for k in (1, 2, 3)) and clean[1] == clean[2] and clean[9] == texts[9]
+
+
 def test_language_id(spark, edge, empty):
     rng = np.random.default_rng(8)
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst"}
