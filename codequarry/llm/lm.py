@@ -142,7 +142,7 @@ def _classes(texts: list[str | None], lexicon: Lexicon) -> list[np.ndarray]:
     return out
 
 
-def _train_task(lexicon, start, share: float, rate: float):
+def _train_task(lexicon, start, rate: float):
     def run(batches):
         model, words = Trainer(start.value, lexicon.value.unigram, 3, rate), lexicon.value
         tokens = 0
@@ -151,7 +151,7 @@ def _train_task(lexicon, start, share: float, rate: float):
             for at in range(0, len(texts), 64):
                 contexts, targets = _laid(_classes(texts[at : at + 64], words))
                 cuts = range(0, len(targets), BATCH)
-                for cut in model.rng.permutation(len(cuts))[: max(1, round(share * len(cuts)))]:
+                for cut in model.rng.permutation(len(cuts)):
                     model.step(contexts[cuts[cut] : cuts[cut] + BATCH], targets[cuts[cut] : cuts[cut] + BATCH])
                 tokens += len(targets)
         if tokens:
@@ -166,11 +166,11 @@ def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"n": [n.sum()], **means})
 
 
-def fit(training: DataFrame, lexicon: Lexicon, sample_docs: int = 2000, share: float = 0.25) -> LogBilinear:
+def fit(training: DataFrame, lexicon: Lexicon, sample_docs: int = 2000) -> LogBilinear:
     """Train on ``training(doc_id, text)``.
 
     A seeded sample of about ``sample_docs`` texts starts the model off in one task; from there every partition of the
-    whole corpus trains a copy on ``share`` of its batches, and the copies are averaged by their tokens, first in
+    whole corpus trains a copy on all its batches, and the copies are averaged by their tokens, first in
     groups on the executors.
     """
     spark = training.sparkSession
@@ -186,9 +186,9 @@ def fit(training: DataFrame, lexicon: Lexicon, sample_docs: int = 2000, share: f
         mean = _mean(pd.DataFrame([r.asDict() for r in rows]))
         return LogBilinear([np.frombuffer(mean[f"p{k}"][0], np.float32).reshape(s).copy() for k, s in enumerate(shapes)])
 
-    rows = sample.mapInArrow(_train_task(words, spark.sparkContext.broadcast(model), 1.0, 0.02), schema).collect()
+    rows = sample.mapInArrow(_train_task(words, spark.sparkContext.broadcast(model), 0.02), schema).collect()
     model = read(rows) if rows else model
-    copies = training.select("text").mapInArrow(_train_task(words, spark.sparkContext.broadcast(model), share, 0.003), schema)
+    copies = training.select("text").mapInArrow(_train_task(words, spark.sparkContext.broadcast(model), 0.003), schema)
     rows = copies.withColumn("part", F.pmod(F.xxhash64("p3"), F.lit(16))).groupBy("part").applyInPandas(lambda pdf: _mean(pdf), schema).collect()
     return read(rows) if rows else model
 

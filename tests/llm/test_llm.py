@@ -14,7 +14,7 @@ from codequarry.llm.html import _greedy, align, constants, extract_pages, fold,
 from codequarry.llm.imatch import fingerprints
 from codequarry.llm.langid import codewords, fit_languages, identify
 from codequarry.llm.licenses import fit_licenses, scan_licenses
-from codequarry.llm.lm import score_documents
+from codequarry.llm.lm import END, Lexicon, LogBilinear, Trainer, _train_task, score_documents
 from codequarry.llm.mixing import mix_sources, sainte_lague
 from codequarry.llm.neardup import near_duplicates
 from codequarry.llm.pii import find_pii, sanitised
@@ -156,6 +156,19 @@ def test_lm(spark, edge, empty):
     assert score_documents(edge, F.col("doc_id") % 2 == 0).count() == len(EDGE) and score_documents(empty, F.lit(True)).count() == 0
 
 
+def test_lm_trains_on_every_token(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    hashes = np.append(np.unique(word_hashes("one two three")), END)
+    words = Lexicon(hashes, np.array([3, 2, 2, 1]), 8, 4)
+    seen = []
+    monkeypatch.setattr(Trainer, "step", lambda self, contexts, targets: seen.append(len(targets)))
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three " * 500] * 20)], ["text"])
+    run = _train_task(SimpleNamespace(value=words), SimpleNamespace(value=LogBilinear.fresh(words.unigram)), 0.01)
+    assert len(list(run([batch]))) == 1 and sum(seen) == 20 * 1501
+
+
 PAGE = '<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a>Home</a></nav><div class="{0}"><h1>{1}</h1><p>First &amp; <b>bo</b>ld.<br><p>Second {2} <!-- c --></div><div class="comments"><p>me</p></div><footer>f</footer>'
 
 
