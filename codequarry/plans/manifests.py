@@ -116,6 +116,14 @@ def j04_out_of_date_any(spark, d):
     return J.out_of_date_any(m, target(spark, d), targets, F.to_timestamp(F.lit("2024-01-01 23:59:59")))
 
 
+@query(f"WITH x AS (SELECT m.name, m.last_modified AS lm, unnest([m.name, concat('orphan/', m.ordinal, '.txt')]) AS tn FROM {MD} m) SELECT x.name, bool_or(lm > TIMESTAMP '2024-01-02') AS in_future FROM x LEFT JOIN {TD} t ON t.name = tn GROUP BY x.name HAVING bool_or(t.name IS NULL OR NOT t.exist OR (NOT t.is_dir AND epoch_ms(lm) - 1000 > epoch_ms(t.last_modified)))")
+def j04_out_of_date_any_all(spark, d):
+    """Over the whole manifest."""
+    m = man(spark, d)
+    targets = F.array("name", F.concat(F.lit("orphan/"), F.col("ordinal").cast("string"), F.lit(".txt")))
+    return J.out_of_date_any(m, target(spark, d), targets, F.to_timestamp(F.lit("2024-01-01 23:59:59")))
+
+
 @query(f"SELECT count(*) = 0 AS up_to_date FROM ({STALE})")
 def j05_up_to_date(spark, d):
     return J.up_to_date(man(spark, d), target(spark, d))

@@ -191,6 +191,13 @@ def h02_ancestors(spark, d):
     return G.closure(e, e.where("src % 7 = 0").select(F.col("src").alias("node")))
 
 
+@query(f"WITH RECURSIVE e AS ({X.PART_TREE}), r AS (SELECT src AS node, 0 AS depth FROM e UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def h02_ancestors_all(spark, d):
+    """From every source node."""
+    e = closed(spark, d, X.PART_TREE)
+    return G.closure(e, e.select(F.col("src").alias("node")))
+
+
 @query(f"WITH RECURSIVE e AS ({X.EDGES}), r AS (SELECT 'N3' AS node UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node FROM r")
 def h03_affected(spark, d):
     e = closed(spark, d, X.EDGES)

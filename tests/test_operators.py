@@ -100,3 +100,25 @@ def test_graph(spark):
     assert {r["node"] for r in G.affected(e, root).collect()} == {"a", "b", "c", "x", "x$1"}
     tree = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a")], "src string, dst string")
     assert {tuple(r) for r in G.inheritance(tree).collect()} == {("a", 0, 2), ("b", 1, 1), ("c", 2, 0)}
+
+
+def test_queries_over_whole_tables(spark):
+    from datetime import timedelta
+
+    from codequarry.plans import manifests as M
+    from codequarry.plans import metrics
+
+    d = "/root/testdata/sf0.001"
+    there = {r["name"]: r for r in M.target(spark, d).drop("content").collect()}
+    stale = set()
+    for r in M.man(spark, d).drop("content").collect():
+        for n in (r["name"], f"orphan/{r['ordinal']}.txt"):
+            t = there.get(n)
+            if t is None or not t["exist"] or not t["is_dir"] and r["last_modified"] - timedelta(seconds=1) > t["last_modified"]:
+                stale.add(r["name"])
+    got = {r["name"] for r in M.Q["j04_out_of_date_any_all"](spark, d).collect()}
+    assert got == stale and len(got) > M.Q["j04_out_of_date_any"](spark, d).count()
+    e = {(r["src"], r["dst"]) for r in metrics.closed(spark, d, metrics.X.PART_TREE).collect()}
+    roots = {s for s, _ in e}
+    depths = {(r["node"], r["depth"]) for r in metrics.Q["h02_ancestors_all"](spark, d).collect()}
+    assert depths == {(s, 0) for s in roots} | {(x, 1) for _, x in e if x not in roots}
