@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,9 @@ HALF = 3  # min-hashes in each half of a table key
 SKETCH = 64  # one byte of each of so many min-hashes estimates a pair's similarity
 FIRST_REPS = 4  # likeliest representatives that a node is confirmed against before the turn across components
 FILTER_BITS = 1 << 24
-BROADCAST_PAIRS = 500_000
+COUNTERS = 1 << 20  # counters by which shingles are told rare or frequent
+SMALL = 200_000  # rows that may be broadcast
+PART = 8192  # nodes of a key that one task compares with the others of the key
 
 
 def tables_per_side(threshold: float, recall: float = 0.995) -> int:
@@ -45,94 +47,137 @@ def _sketch(m: int, words: int):
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, copy in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 s = shingle_set(text, words)
                 if not len(s):
-                    out.append((doc_id, 0, None, None, None, None))
+                    out.append((doc_id, copy, 0, None, None, None, None))
                     continue
                 least = _minhashes(s, max(2 * m * HALF, SKETCH))
                 halves = [int.from_bytes(hashlib.blake2b(bytes([k]) + row.tobytes(), digest_size=8).digest(), "little", signed=True) for k, row in enumerate(least[: 2 * m * HALF].reshape(2 * m, HALF))]
                 packed = (least[:SKETCH] & np.uint64(255)).astype(np.uint8).view(np.int64).tolist()
-                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), halves[:m], halves[m:], packed))
+                out.append((doc_id, copy, len(s), _digest(s), halves[:m], halves[m:], packed))
             longs = pa.list_(pa.int64())
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), longs, longs, longs))], ["doc_id", "n_shingles", "digest", "left", "right", "sketch"])
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), longs, longs, longs))], ["doc_id", "copy", "n_shingles", "digest", "left", "right", "sketch"])
 
     return run
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _agreeing(a: Column, b: Column) -> Column:
-    """How many of the SKETCH bytes are equal, eight at a time: each byte's bits are folded into its lowest one."""
-    differ = F.lit(0)
-    for k in range(SKETCH // 8):
-        x = a[k].bitwiseXOR(b[k])
-        for shift in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return F.lit(SKETCH) - differ
-
-
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids, of fixed size: the driver gets at most FILTER_BITS / 64 longs."""
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).collect()
+    """How many of the sketches' 8 * SKETCH bits are equal: all eight of a byte for equal min-hashes, else half."""
+    return F.lit(8 * SKETCH) - reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH // 8)])
+
+
+def least_agreeing(threshold: float) -> int:
+    """Equal bits of a pair at the threshold, less 3.5 standard deviations."""
+    spread = SKETCH * (16 * threshold * (1 - threshold) + 2 * (1 - threshold))
+    return math.floor(SKETCH * 4 * (1 + threshold) - 3.5 * math.sqrt(spread))
+
+
+def _filter_words(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of the rows' hashes ``row``, of fixed size: the driver gets at most FILTER_BITS / 64 longs."""
+    h = F.pmod("row", F.lit(FILTER_BITS))
+    words = rows.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).collect()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words:
         out[r["w"]] = r["b"]
     return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``(id, shingles)`` of the documents that may be in ``ids``; the texts themselves are not shuffled."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_words(ids))
+def _row(doc_id: str, copy: str | Column) -> Column:
+    return F.xxhash64(doc_id, copy)
+
+
+def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``(digest, shingles)`` of the documents that may be in ``rows(row)``; the texts themselves are not shuffled."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_words(rows))
 
     def run(batches):
-        bits = wanted.value
+        bits, seen = wanted.value, set()
         for batch in batches:
-            h = batch.column(2).to_numpy()
+            h = batch.column(1).to_numpy()
             keep = np.flatnonzero((bits[h >> 6] >> (h & 63)) & 1)
-            batch = batch.take(pa.array(keep))
-            sets = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            sizes = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["id", "shingles"])
+            sets = {_digest(s): s.view(np.int64) for s in (shingle_set(t, words) for t in batch.column(0).take(pa.array(keep)).to_pylist())}
+            sets = {d: s for d, s in sets.items() if d not in seen}  # repeated rows give one set a task
+            seen.update(sets)
+            sizes = np.concatenate(([0], np.cumsum([len(s) for s in sets.values()]))).astype(np.int32)
+            flat = np.concatenate(list(sets.values())) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["digest", "shingles"])
 
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h")).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("text", F.pmod(_row("doc_id", "copy"), F.lit(FILTER_BITS)).alias("h")).mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs ``(a, b)`` whose full sets have den * |intersection| >= num * |union|."""
-    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    one = sets.join(small, sets["id"] == pairs["a"]).select("a", "b", F.col("shingles").alias("x"))
-    two = sets.join(small, sets["id"] == pairs["b"]).select("a", "b", F.col("shingles").alias("y"))
+    """Those pairs ``(a, b)`` of nodes whose full sets have den * |intersection| >= num * |union|."""
+    one = pairs.withColumn("digest", F.col("a.digest")).join(sets.withColumnRenamed("shingles", "x"), "digest").drop("digest")
+    two = one.withColumn("digest", F.col("b.digest")).join(sets.withColumnRenamed("shingles", "y"), "digest")
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return one.join(two, ["a", "b"]).where(common * den >= (F.size("x") + F.size("y") - common) * num).select("a", "b").distinct()
+    return two.where(common * den >= (F.size("x") + F.size("y") - common) * num).select("a", "b")
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each of COUNTERS hash classes are, as powers of two of the mean; a quarter at most is not 0."""
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).alias("c")).count()
+    mean = sets.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 0
+    most = counts.where(F.col("count") > 4 * max(1.0, mean / COUNTERS)).select(F.col("c").cast("int").alias("c"), F.log2("count").cast("byte").alias("l")).toArrow()
+    out = np.zeros(COUNTERS, np.uint8)
+    out[most["c"].to_numpy()] = most["l"].to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``digest, prefix``: a set's rarest shingles, in an order that is the same for all sets, as 32-bit hashes.
+
+    Two sets with an intersection of at least k share a shingle among the first n - k + 1 of each; the prefix serves
+    the smallest k that any partner at the threshold allows.
+    """
+    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for s in batch.column(1):
+                s = s.values.to_numpy()
+                order = np.lexsort((s, levels.value[s & (COUNTERS - 1)]))
+                out.append((s[order[: len(s) + 1 - -(-num * len(s) // den)]] >> 32).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["digest", "prefix"])
+
+    return sets.select("digest", "shingles").mapInArrow(run, "digest binary, prefix array<int>")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where it has at most SMALL rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _across(nodes: DataFrame, sets: DataFrame, m: int, agree: int, num: int, den: int) -> DataFrame:
-    """Links ``(a, b)`` between nodes ``(id, c, left, right, sketch)`` of different components c that share a table key.
+def _across(placed: DataFrame, nodes: DataFrame, prefixes: DataFrame, m: int, agree: int, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of different components ``c`` that share a table key of ``placed(key, slot, id, c, n)``.
 
-    A pair meets under the first left triple that it shares, once, and the join itself compares the sketches and the
-    full sets, so that only links leave it.
+    A pair meets once, under the first left and the first right triple that it shares, and leaves the join only if
+    its sizes, its sketches and its rarest shingles allow the threshold.  A key of n nodes is compared in n / PART parts.
     """
-    slots = nodes.select("id", "c", F.posexplode("left").alias("slot", "h"))
-    mixed = written(slots.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"), "mixed")
-    rows = slots.join(mixed, "h", "left_semi").join(nodes.drop("c").join(sets, "id"), "id")
-    rows = written(rows, "slots")
-    x, y = rows.alias("x"), rows.alias("y")
-    first = [(F.col("x.slot") <= k) | (F.col("x.left")[k] != F.col("y.left")[k]) for k in range(m)]
-    right = [F.col("x.right")[k] == F.col("y.right")[k] for k in range(m)]
-    common = F.size(F.array_intersect("x.shingles", "y.shingles")).cast("long")
-    union = F.size("x.shingles") + F.size("y.shingles") - common
-    tests = [F.col("x.h") == F.col("y.h"), F.col("x.id") < F.col("y.id"), F.col("x.c") != F.col("y.c"), *first, reduce(or_, right), _agreeing(F.col("x.sketch"), F.col("y.sketch")) >= agree, common * den >= union * num]
-    return x.join(y, reduce(and_, tests)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rows = placed.join(nodes, "id").withColumn("digest", F.col("id.digest")).join(prefixes, "digest")
+    before = F.concat(F.slice("left", F.lit(1), F.floor(F.col("slot") / m).cast("int")), F.slice("right", F.lit(1), F.col("slot") % m))
+    rows = written(rows.select("key", "id", "digest", F.col("c.digest").alias("c"), F.col("n_shingles").cast("int").alias("size"), "sketch", before.alias("before"), "prefix", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "rows")
+    x = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).alias("x")
+    y = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    less, more = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    common = F.ceil((less + more) * num / (num + den)).cast("int")  # shingles that a pair at the threshold shares
+    rarest = lambda side: F.slice(F.col(f"{side}.prefix"), F.lit(1), F.col(f"{side}.size") - common + 1)
+    tests = [F.col("x.key") == F.col("y.key"), F.col("x.part") == F.col("y.part"), F.col("x.digest") < F.col("y.digest"), F.col("x.c") != F.col("y.c"), less * den >= more * num]
+    tests += [_agreeing(F.col("x.sketch"), F.col("y.sketch")) >= agree, F.arrays_overlap(rarest("x"), rarest("y")), ~F.arrays_overlap("x.before", "y.before")]
+    return x.join(y, reduce(and_, tests)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5) -> DataFrame:
     """Link documents whose shingle sets have Jaccard similarity of at least num/den; a row for each row of ``docs``.
 
-    Returns ``doc_id, n_shingles, component_id, kept``.  Two small hash collections of m min-hash triples each give
-    m * m table keys (every left triple with every right one), so 2 * 3 * m min-hashes do the work of 3 * 2 * m * m.
+    Returns ``doc_id, n_shingles, component_id, kept, text_md5``.  Two small hash collections of m min-hash triples each
+    give m * m table keys (every left triple with every right one), so 2 * 3 * m min-hashes do the work of 3 * 2 * m * m.
     Documents with equal sets are one node.  Triples and keys that only one node has are dropped by counting; in each
     shared key nodes are compared with a representative, and what these links leave apart is compared across
     components in a second turn, so no bucket is expanded into all its pairs and none is capped.  A one-byte sketch
@@ -142,41 +187,41 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     their own texts.  Rows with a null doc_id are returned with a null component_id and kept.  Other columns of
     ``docs`` are ignored, an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    m = tables_per_side(num / den)
-    agree = math.floor(SKETCH * num / den - 3.5 * math.sqrt(SKETCH * num / den * (1 - num / den)))
-    sketched = written(docs.mapInArrow(_sketch(m, words), "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>, sketch array<long>"), "sketches")
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("copy"))
+    m, agree = tables_per_side(num / den), least_agreeing(num / den)
+    sketched = written(docs.mapInArrow(_sketch(m, words), "doc_id long, copy binary, n_shingles long, digest binary, left array<long>, right array<long>, sketch array<long>"), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
-    leaders = written(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "leaders")
-    led = full.join(leaders, (full["doc_id"] == leaders["node"]) & (full["digest"] == leaders["digest"]), "left_semi")
-    nodes = written(led.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "left", "right", "sketch"), "nodes")
+    same = [F.first(c).alias(c) for c in ("n_shingles", "left", "right", "sketch")]  # functions of the set
+    nodes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "copy")).alias("at"), *same)
+    node = F.struct(F.col("at.doc_id").alias("low"), "digest")
+    nodes = written(nodes.select(node.alias("id"), _row("at.doc_id", F.col("at.copy")).alias("row"), "n_shingles", "left", "right", "sketch"), "nodes")
 
     halves = nodes.select("id", F.posexplode(F.concat("left", "right")).alias("slot", "h"))
-    met = written(halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h"), "halves")
-    mine = halves.join(met, "h", "left_semi").groupBy("id").agg(F.collect_set(F.when(F.col("slot") < m, F.col("h"))).alias("left"), F.collect_set(F.when(F.col("slot") >= m, F.col("h"))).alias("right"))
-    keys = written(mine.select("id", F.explode("left").alias("x"), "right").select("id", "x", F.explode("right").alias("y")).select("id", F.xxhash64("x", "y").alias("key")), "keys")
-    rank = F.struct(F.xxhash64("id", "key").alias("r"), F.col("id").alias("rep"))
-    shared = written(keys.groupBy("key").agg(F.min(rank)["rep"].alias("rep"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "rep"), "reps")
-    members = written(keys.join(shared, "key"), "members")
-
-    sets = written(_sets(docs, members.select("id").distinct(), words), "sets")
-    sketch = nodes.select("id", "sketch")
-    first = members.where("id <> rep").select("id", "rep").distinct()
-    first = first.join(sketch, "id").withColumnRenamed("sketch", "x").join(sketch.withColumnsRenamed({"id": "rep"}), "rep").withColumn("like", _agreeing(F.col("x"), F.col("sketch"))).where(F.col("like") >= agree)
-    best = first.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("like", "rep")), asc=False), 1, FIRST_REPS).alias("r")).select("id", F.explode("r.rep").alias("rep"))
-    pairs = written(best.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct(), "pairs")
+    met = halves.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    side = lambda test: F.collect_list(F.when(test, F.struct("slot", "h")))
+    mine = halves.join(met, "h", "left_semi").groupBy("id").agg(side(F.col("slot") < m).alias("lefts"), side(F.col("slot") >= m).alias("rights"))
+    mine = mine.where("size(lefts) > 0 and size(rights) > 0").join(nodes.select("id", "row", "sketch"), "id")
+    keys = mine.select("id", "row", "sketch", F.explode("lefts").alias("x"), "rights").select("id", "row", "sketch", "x", F.explode("rights").alias("y"))
+    keys = written(keys.select("id", "row", "sketch", F.xxhash64("x.h", "y.h").alias("key"), (F.col("x.slot") * m + F.col("y.slot") - m).alias("slot")), "keys")
+    rank = F.struct(F.xxhash64("id", "key").alias("r"), F.col("id").alias("rep"), F.col("sketch").alias("rep_sketch"))
+    shared = keys.groupBy("key").agg(F.min(rank).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "m.rep", "m.rep_sketch")
+    like = F.when(F.col("id") != F.col("rep"), _agreeing(F.col("sketch"), F.col("rep_sketch")))
+    members = written(keys.join(shared, "key").select("key", "slot", "id", "row", "rep", like.alias("like")), "members")
+
+    sets = written(_sets(docs, members.select("row"), words), "sets")
+    best = F.slice(F.sort_array(F.collect_set(F.struct("like", "rep")), asc=False), 1, FIRST_REPS)
+    pairs = members.where(F.col("like") >= agree).groupBy("id").agg(best.alias("r")).select(F.col("id").alias("a"), F.explode("r.rep").alias("b"))
     links = written(_confirmed(pairs, sets, num, den), "links")
-    groups = written(connected_components(links), "groups")
-
-    at = written(members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c")), "placed")
-    split = written(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "split")
-    apart = written(at.join(split, "key", "left_semi").select("id", "c").distinct(), "apart")
-    if not apart.isEmpty():
-        links = links.union(written(_across(apart.join(nodes, "id"), sets, m, agree, num, den), "across"))
-        groups = written(connected_components(links), "groups")
-
-    node_of = leaders.join(groups, leaders["node"] == groups["id"], "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
-    rows = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = rows.join(written(node_of, "components"), "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(True))).alias("kept"))
+    groups = connected_components(links)
+
+    at = members.select("key", "slot", "id").join(_small(groups), "id", "left").select("key", "slot", "id", F.coalesce("component_id", "id").alias("c"))
+    split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+    pairs = _across(at.join(split, "key"), nodes.drop("row"), _prefixes(sets, num, den), m, agree, num, den)
+    groups = connected_components(written(links.union(_confirmed(pairs, sets, num, den)), "all_links"))
+
+    of = nodes.select("id", F.col("id.digest").alias("digest")).join(_small(groups), "id", "left").select("digest", F.coalesce("component_id", "id")["low"].alias("component_id"))
+    out = full.select("doc_id", "n_shingles", "copy", "digest").join(of, "digest")
+    alone = sketched.where("not (n_shingles > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"), F.lower(F.hex("copy")).alias("text_md5")]
+    return out.select(*columns).unionByName(alone.select(*columns))

@@ -56,8 +56,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 2000: 2000, 2001: 2000}
 
 
-def test_near_duplicates_against_all_pairs(spark):
-    rng = np.random.default_rng(3)
+def test_components_by_contraction(spark, monkeypatch):
+    from codequarry.llm import components
+
+    monkeypatch.setattr(components, "LOCAL", 3)
+    edges = spark.createDataFrame([((i, "x"), (i + 1, "x")) for i in range(60) if i % 7] + [((9, "x"), (9, "x"))], "a struct<k:long,v:string>, b struct<k:long,v:string>")
+    got = {r["id"]["k"]: r["component_id"]["k"] for r in connected_components(edges).collect()}
+    least = lambda i: next(k for k in range(i, -1, -1) if not k or not (k - 1) % 7)
+    assert got == {i: least(i) for i in range(1, 61)} and connected_components(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_near_duplicates_against_all_pairs(spark, num):
+    rng = np.random.default_rng(num)
     rows, bases = [], [prose(rng, 120) for _ in range(8)]
     for i in range(120):
         w = list(bases[i % 8])
@@ -74,10 +85,10 @@ def test_near_duplicates_against_all_pairs(spark):
 
     for a in sets:
         for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = {r["doc_id"]: r for r in near_duplicates(frame(spark, rows), 85, 100).collect()}
+    got = {r["doc_id"]: r for r in near_duplicates(frame(spark, rows), num, 100).collect()}
     assert {i: r["component_id"] for i, r in got.items()} == {i: root(i) for i in sets}
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
@@ -323,3 +334,24 @@ def test_near_duplicates_edges(spark, edge, empty):
     got = near_duplicates(edge).collect()
     assert len(got) == len(EDGE) and near_duplicates(empty).count() == 0
     assert all(r["kept"] for r in got) and sum(r["n_shingles"] == 0 for r in got) == 3
+    a, b = "one two three four five six", "another text of quite other words"
+    repeated = near_duplicates(frame(spark, [(3, a, "en", "a"), (4, a, "en", "a"), (4, b, "en", "a"), (None, a, "en", "a")]))
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in repeated.collect() if r["doc_id"]) == [(3, 3, True), (4, 3, False), (4, 4, True)]
+
+
+def test_near_duplicates_across_split_keys(spark, monkeypatch):
+    """A hot passage, chains of near copies and keys in several parts, against all pairs."""
+    from codequarry.llm import neardup
+
+    monkeypatch.setattr(neardup, "PART", 16)
+    rng = np.random.default_rng(11)
+    passage, rows = prose(rng, 60), []
+    for i in range(150):
+        w = passage + prose(rng, 6 + i % 9) if i % 2 else list(passage) + ["z"] * 3
+        for _ in range(rng.integers(0, 5)):
+            w[rng.integers(0, len(w))] = "edit%d" % rng.integers(0, 400)
+        rows.append((i, " ".join(w), "en", "a"))
+    sets = {i: frozenset(zip(*[t.split()[k:] for k in range(5)])) for i, t, _, _ in rows}
+    links = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], "a long, b long")
+    want = {i: i for i in sets} | {r["id"]: r["component_id"] for r in connected_components(links).collect()}
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows)).collect()} == want
