@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codequarry.llm import lm
 from codequarry.llm.components import connected_components
 from codequarry.llm.decontaminate import benchmark_matches, closest, contaminated
 from codequarry.llm.hashing import shingle_set, word_hashes
@@ -176,8 +177,43 @@ def test_lm_trains_on_every_token(monkeypatch):
     seen = []
     monkeypatch.setattr(Trainer, "step", lambda self, contexts, targets: seen.append(len(targets)))
     batch = pa.RecordBatch.from_arrays([pa.array(["one two three " * 500] * 20)], ["text"])
-    run = _train_task(SimpleNamespace(value=words), SimpleNamespace(value=LogBilinear.fresh(words.unigram)), 0.01)
-    assert len(list(run([batch]))) == 1 and sum(seen) == 20 * 1501
+    run = _train_task(SimpleNamespace(value=words), SimpleNamespace(value=LogBilinear.fresh(words)), 64, 0.01, 1.0)
+    assert list(run([batch])) == [] and sum(seen) == 20 * 1501
+
+
+def test_lm_is_normalised(monkeypatch):
+    """Two levels, words that share a class, and the rest: probabilities add up to 1 and equal brute force."""
+    for name, value in (("ITEMS", 40), ("SINGLE", 3), ("LARGEST", 6), ("EQUAL", 4)):
+        monkeypatch.setattr(lm, name, value)
+    rng = np.random.default_rng(1)
+    hashes, counts = np.append(rng.integers(1 << 62, size=90, dtype=np.uint64), END), np.append(rng.integers(1, 60, 90), 25)
+    words = Lexicon(hashes, counts, int(counts.sum()) + 17, 99)
+    at, there = words.look_up(np.append(hashes, np.array([5, 1 << 63], np.uint64)))
+    assert there[:-2].all() and not there[-2:].any() and (words.counts[at[:-2]] == counts).all()
+    model = LogBilinear.fresh(words)
+    trainer = Trainer(model, words, 1, 0.1, 0.1)
+    contexts, targets = rng.integers(0, len(words.unigram), (4000, 4)), rng.integers(0, len(words.unigram), 4000)
+    trainer.step(contexts, targets)
+    model, n = trainer.model, len(words.unigram)
+    assert n == 40 and words.size.max() > 1 and words.size.sum() == n and abs(words.unigram.sum() - 1) < 1e-9
+    got = model.log_probabilities(words, np.repeat(contexts[:5], n, axis=0), np.tile(np.arange(n), 5)).reshape(5, n)
+    assert np.allclose(np.exp(got).sum(axis=1), 1, atol=1e-5)
+    for c in range(5):
+        q = np.append(sum(model.context[contexts[c, i]] * model.place[i] for i in range(4)), 1)
+        for item in range(n):
+            k = words.klass[item]
+            own = np.exp(model.output[words.first[k] : words.first[k] + words.size[k]] @ q)
+            p = np.exp(model.classes @ q)[k] / np.exp(model.classes @ q).sum() * own[item - words.first[k]] / own.sum()
+            assert abs(np.log(p) - got[c, item]) < 1e-3
+
+
+def test_lm_averages_by_row(monkeypatch):
+    import pandas as pd
+
+    row = lambda copy, rows, seen, values: {"part": "context:0", "copy": copy, "rows": np.array(rows, np.int32).tobytes(), "seen": np.array(seen, np.float32).tobytes(), "values": np.repeat(np.array(values, np.float16), lm.DIM).tobytes()}
+    got = lm._merged(pd.DataFrame([row(1, [2, 5], [1, 3], [4, 8]), row(2, [5, 7], [1, 2], [4, 1])])).iloc[0]
+    assert np.frombuffer(got["rows"], np.int32).tolist() == [2, 5, 7] and np.frombuffer(got["seen"], np.float32).tolist() == [1, 4, 2]
+    assert np.frombuffer(got["values"], np.float16).reshape(3, -1)[:, 0].tolist() == [4, 7, 1]
 
 
 PAGE = '<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><a>Home</a></nav><div class="{0}"><h1>{1}</h1><p>First &amp; <b>bo</b>ld.<br><p>Second {2} <!-- c --></div><div class="comments"><p>me</p></div><footer>f</footer>'
