@@ -9,11 +9,12 @@ from .workspace import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "A-Za-z0-9._%+-"
-#: A look-behind (or the end of the match before, \G) spares starting again inside a run that has already failed.
+#: A look-behind (or the end of the match before, \G) spares starting again inside a run that has already failed;
+#: possessive groups do not recurse, however long the run.
 PATTERNS = {
-    "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"(?:(?<![0-9])|\G)[0-9]([\x20-]?[0-9])+",
+    "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Cheap necessary conditions, so that most texts are not split at all.
@@ -23,7 +24,9 @@ GATES = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": lambda t: t.contains("+"),
 }
-SMALL = 200_000  # rows that may be broadcast
+OTHER, RUN = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+"
+SMALL = 200_000  # rows of bounded width that may be broadcast
+BYTES = 16_000_000  # of other tables
 
 
 def _digits(x: Column) -> Column:
@@ -40,15 +43,28 @@ def _luhn(x: Column) -> Column:
 
 def _valid(kind: Column, x: Column) -> Column:
     n = F.length(_digits(x))
-    small = F.forall(F.split(x, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)") <= 255, F.lit(False)))
+    small = F.forall(F.split(x, r"\."), lambda p: p.rlike("^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
     return F.when(kind == 0, True).when(kind == 1, small).when(kind == 2, n.between(13, 19) & _luhn(x)).when(kind == 3, n.between(9, 15)).otherwise(True)
 
 
 def _cut(text: Column, pattern: Column, kind: int, gate: Column) -> Column:
     """An array of (kind, i, gap before, text) of the pattern's matches in a text."""
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    item = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(between[i]).alias("gap"), x.alias("x"))
-    return F.when(gate, F.transform(found, item)).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,x:string>>"))
+    pairs = F.filter(F.zip_with(found, between, lambda x, g: F.struct(x.alias("x"), F.length(g).alias("gap"))), lambda p: p["x"].isNotNull())
+    item = lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), p["gap"].alias("gap"), p["x"].alias("x"))
+    return F.when(gate, F.transform(pairs, item)).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,x:string>>"))
+
+
+def _cut_terms(text: Column, terms: Column) -> Column:
+    """As :func:`_cut`, of the words of a text that are terms: each is put between two marks that the text is rid of."""
+    parts = F.least(F.lit(256), F.floor(F.size(terms) / 8) + 1)
+    part = lambda w: F.pmod(F.xxhash64(w), parts)
+    dealt = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.filter(terms, lambda t: part(t) == k))
+    clean = F.translate(text, "\x01\x02", "  ")
+    marked = lambda w, deal: F.when(F.array_contains(F.get(deal, part(F.lower(w)).cast("int")), F.lower(w)), F.concat(F.lit("\x01"), w, F.lit("\x02"))).otherwise(w)
+    runs = F.transform(F.array(F.struct(dealt.alias("deal"), F.regexp_extract_all(clean, F.lit(RUN), F.lit(0)).alias("w"))), lambda s: F.transform(s["w"], lambda w: marked(w, s["deal"])))[0]
+    whole = F.array_join(F.zip_with(F.split(clean, RUN, -1), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.transform(_cut(whole, F.lit("\x01[^\x02]*\x02"), 4, F.lit(True)), lambda e: F.struct(e["kind"].alias("kind"), e["i"].alias("i"), e["gap"].alias("gap"), F.substring(e["x"], F.lit(2), F.length(e["x"]) - 2).alias("x")))
 
 
 def _placed(cut: DataFrame) -> DataFrame:
@@ -62,7 +78,17 @@ def _placed(cut: DataFrame) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with text made non-null and a key by which equal rows are one."""
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return docs.withColumn("_key", _hash128(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+
+
+def _hash128(*parts: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("|", *parts)))
+
+
+def _cast(df: DataFrame, *widths: Column) -> DataFrame:
+    """A written table, to be broadcast where it has at most SMALL rows and its columns of other width BYTES bytes."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(widths, F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= SMALL and size <= BYTES else df
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -74,11 +100,25 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def entity_of(kind: Column, x: Column) -> Column:
-    return F.xxhash64(kind, F.when(kind == 0, F.lower(x)).otherwise(_digits(x)))
+    return _hash128(kind.cast("string"), F.when(kind == 0, F.lower(x)).otherwise(_digits(x)))
+
+
+def words_of(text: Column) -> Column:
+    """Distinct lower-cased words of at least four letters that no letter or digit adjoins."""
+    runs = F.array_distinct(F.transform(F.split(text, OTHER), F.lower))
+    return F.filter(runs, lambda w: (F.length(w) >= 4) & ~w.rlike(r"\p{N}"))
+
+
+def copy_weights(docs: DataFrame) -> DataFrame:
+    """``_key, weight`` of the rows of ``docs`` that do not count as one: the rows of a text have weight 1 together."""
+    rows = docs.select("_key", F.unhex(F.md5("text")).alias("copy")).withColumn("r", F.xxhash64("_key"))
+    many = rows.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("least")).where("n > 1").select("copy", "least")
+    each = rows.join(_cast(written(many, "many")), "copy").groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("r") == F.col("least")).cast("int")).alias("one"))
+    return each.where("one = 0 or n > 1").select("_key", (F.col("one") / F.col("n")).alias("weight"))
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, alpha: float = 0.05) -> DataFrame:
-    """``entity, term`` where the term gives the entity away.
+    """``key, terms``: the words of a document that give an entity in it away.
 
     Entity: a matched value.  Terms: words of at least four letters anywhere in a document that holds it, but not in a
     matched value there.  Counts are of different texts, so that copies of one do not count as evidence.  With one
@@ -87,32 +127,39 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, alph
     term discloses from ``ratio`` of that on.  By chance, n(e, t) of the entity's documents hold the term with
     probability C(n(e), n(e, t)) p(t)^n(e, t) at most; times the entity's number of terms this must be ``alpha`` or
     less.  So a term seen once or twice with an entity is judged too.
+
+    Entities that stand in the same texts are judged as one, so a text of many values costs no more than one of few.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}])\p{L}{4,}(?![\p{L}\p{N}])"), F.lit(0))
     entity = entity_of(F.col("kind"), F.col("x"))
-    held = spans.groupBy("key").agg(F.collect_set(entity).alias("entities"), F.array_distinct(F.flatten(F.collect_list(words("x")))).alias("own"))
+    held = spans.groupBy("key").agg(F.collect_set(entity).alias("entities"), F.array_distinct(F.flatten(F.collect_list(words_of(F.col("x"))))).alias("own"))
     held = written(held, "held")
     if held.isEmpty():
-        return held.select(F.explode("entities").alias("entity"), F.lit("").alias("term"))
-    texts = docs.select(F.xxhash64("text").alias("copy"), "_key", "text").dropDuplicates(["copy"])
-    n = float(texts.count())
-    used = texts.select(F.explode(F.array_distinct(words("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    small = F.broadcast(held) if held.count() <= SMALL else held
-    mine = docs.join(small, docs["_key"] == held["key"]).select(F.xxhash64("text").alias("copy"), "entities", F.array_except(words("text"), "own").alias("terms")).dropDuplicates(["copy"])
-    mine = written(mine, "texts_with")
-    each = mine.select(F.explode("entities").alias("entity"), "terms")
-    have = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    both = each.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    both = written(both, "pairs")
-    tested = both.groupBy("entity").agg(F.count(F.lit(1)).alias("tested"))
-    have = written(have.join(tested, "entity"), "entities").where(F.col("with_entity") < n)
-    have = F.broadcast(have) if have.count() <= SMALL else have
-    told = both.join(have, "entity").join(written(used, "used"), "term")
-    ne, c, p = F.col("with_entity"), F.col("both"), F.col("with_term") / F.lit(n)
+        return held.select("key", F.col("own").alias("terms"))
+    held = _cast(held, F.size("entities") * 20, F.size("own") * 16)
+    odd = _cast(written(copy_weights(docs), "weights"))
+    weighted = docs.select("_key", "text").join(odd, "_key", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).where("weight > 0")
+    n = float(weighted.agg(F.sum("weight")).first()[0])
+    used = weighted.select("weight", F.explode(words_of(F.col("text"))).alias("term")).groupBy(F.xxhash64("term").alias("h")).agg(F.sum("weight").alias("with_term"))
+    mine = docs.join(held, docs["_key"] == held["key"]).select("key", F.unhex(F.md5("text")).alias("copy"), "entities", F.array_except(words_of(F.col("text")), "own").alias("terms"))
+    mine = written(mine.dropDuplicates(["key"]), "texts_with")
+    texts = mine.select("copy", F.explode("entities").alias("entity")).distinct()
+    same = lambda f: f(F.xxhash64("copy"))
+    sets = texts.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"), same(F.bit_xor).alias("x"), F.sum(F.xxhash64("copy") % (1 << 40)).alias("s"))
+    sets = written(sets.where(F.col("with_entity") < n).select("entity", F.struct("with_entity", "x", "s").alias("among")), "entities")
+    groups = written(mine.select("key", "copy", F.explode("entities").alias("entity")).join(_cast(sets), "entity").select("key", "copy", "among").distinct(), "groups")
+    both = groups.select("copy", "among").distinct().join(mine.select("copy", "terms").dropDuplicates(["copy"]), "copy").select("among", F.explode("terms").alias("term"))
+    both = written(both.groupBy("among", "term").agg(F.count(F.lit(1)).alias("both")), "pairs")
+    tested = _cast(written(both.groupBy("among").agg(F.count(F.lit(1)).alias("tested")), "tested"))
+    told = both.join(tested, "among").withColumn("h", F.xxhash64("term")).join(used, "h")
+    ne, c, p = F.col("among.with_entity"), F.col("both"), F.col("with_term") / F.lit(n)
     pmi = F.log((c + p) / (ne + 1) / p)
     ways = F.least(c, ne - c) * F.log(ne * F.lit(2.718281828) / F.greatest(F.least(c, ne - c), F.lit(1)))  # at least log C(ne, c)
     chance = F.log("tested") + ways + c * F.log(p)
-    return told.where((pmi >= ratio * F.log(F.lit(n) / ne)) & (chance <= F.log(F.lit(alpha)))).select("entity", "term")
+    told = told.where((pmi >= ratio * F.log(F.lit(n) / ne)) & (chance <= F.log(F.lit(alpha))))
+    told = written(told.groupBy("among").agg(F.collect_set("term").alias("found")), "told")
+    told = groups.select("key", "among").join(_cast(told, F.length(F.array_join("found", " "))), "among").groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    told = told.join(mine, "key").select("key", F.array_intersect("terms", "found").alias("terms"))
+    return told.where("size(terms) > 0")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -120,13 +167,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     spans = written(base_spans(docs), "spans")
     terms = written(disclosing_terms(docs, spans), "disclosing")
     out = spans.select("key", "kind", "start", "end")
-    if terms.isEmpty():
-        return out
-    mine = spans.select("key", entity_of(F.col("kind"), F.col("x")).alias("entity")).distinct().join(terms, "entity").groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms"))
-    mine = written(mine, "terms_of")
-    mine = F.broadcast(mine) if mine.count() <= SMALL else mine
-    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.col("terms"), F.lit(r")(?![\p{L}\p{N}])"))
-    more = docs.join(mine, docs["_key"] == mine["key"]).select("key", F.explode(_cut(F.col("text"), pattern, 4, F.lit(True))).alias("e"))
+    more = docs.join(_cast(terms, F.length(F.array_join("terms", " "))), F.col("_key") == F.col("key")).select("key", F.explode(_cut_terms(F.col("text"), F.col("terms"))).alias("e"))
     return out.unionByName(_placed(more).select("key", "kind", "start", "end"))
 
 
@@ -162,7 +203,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """
     rows = keyed(docs.select(F.struct("*").alias("_doc"), F.col("text").isNull().alias("_null"), "doc_id", "text"))
     found = written(_in_order(all_spans(rows.select("doc_id", "text", "_key"))), "found")
-    found = F.broadcast(found) if found.count() <= SMALL else found
+    found = _cast(found, F.size("s") * 24)
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     order = F.array_sort(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     text = F.col("text")
