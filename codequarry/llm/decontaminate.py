@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -24,18 +25,19 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def closest(pattern: str, text: str) -> tuple[int, int]:
-    """Least edit distance of ``pattern`` to any substring of ``text``, and where the first such ends (Myers 1999)."""
+def distances(pattern: str, text: str, start: int = 0, anchored: bool = False):
+    """For each end in ``text``: the edit distance of ``pattern`` to the nearest substring that ends there (Myers 1999).
+
+    ``anchored``: to the text from ``start`` up to there.
+    """
     m = len(pattern)
-    if not m:
-        return 0, 0
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << m - 1
-    up, down, score, best, end = full, 0, m, m, 0
-    for j, c in enumerate(text, 1):
-        eq = masks.get(c, 0)
+    full, top, score = (1 << m) - 1, 1 << m - 1, m
+    up, down = full, 0
+    for j in range(start, len(text)):
+        eq = masks.get(text[j], 0)
         x = eq | down
         d = ((((eq & up) + up) & full) ^ up) | x
         plus, minus = down | (full & ~(d | up)), up & d
@@ -43,11 +45,32 @@ def closest(pattern: str, text: str) -> tuple[int, int]:
             score += 1
         elif minus & top:
             score -= 1
-        if score < best:
-            best, end = score, j
-        plus, minus = plus << 1 & full, minus << 1 & full
+        plus, minus = (plus << 1 | anchored) & full, minus << 1 & full
         up, down = minus | (full & ~(x | plus)), plus & x
-    return best, end
+        yield score
+
+
+def passages(item: str, text: str, budget: int):
+    """``(distance, start, end)`` of the occurrences of ``item`` within ``budget`` edits, left to right, apart from each other.
+
+    From the first end within the budget on, the least distance of the next ``budget`` ends decides; the passage is the
+    shortest one of that distance.
+    """
+    at = 0
+    while at < len(text):
+        best = None
+        for j, score in enumerate(distances(item, text, at), at + 1):
+            if best and (not best[0] or j > best[2]):
+                break
+            if score <= budget and (best is None or score < best[0]):
+                best = score, j, best[2] if best else j + budget
+        if not best:
+            return
+        distance, end, _ = best
+        back = text[max(at, end - len(item) - budget) : end][::-1]
+        length = next(j for j, score in enumerate(distances(item[::-1], back, 0, True), 1) if score == distance)
+        yield distance, end - length, end
+        at = end
 
 
 def budget_of(length: int, rate: float) -> int:
@@ -66,79 +89,100 @@ def _matcher(items: list[tuple[int, str]], rate: float):
     auto.make_automaton()
 
     def matches(text: str):
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, hits) in auto.iter(text):
             for k, at in hits:
-                k_budget, start = budget_of(len(items[k][1]), rate), end + 1 - size - at
-                lo, hi = max(0, start - k_budget), start + len(items[k][1]) + k_budget
-                spans = windows.setdefault(k, [])
-                if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 4 * len(items[k][1]):
-                    spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
-                else:
-                    spans.append([lo, hi])
+                budget, start = budget_of(len(items[k][1]), rate), end + 1 - size - at
+                windows.setdefault(k, []).append((max(0, start - budget), start + len(items[k][1]) + budget))
         for k, spans in windows.items():
             item_id, item = items[k]
-            for lo, hi in spans:
-                part = text[lo:hi]
-                at = part.find(item)
-                distance, end = (0, at + len(item)) if at >= 0 else closest(item, part)
-                if distance <= budget_of(len(item), rate):
-                    yield item_id, distance, lo + (at if at >= 0 else max(0, end - len(item))), lo + end
+            budget = budget_of(len(item), rate)
+            for lo, hi in _joined(spans):
+                for distance, start, end in passages(item, text[lo:hi], budget):
+                    if budget or _whole(text, lo + start, lo + end):
+                        yield item_id, distance, lo + start, lo + end
 
     return matches
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_chars: int = 40) -> DataFrame:
+def _joined(spans: list[tuple[int, int]]):
+    """Spans in order, those that overlap as one."""
+    spans.sort()
+    lo, hi = spans[0]
+    for a, b in spans[1:]:
+        if a > hi:
+            yield lo, hi
+            lo, hi = a, b
+        else:
+            hi = max(hi, b)
+    yield lo, hi
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
     """Passages of ``docs`` within an edit distance of rate * length of a benchmark item.
 
     Returns ``doc_id, item_id, distance, start_char, end_char``, one row for each passage; places are code points of
     the normalised text (white space to one space, trimmed, lower-cased).  Each item is cut into budget + 1 pieces; an
-    exact hit of a piece fixes a window, which bit-parallel edit distance checks.  Items shorter than ``min_chars``
-    would match by chance and must occur exactly (budget 0) as whole words.  The benchmark is taken in blocks of
-    BLOCK_CHARS characters, so what each task holds is bounded; every block is held against all documents.
+    exact hit of a piece fixes a window, in which bit-parallel edit distance finds all passages, apart from each other.
+    Items so short that the budget is 0 would match by chance and must occur as whole words.
 
-    Null and empty texts or items match nothing; a repeated item counts once; rows with a null doc_id are matched as
-    any other; further columns are ignored.
+    The benchmark is the query set: it is taken in blocks of BLOCK_CHARS characters, so what each task holds is bounded;
+    every block is held against all documents.  Null and empty texts or items match nothing; a repeated item counts
+    once; rows with a null doc_id and rows that repeat one are matched as any other; further columns are ignored.
     """
-    items = benchmark.select("item_id", "text").where("text is not null")
     schema = "doc_id long, item_id long, distance int, start_char int, end_char int"
-    out = None
-    for block in _blocks(items):
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_match_task(block, rate, min_chars), schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = [rows.mapInArrow(_match_task(block, rate), schema) for block in _blocks(benchmark)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
+    """``docs``, whole rows with all their columns, without those that hold a passage (see :func:`benchmark_matches`).
 
-def _blocks(items: DataFrame):
-    block, size = [], 0
-    for row in items.toLocalIterator():
+    One pass over the documents, without a shuffle; rows with null texts stay, repeated rows fare alike.
+    """
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["_doc"].dataType.simpleString()
+    for block in _blocks(benchmark):
+        rows = rows.mapInArrow(_keep_task(block, rate), f"_doc {kind}, text string")
+    return rows.select("_doc.*")
+
+
+def _blocks(benchmark: DataFrame):
+    """Broadcasts of lists of ``(item_id, normalised text)``; the driver reads item by item and holds one block."""
+    block, size = set(), 0
+    for row in benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
         text = normal(row["text"])
-        if text:
-            block.append((row["item_id"], text))
+        if text and (row["item_id"], text) not in block:
+            block.add((row["item_id"], text))
             size += len(text)
         if size >= BLOCK_CHARS:
-            yield sorted(set(block), key=str)
-            block, size = [], 0
+            yield benchmark.sparkSession.sparkContext.broadcast(sorted(block, key=str))
+            block, size = set(), 0
     if block:
-        yield sorted(set(block), key=str)
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted(block, key=str))
 
 
-def _match_task(block: list[tuple[int, str]], rate: float, min_chars: int):
+def _match_task(block, rate: float):
     def run(batches):
-        long_items, short_items = [x for x in block if len(x[1]) >= min_chars], [x for x in block if len(x[1]) < min_chars]
-        finders = [(_matcher(x, r), r > 0) for x, r in ((long_items, rate), (short_items, 0.0)) if x]
+        find = _matcher(block.value, rate)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    t = normal(text)
-                    out += [(doc_id, *m) for f, anywhere in finders for m in f(t) if anywhere or _whole(t, m[2], m[3])]
+            out = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for m in find(normal(text))]
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "start_char", "end_char"])
 
     return run
 
 
+def _keep_task(block, rate: float):
+    def run(batches):
+        find = _matcher(block.value, rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not text or next(find(normal(text)), None) is None for text in batch.column(1).to_pylist()], pa.bool_()))
+
+    return run
+
+
 def _whole(text: str, start: int, end: int) -> bool:
     return not (text[start - 1 : start].isalnum() and start) and not text[end : end + 1].isalnum()
 
