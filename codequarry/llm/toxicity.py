@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W_]+")
-QUOTES = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“”\n]{1,200}[“”]")
+MARK = re.compile("[\"“”«»„\n]")
+CLOSERS = {'"': '"', "“": "”", "«": "»", "„": "“”"}
 REPORTING = frozenset("said says called calls quoted quote quotes word term wrote writes insult slur dit disait mot terme sagte nannte wort begriff dijo llamó palabra término".split())
 WINDOW = 5
 STEMS = (4, 5, 6)
@@ -102,19 +104,36 @@ def _lookup(model: ToxicityModel):
     return find
 
 
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of what stands in quotation marks, however long; a quotation does not go past its line."""
+    opened, closed, start, closers = [], [], -1, ""
+    for m in MARK.finditer(text):
+        c = m.group()
+        if c == "\n":
+            start = -1
+        elif start < 0:
+            start, closers = (m.start(), CLOSERS[c]) if c in CLOSERS else (-1, "")
+        elif c in closers:
+            opened.append(start)
+            closed.append(m.end())
+            start = -1
+    return opened, closed
+
+
 def _features(text: str | None, find) -> tuple[float, ...]:
     t = (text or "").lower()
     tokens = TOKEN.findall(t)
     hits = {w: f for w in set(tokens) if (f := find(w))[0]}
     if not hits:
         return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
-    quoted = [(m.start(), m.end()) for m in QUOTES.finditer(t)]
+    opened, closed = quotations(t)
     count, strongest, before = [0.0, 0.0, 0.0, 0.0], 0.0, []
     for m in TOKEN.finditer(t):
         w = m.group()
         kind, weight = hits.get(w, (0, 0.0))
         if kind:
-            if REPORTING.intersection(before) or any(a <= m.start() < b for a, b in quoted):
+            k = bisect(opened, m.start()) - 1
+            if REPORTING.intersection(before) or k >= 0 and m.start() < closed[k]:
                 count[3] += 1
             else:
                 count[kind - 1] += 1
@@ -200,7 +219,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Only the text is read.  A hit is a lexicon word, a word with a lexicon stem, or a word within one edit of a
     lexicon word of five letters or more; hits in quotation marks, or within five words after a reporting word, count
-    as quoted and apart.  Texts without a hit get the model's base rate.
+    as quoted and apart.  Texts without a hit get the model's base rate.  The reporting words are a fixed list.
+
+    Rows with a null doc_id and rows that repeat one are scored as any other; equal texts get equal scores; an empty
+    table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scored = rows.mapInArrow(_feature_task(model), f"doc_id long, {FEATURE_SCHEMA}")
