@@ -225,3 +225,22 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int =
     alone = sketched.where("not (n_shingles > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"), F.lower(F.hex("copy")).alias("text_md5")]
     return out.select(*columns).unionByName(alone.select(*columns))
+
+
+def _identity(doc_id: Column, text_md5: Column) -> Column:
+    """128 bits of a row's doc_id and text, nulls told apart from texts."""
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text_md5, F.lit("null"))))
+
+
+def without_duplicates(docs: DataFrame, num: int = 80, den: int = 100, words: int = 5) -> DataFrame:
+    """``docs``, whole rows with all their columns: of each group of near duplicates only the least doc_id's.
+
+    Rows that repeat both doc_id and text stay once (the first by their JSON); rows that repeat a doc_id with another
+    text are judged by it; rows without words, and those with a null doc_id, are no duplicates of other rows.
+    """
+    found = near_duplicates(docs, num, den, words).select("kept", _identity(F.col("doc_id"), F.col("text_md5")).alias("gone"))
+    odd = _small(written(found.groupBy("gone").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "odd"))
+    rows = docs.select(F.struct("*").alias("_doc"), _identity(F.col("doc_id"), F.md5(F.col("text").cast("string"))).alias("_key"))
+    once = rows.join(odd.where("kept"), F.col("_key") == F.col("gone"), "left_semi").groupBy("_key").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+    alone = rows.join(odd, F.col("_key") == F.col("gone"), "left_anti")
+    return alone.select("_doc").unionByName(once.select("_doc")).select("_doc.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import lm
 from codequarry.llm.components import connected_components
-from codequarry.llm.decontaminate import benchmark_matches, closest, contaminated
+from codequarry.llm.decontaminate import benchmark_matches, contaminated, distances, passages, without_contaminated
 from codequarry.llm.hashing import shingle_set, word_hashes
 from codequarry.llm.html import _greedy, align, constants, extract_pages, fold, host_wrappers, main_text, segments, slots, stream
 from codequarry.llm.imatch import fingerprints
@@ -19,7 +19,7 @@ from codequarry.llm.lm import END, Lexicon, LogBilinear, Trainer, _train_task, s
 from codequarry.llm.mixing import mix_sources, sainte_lague
 from codequarry.llm.neardup import near_duplicates
 from codequarry.llm.pii import find_pii, sanitised
-from codequarry.llm.toxicity import FuzzyTrie, fit_toxicity, score_toxicity, without_toxic
+from codequarry.llm.toxicity import FuzzyTrie, fit_toxicity, quotations, score_toxicity, without_toxic
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EDGE = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", None, None), (3, "word " * 30_000, "en", "a", 1), (4, "same text here again now ok", "en", "a", 1), (4, "same text here again now ok", "en", "a", 1), (5, "x", None, "b", 1)]
@@ -267,14 +267,29 @@ def test_html_keeps_articles_without_markup(spark):
 
 
 def test_decontamination(spark, edge, empty):
-    for p, t, d in (("abc", "xxabcxx", 0), ("abc", "xxabxcx", 1), ("kitten", "sitting", 2), ("ab", "", 2)):
-        assert closest(p, t)[0] == d
+    rng = np.random.default_rng(2)
+    for _ in range(200):  # both forms against the whole table
+        p, t = ("".join(rng.choice(list("ab"), rng.integers(1, 9))) for _ in range(2))
+        for anchored in (False, True):
+            rows = [[j if anchored else 0 for j in range(len(t) + 1)]]
+            for i, c in enumerate(p, 1):
+                rows.append([i])
+                for j, x in enumerate(t, 1):
+                    rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (c != x)))
+            assert list(distances(p, t, 0, anchored)) == rows[-1][1:]
+    assert list(passages("abcd", "xxabcdabcdyyabxcdz", 1)) == [(0, 2, 6), (0, 6, 10), (1, 12, 17)]
     item = "the quick brown fox jumps over the lazy dog and then it runs far away from the bear " * 2
     bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny"), (1, item)], "item_id long, text string")
     typo = item.replace("quick", "qu1ck", 1).upper().replace(" ", "  ")
     docs = frame(spark, [(1, "xx " + item + " yy", "en", "a"), (2, "aa " + typo, "en", "a"), (3, "clean text of no matter", "en", "a"), (4, item[:60], "en", "a"), (5, "a tiny one", "en", "a"), (6, "destiny", "en", "a")])
     assert {(r["doc_id"], r["items"]) for r in contaminated(docs, bench).collect()} == {(1, "1"), (2, "1"), (5, "3")}
     assert [r["distance"] for r in benchmark_matches(docs.where("doc_id = 2"), bench).collect()] == [1]
+    two = frame(spark, [(9, "ab, " + item + item.replace("quick", "quic", 1) + "end", "en", "a"), (None, item, "en", "a")])
+    assert [tuple(r)[1:] for r in benchmark_matches(two.where("doc_id = 9"), bench).orderBy("start_char").collect()] == [(1, 0, 4, 3 + len(item)), (1, 1, 4 + len(item), 2 + 2 * len(item))]
+    short = spark.createDataFrame([(5, "a short item of thirty letters")], "item_id long, text string")
+    assert contaminated(frame(spark, [(1, "this is a shart item of thirty letters or so", "en", "a"), (2, "a short rest", "en", "a")]), short).first()["doc_id"] == 1
+    clash = docs.withColumns({"_doc": F.lit(1), "item_id": F.lit(2)})
+    assert {r["doc_id"] for r in without_contaminated(clash, bench).collect()} == {3, 4, 6} and without_contaminated(clash, bench).columns == clash.columns
     assert contaminated(edge, bench).count() == 0 and contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -282,6 +297,19 @@ def test_fuzzy_trie():
     trie = FuzzyTrie(["moron", "pathetic"])
     near = ["moron", "mroron", "moon", "moran", "morons", "pathetc", "pathet1c", "oron"]
     assert all(map(trie.near, near)) and not any(map(trie.near, ["mon", "morpn5", "path", "", "normo"]))
+    rng = np.random.default_rng(5)
+    lexicon = ["".join(rng.choice(list("abc"), 6)) for _ in range(12)]
+    trie = FuzzyTrie(lexicon)
+    for _ in range(3000):
+        w = "".join(rng.choice(list("abc"), rng.integers(4, 9)))
+        edits = lambda x: {x[:k] + c + x[k + e :] for k in range(len(x) + 1) for c in ("", "a", "b", "c") for e in (0, 1)}
+        assert trie.near(w) == any(w in edits(x) for x in lexicon)
+
+
+def test_quotations():
+    long = '"' + "w " * 5000 + '" x\n"open “in” \n«a» „b“ „c” "'
+    assert [long[a:b][:6] for a, b in zip(*quotations(long))] == ['"w w w', "«a»", "„b“", "„c”"]
+    assert quotations("„" * 1_000_000) == ([], [])
 
 
 def test_toxicity(spark, edge, empty):
@@ -338,6 +366,18 @@ def test_pii(spark, edge, empty):
     assert find_pii(edge).count() == len(EDGE) and find_pii(empty).count() == 0 and sanitised(edge).columns == edge.columns
 
 
+def test_pii_survives_long_runs(spark):
+    """A million digits, labels, addresses' parts: the patterns do not recurse."""
+    runs = ["1" * 1_000_000, "1 " * 1_000_000, "a@b" + ".c" * 1_000_000, "1.2.3." + "4" * 1_000_000, "+1" + "(" * 1_000_000 + "2", "a" * 1_000_000, "é ann@mail.org " * 2000]
+    got = {r["doc_id"]: r for r in find_pii(frame(spark, [(k, t, "en", "a") for k, t in enumerate(runs)])).collect()}
+    assert [(got[k]["n_email"], got[k]["n_ip"], got[k]["n_card"], got[k]["n_phone"]) for k in range(7)] == [(0, 0, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (2000, 0, 0, 0)]
+
+
+def test_pii_terms_beyond_ascii(spark):
+    rows = [(1, "ÉCOLEX wrote to bob@mail.org about écolex", "en", "a")] + [(k, f"other words {k} here", "en", "a") for k in range(2, 200)]
+    assert sanitised(frame(spark, rows)).where("doc_id = 1").first()["text"].count("[TERM]") >= 2
+
+
 def test_pii_terms_of_rare_values(spark):
     rng = np.random.default_rng(9)
     common = ["".join(w) for w in rng.choice(list("abcdefgh"), (30, 5))]
