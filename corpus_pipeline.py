@@ -1,7 +1,11 @@
 """A training-data pipeline over ``documents``: five stages, each one operator of ``codequarry.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
-``docs``.  All but the last return the columns of ``documents``.
+``docs``.  All but the last return the columns of ``documents``, with any further ones, whatever their names.
+
+In all stages null texts are empty, an empty table gives an empty result, rows with a null doc_id and rows that repeat
+one are judged by their own texts, rows that repeat doc_id and text fare alike (stage 2 keeps one), and of documents that
+tie as least of a group there is only one, as the group's least doc_id decides.
 """
 
 from __future__ import annotations
@@ -9,21 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.decontaminate import benchmark_matches
+from codequarry.llm.decontaminate import without_contaminated
 from codequarry.llm.mixing import mix_sources
-from codequarry.llm.neardup import near_duplicates
+from codequarry.llm.neardup import without_duplicates
 from codequarry.llm.pii import sanitised
 from codequarry.llm.toxicity import fit_toxicity, without_toxic
 from codequarry.llm.workspace import written
 
-SMALL = 500_000  # ids that may be broadcast
-
-
-def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``docs`` without the rows whose ``key`` is in ``ids``."""
-    ids = written(ids.distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, key, "left_anti")
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go.  Learns from the labels of documents whose crc32(doc_id) mod 3 is not 1."""
@@ -33,15 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays; repeated rows once."""
-    groups = near_duplicates(docs, num=80, den=100, words=5)
-    return _without(docs, groups.where(~F.col("kept")).select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
+    return without_duplicates(docs, num=80, den=100, words=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of ``benchmark`` within the edit budget go."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = benchmark_matches(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(keyed, found.select(F.col("doc_id").alias("_key")), "_key").select(*docs.columns)
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("pii", sanitise), ("mixing", mix)]
 
-#: SQL cannot express the trained stages; tests/llm holds them against brute-force versions.
+#: SQL cannot express the trained stages; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
