@@ -13,28 +13,33 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _body(text: Column) -> Column:
-    """Lines without the empty one after a final line end."""
-    lines = _lines(text)
-    return F.when(F.endswith(text, F.lit("\n")), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+def _whole_lines(text: Column) -> Column:
+    """Lines up to each LF, with it."""
+    return F.regexp_extract_all(text, F.lit("[^\n]*+\n|[^\n]+"), F.lit(0))
 
 
 def _joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def _kept(lines: Column) -> Column:
+    """Lines that have kept their ends, as one text."""
+    return F.array_join(lines, "")
+
+
 def head(text: Column, lines: int = 10, skip: int = 0) -> Column:
-    body = _body(text)
+    """The first ``lines`` (0 or less: all) after ``skip``; LF, CR and CRLF end a line and stay with it."""
+    body = line_tokens(text, keep_ends=True)
     skip = max(skip, 0)
-    return _joined(F.slice(body, skip + 1, F.lit(lines) if lines > 0 else F.greatest(F.size(body), F.lit(1))))
+    return _kept(F.slice(body, skip + 1, F.lit(lines) if lines > 0 else F.greatest(F.size(body), F.lit(1))))
 
 
 def tail(text: Column, lines: int = 10, skip: int = 0) -> Column:
     """The last ``lines`` (-1: all) after the last ``skip`` lines are dropped; skipping more than there are gives nothing."""
-    body = _body(text)
+    body = line_tokens(text, keep_ends=True)
     left = F.greatest(F.size(body) - max(skip, 0), F.lit(0))
     n = left if lines < 0 else F.least(left, F.lit(lines))
-    return _joined(F.slice(body, left - n + 1, n))
+    return _kept(F.slice(body, left - n + 1, n))
 
 
 def lines_containing(text: Column, *literals: str, negate: bool = False) -> Column:
@@ -42,7 +47,7 @@ def lines_containing(text: Column, *literals: str, negate: bool = False) -> Colu
         hit = reduce(lambda a, b: a & b, [F.contains(line, F.lit(x)) for x in literals])
         return ~hit if negate else hit
 
-    return _joined(F.filter(_body(text), keep))
+    return _kept(F.filter(_whole_lines(text), keep))
 
 
 def lines_matching(text: Column, *patterns: str, negate: bool = False) -> Column:
@@ -50,15 +55,15 @@ def lines_matching(text: Column, *patterns: str, negate: bool = False) -> Column
         hit = reduce(lambda a, b: a & b, [line.rlike(p) for p in patterns])
         return ~hit if negate else hit
 
-    return _joined(F.filter(_body(text), keep))
+    return _kept(F.filter(_whole_lines(text), keep))
 
 
 def strip_line_comments(text: Column, *prefixes: str) -> Column:
-    return _joined(F.filter(_body(text), lambda line: ~reduce(lambda a, b: a | b, [F.startswith(line, F.lit(p)) for p in prefixes])))
+    return _kept(F.filter(_whole_lines(text), lambda line: ~reduce(lambda a, b: a | b, [F.startswith(line, F.lit(p)) for p in prefixes])))
 
 
 def strip_java_comments(text: Column) -> Column:
-    return F.regexp_replace(text, r'("(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\')|/\*[\s\S]*?(?:\*/|\z)|//[^\n\r]*', "$1")
+    return F.regexp_replace(text, r'("(?:[^"\\]++|\\.)*+"|\'(?:[^\'\\]++|\\.)*+\')|/\*[\s\S]*?(?:\*/|\z)|//[^\n\r]*', "$1")
 
 
 def strip_line_breaks(text: Column, chars: str = "\r\n") -> Column:
@@ -70,7 +75,7 @@ def tabs_to_spaces(text: Column, n: int = 8) -> Column:
 
 
 def prefix_lines(text: Column, prefix: str) -> Column:
-    return _joined(F.transform(_body(text), lambda line: F.concat(F.lit(prefix), line)))
+    return _kept(F.transform(_whole_lines(text), lambda line: F.concat(F.lit(prefix), line)))
 
 
 def replace_tokens(text: Column, values: dict[str, Column], begin: str = "@", end: str = "@") -> Column:
@@ -153,7 +158,7 @@ def expand_tabs(text: Column, width: int = 8) -> Column:
 
 
 def line_tokens(text: Column, keep_ends: bool = False) -> Column:
-    found = F.regexp_extract_all(text, F.lit("[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit("[^\r\n]*+(?:\r\n|\r|\n)|[^\r\n]+"), F.lit(0))
     return found if keep_ends else F.transform(found, lambda x: F.regexp_replace(x, "[\r\n]+\\z", ""))
 
 

@@ -46,24 +46,42 @@ def unpackage_map(name: Column, source: str, target: str) -> Column:
 
 def composite(name: Column, *mappers) -> Column:
     """Distinct results of all mappers, in order."""
-    return F.array_distinct(F.array_compact(F.array(*[m(name) for m in mappers])))
+    return F.array_distinct(F.flatten(F.array(*[_names(m, name) for m in mappers])))
 
 
 def chained(name: Column, *mappers) -> Column:
-    """Results of each mapper go through the next; each mapper gives one name or none."""
+    """Results of each mapper go through the next; a mapper gives one name, none, or, marked by :func:`many`, an array."""
     out = F.array(name)
     for m in mappers:
-        out = F.array_compact(F.transform(out, m))
+        out = F.array_distinct(F.flatten(F.transform(out, _of(m))))
     return out
 
 
+def _of(mapper):
+    return lambda name: _names(mapper, name)
+
+
+def _names(mapper, name: Column) -> Column:
+    found = mapper(name)
+    return F.array_compact(found if getattr(mapper, "many", False) else F.array(found))
+
+
+def many(mapper):
+    """Marks a mapper that gives an array of names, as a composite does."""
+    def run(name: Column) -> Column:
+        return mapper(name)
+
+    run.many = True
+    return run
+
+
 def adler32(text: Column) -> Column:
-    data = F.encode(text, "UTF-8")
-    hexed = F.hex(data)
-    step = lambda acc, i: F.struct(((acc["a"] + F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int")) % 65521).alias("a"), ((acc["b"] + acc["a"] + F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int")) % 65521).alias("b"))
-    start = F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"))
-    folded = F.aggregate(F.when(F.octet_length(text) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)).otherwise(F.array().cast("array<int>")), start, step)
-    return folded["b"].cast("long") * 65536 + folded["a"]
+    """Two sums over the bytes of the UTF-8 text, modulo 65521; the second one weighs a byte by how many follow it, and itself."""
+    data = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.octet_length(text).cast("long")
+    a, b = total(data) + 1, total(F.transform(data, lambda x, i: x * (n - i) % 65521)) + n
+    return (b % 65521) * 65536 + a % 65521
 
 
 def string_hash(text: Column) -> Column:
@@ -96,5 +114,23 @@ def iso_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
 
 
+def stamp_formats(stamp: Column) -> list[Column]:
+    """``dstamp, tstamp, today`` as a build's time stamps."""
+    return [F.date_format(stamp, p).alias(n) for n, p in (("dstamp", "yyyyMMdd"), ("tstamp", "HHmm"), ("today", "MMMM d yyyy"))]
+
+
+def gmt_format(millis: Column, pattern: str) -> Column:
+    """Milliseconds since the epoch by a pattern, in GMT whatever the session's zone."""
+    local = F.to_utc_timestamp(F.timestamp_millis(millis), F.current_timezone())
+    return F.date_format(local, pattern)
+
+
+def mapped_path(name: Column, prefixes: list[tuple[str, str]] = (), separator: str = "/", ignore_case: bool = False) -> Column:
+    """A path with the first prefix that fits replaced, then written with the target's directory separator."""
+    x = F.lower(name) if ignore_case else name
+    out = F.coalesce(*[F.when(F.startswith(x, F.lit(a.lower() if ignore_case else a)), F.concat(F.lit(b), F.substring(name, F.lit(len(a) + 1), F.length(name)))) for a, b in prefixes], name)
+    return F.replace(out, F.lit("/"), F.lit(separator))
+
+
 def base64_text(text: Column) -> Column:
     return F.base64(F.encode(text, "UTF-8"))

@@ -12,6 +12,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import running_sum
+
 UNITS = {"": 1, "K": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "KI": 2**10, "MI": 2**20, "GI": 2**30, "TI": 2**40}
 COMPARISONS = {
     "equal": lambda a, b: a == b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "greater": lambda a, b: a > b, "gt": lambda a, b: a > b,
@@ -72,6 +74,20 @@ def time_is(stamp: Column, moment: Column, when: str, granularity_ms: int = 0) -
     return {"before": t - granularity_ms < m, "after": t + granularity_ms > m, "equal": F.abs(t - m) <= granularity_ms}[when]
 
 
+def moment_of(text: str, pattern: str = "MM/dd/yyyy hh:mm a") -> Column:
+    """A time from its text; one that does not fit the pattern, or lies before 1970, is an error."""
+    fits = F.try_to_timestamp(F.lit(text), F.lit(pattern))
+    wrong = F.raise_error(F.lit(f"date of {text} cannot be parsed as {pattern}"))
+    early = F.raise_error(F.lit(f"date of {text} lies before January 1, 1970, 00:00:00 GMT"))
+    return F.when(fits.isNull(), wrong).when(F.unix_millis(fits) < 0, early).otherwise(fits).cast("timestamp")
+
+
+def depth_below(path: Column, base: Column) -> Column:
+    """Depth of a path below a base directory; a path that is not below it is an error."""
+    inside = F.startswith(path, F.concat(F.rtrim(base, F.lit("/")), F.lit("/")))
+    return F.when(inside, depth(path) - depth(base) - 1).otherwise(F.raise_error(F.concat(path, F.lit(" is not below "), base)).cast("int"))
+
+
 def depth(path: Column) -> Column:
     return F.size(F.filter(F.split(path, "/"), lambda p: p != "")) - 1
 
@@ -137,19 +153,18 @@ def restrict(rows: DataFrame, *tests: Column) -> DataFrame:
 def compare_with(rows: DataFrame, value: str, control: DataFrame, other: str, when: str = "less", quantifier: str = "all") -> DataFrame:
     """Rows whose value compares with all, any, one, most or none of the control's values.
 
-    The control is reduced to one row (bounds, count) or, for the counting quantifiers, to a sorted array of its
-    distinct values with running counts; rows are not multiplied.  An empty control: all and none hold.
+    The distinct values of both sides are ordered by ranges, and the control's values below, at and above each of them
+    are counted; rows find their counts by an equi-join.  An empty control: all and none hold.  Null values compare
+    with nothing, so they are left out unless the control is empty and the quantifier is all or none.
     """
-    cs = control.where(F.col(other).isNotNull()).groupBy(F.col(other).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    summary = cs.agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.coalesce(F.sum("n"), F.lit(0)).alias("_all"), F.array_sort(F.collect_list(F.struct("v", "n"))).alias("_vs") if quantifier in ("one", "majority", "most") or when in ("equal", "eq", "ne") else F.lit(None).alias("_vs"))
-    joined = rows.join(F.broadcast(summary))
-    op, x = COMPARISONS[when], F.col(value)
-    if when in ("equal", "eq", "ne") or quantifier in ("one", "majority", "most"):
-        n = F.aggregate("_vs", F.lit(0).cast("long"), lambda a, e: a + F.when(op(x, e["v"]), e["n"]).otherwise(0))
-        test = {"all": n == F.col("_all"), "each": n == F.col("_all"), "every": n == F.col("_all"), "any": n > 0, "some": n > 0, "one": n == 1, "majority": n * 2 > F.col("_all"), "most": n * 2 > F.col("_all"), "none": n == 0}[quantifier]
-    else:
-        low, high = op(x, F.col("_lo")), op(x, F.col("_hi"))
-        every, some = low & high, low | high
-        none = F.col("_all") == 0
-        test = {"all": none | every, "each": none | every, "every": none | every, "any": ~none & some, "some": ~none & some, "none": none | ~some}[quantifier]
-    return joined.where(test).select(*rows.columns)
+    both = rows.select(F.col(value).alias("_v"), F.lit(0).cast("long").alias("_n")).unionByName(control.select(F.col(other).alias("_v"), F.lit(1).cast("long").alias("_n")))
+    values = running_sum(both.where("_v is not null").groupBy("_v").agg(F.sum("_n").alias("_at")), [], ["_v"], "_at", "_below")
+    total = control.where(F.col(other).isNotNull()).agg(F.count(F.lit(1)).alias("_all"))  # one row
+    joined = rows.crossJoin(F.broadcast(total)).join(values, F.col(value) == F.col("_v"), "left")
+    below, at, every = F.col("_below"), F.col("_at"), F.col("_all")
+    less, more = every - below - at, below  # of the control's values that the row's is less or more than
+    n = {"less": less, "lt": less, "le": less + at, "greater": more, "gt": more, "more": more, "ge": more + at, "equal": at, "eq": at, "ne": every - at}[when]
+    n = F.coalesce(n, F.when(every == 0, F.lit(0)))
+    tests = {"all": n == every, "any": n > 0, "one": n == 1, "most": n * 2 > every, "none": n == 0}
+    same = {"each": "all", "every": "all", "some": "any", "majority": "most"}
+    return joined.where(tests[same.get(quantifier, quantifier)]).select(*rows.columns)

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import code_lines, physical_lines
 
-HIDDEN = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|/\*[\s\S]*?\*/|/\*[\s\S]*|//[^\n]*'
+LITERAL = r'"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\''  # possessive: long literals do not recurse
+HIDDEN = LITERAL + r"|/\*[\s\S]*?\*/|/\*[\s\S]*|//[^\n]*"
+ANNOTATIONS = r"^(?:@(?!interface\b)[\w.]+\s*(?:\((?:[^()]++|\([^()]*+\))*+\)\s*)?)+"
 TYPE = r"^[^(=]*?(@interface|\bclass|\binterface|\benum)\s+(\w+)[^(=]*\{$"
 METHOD = r"^(?:@\w+(?:\([^)]*\))?\s*)*[^=({]*?(\w+)\s*\([^{]*\)[^={]*[{;]$"
 CONTROL = r"^(?:.*\belse\s+)?(?:if|for|while|switch|catch|synchronized|try|do|return|throw|new|case|super|this)\b"
-BRANCHES = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?"
+BRANCHES = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?!\s*(?:extends\b|super\b|[>,]))"
 
 
 def masked(text: Column) -> Column:
@@ -71,7 +73,10 @@ def declarations(files: DataFrame) -> DataFrame:
     enclosing = F.last(F.when((F.col("role") == 1) & opener, F.struct("stmt", F.coalesce("type_name", F.lit("")).alias("name"))), ignorenulls=True).over(level)
     asked = e.withColumn("outer", enclosing).where("role = 0").drop("level", "role")
     inside = F.coalesce(F.col("outer.name"), F.lit("")) != ""
-    method = inside & F.col("type_name").isNull() & F.col("head").rlike(METHOD) & ~F.col("head").rlike(CONTROL) & F.col("last").isin("{", ";")
+    asked = asked.withColumn("head", F.regexp_replace("head", ANNOTATIONS, ""))
+    # a name without a type before it is a constructor's, or a constant of an enum
+    typed = ~F.col("head").rlike(r"^\w+\s*\(") | (opener & (F.regexp_extract("head", r"^(\w+)", 1) == F.col("outer.name")))
+    method = inside & F.col("type_name").isNull() & F.col("head").rlike(METHOD) & ~F.col("head").rlike(CONTROL) & F.col("last").isin("{", ";") & typed
     d = asked.withColumn("is_method", method).withColumn("is_public", method & F.regexp_extract("head", r"^([^(]*)\(", 1).rlike(r"\bpublic\b"))
     run = Window.partitionBy("path").orderBy("stmt").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({"c_branches": F.sum("branches").over(run), "c_public": F.sum(F.col("is_public").cast("int")).over(run), "c_methods": F.sum(F.col("is_method").cast("int")).over(run)})
@@ -116,7 +121,7 @@ def loc_by_file(files: DataFrame) -> DataFrame:
 
 def diagnostics(files: DataFrame) -> DataFrame:
     """``path, problem`` of files that do not parse: ``unterminated comment``, ``unbalanced braces``; others are absent."""
-    bare = F.regexp_replace("text", r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|/\*[\s\S]*?\*/|//[^\n]*', "")
+    bare = F.regexp_replace("text", LITERAL + r"|/\*[\s\S]*?\*/|//[^\n]*", "")
     code = masked(F.col("text"))
     count = lambda c: F.length(code) - F.length(F.replace(code, F.lit(c), F.lit("")))
     problem = F.when(bare.contains("/*"), "unterminated comment").when(count("{") != count("}"), "unbalanced braces")

@@ -5,38 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 1000
-
+from ..shared import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-codequarry-"))
-    return df.checkpoint()
+ROUNDS = 1000
 
 
 def closure(edges: DataFrame, roots: DataFrame, transitive: bool = True) -> DataFrame:
     """``node, depth`` reached from ``roots(node)``, each at its least depth; not transitive: roots and their direct references."""
     edges = edges.select("src", "dst").distinct()
-    seen = _cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, (ROUNDS if transitive else 1) + 1):
         found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
-            seen = _cut(seen)
+            seen = cut(seen)
     return seen
 
 
 def affected(edges: DataFrame, changed: DataFrame, transitive: bool = True) -> DataFrame:
-    """``node`` of everything that depends on ``changed(node)``; an inner class brings in its top-level class."""
+    """``node`` of everything that depends on ``changed(node)``; not transitive: an inner class brings in its top-level class."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     found = closure(back, changed, transitive).select("node")
+    if transitive:
+        return found.distinct()
     return found.select(F.explode(F.array_distinct(F.array("node", F.substring_index("node", "$", 1)))).alias("node")).distinct()
 
 
@@ -45,12 +40,12 @@ def inheritance(edges: DataFrame) -> DataFrame:
 
     Levels are peeled from the roots; a node on a cycle is not reached and is left out.
     """
-    edges = _cut(edges.select("src", "dst").distinct())
+    edges = cut(edges.select("src", "dst").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    level = _cut(nodes.join(edges, nodes["node"] == edges["src"], "left_anti").withColumn("dit", F.lit(0)))
+    level = cut(nodes.join(edges, nodes["node"] == edges["src"], "left_anti").withColumn("dit", F.lit(0)))
     found = level
     for depth in range(1, ROUNDS + 1):
-        level = _cut(level.join(edges, level["node"] == edges["dst"]).select(F.col("src").alias("node")).distinct().withColumn("dit", F.lit(depth)))
+        level = cut(level.join(edges, level["node"] == edges["dst"]).select(F.col("src").alias("node")).distinct().withColumn("dit", F.lit(depth)))
         if level.isEmpty():
             break
         found = found.unionByName(level)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import COMPARISONS
+
 
 def _there(df: DataFrame) -> Column:
     return F.coalesce(df["exist"], F.lit(True))
@@ -171,5 +173,15 @@ def length_each(rows: DataFrame) -> DataFrame:
     return rows.select("name", F.when(F.coalesce("exist", F.lit(True)) & ~F.coalesce("is_dir", F.lit(False)), F.col("size")).alias("length"))
 
 
+def length_text(text: Column, trim: bool = False) -> Column:
+    """Length in characters; ``trim`` strips every character up to U+0020 at both ends first."""
+    return F.length(F.regexp_replace(text, r"^[\x00-\x20]++|[\x00-\x20]+$", "") if trim else text).cast("long")
+
+
+def length_is(length: Column, threshold: int, when: str = "equal") -> Column:
+    """The condition form: a length against a threshold."""
+    return COMPARISONS[when](length, F.lit(threshold))
+
+
 def length_all(rows: DataFrame) -> DataFrame:
     return length_each(rows).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("length"))

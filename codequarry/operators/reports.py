@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import running_sum
+
 
 def summary(metrics: DataFrame) -> DataFrame:
     """One row: classes, average npm and loc (two places, null when empty), total loc."""
@@ -101,6 +103,12 @@ def violation_counts(found: DataFrame) -> DataFrame:
     return found.rollup("file").agg(F.count(F.lit(1)).alias("n"))
 
 
-def concat_docs(rows: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
-    """Texts of a key in order, one below the other; null texts are skipped."""
-    return rows.where(F.col(text).isNotNull()).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("text"))
+def concat_docs(rows: DataFrame, key: str, order: str, text: str = "text", separator: str = "\n") -> DataFrame:
+    """Texts of a key in order, one below the other, as ordered pieces: ``key, order, start, text``.
+
+    start: where the text begins in the concatenation, in code points.  A key's concatenation is never one value or one
+    task, however many rows it has; null texts are skipped, rows that tie in ``order`` follow by text.
+    """
+    kept = rows.where(F.col(text).isNotNull()).select(key, order, F.col(text).alias("text"))
+    sized = kept.withColumn("_size", F.length("text").cast("long") + len(separator))
+    return running_sum(sized, [key], [order, "text"], "_size", "start").select(key, order, "start", "text")

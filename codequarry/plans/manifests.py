@@ -9,6 +9,7 @@ from ..functions import mappers as N
 from ..functions import predicates as P
 from ..functions.user import name_mapper, predicate
 from ..operators import manifests as J
+from ..operators import reports as R
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -47,6 +48,8 @@ kept("p01_glob", lambda: P.glob(n(), "**/src1?/*5.txt"), r"regexp_matches(name,
 kept("p04_size", lambda: P.size_is(size(), 2, "K", "greater", F.col("is_dir")), "is_dir OR size > 2000")
 kept("p05_date_before", lambda: P.time_is(when_(), F.to_timestamp(F.lit("2024-01-01 02:00:00")), "before", 1000), "epoch_ms(last_modified) - 1000 < epoch_ms(TIMESTAMP '2024-01-01 02:00:00')")
 kept("p05_date_equal", lambda: P.time_is(when_(), F.to_timestamp(F.lit("2024-01-01 02:00:00")), "equal", 60000), "abs(epoch_ms(last_modified) - epoch_ms(TIMESTAMP '2024-01-01 02:00:00')) <= 60000")
+kept("p05_date_pattern", lambda: P.time_is(when_(), P.moment_of("01/01/2024 03:00 AM"), "after"), "epoch_ms(last_modified) > epoch_ms(TIMESTAMP '2024-01-01 03:00:00')")
+kept("p06_depth_below", lambda: P.depth_below(F.concat(F.lit("base/"), n()), F.lit("base")) >= 2, "len(string_split(name, '/')) - 1 >= 2")
 kept("p06_depth", lambda: P.depth_between(n(), 2, 2), "len(string_split(name, '/')) - 1 BETWEEN 2 AND 2")
 kept("p07_type_exists", lambda: P.all_of(P.is_file(F.col("is_dir")), P.exists(F.col("exist"))), "NOT is_dir AND exist")
 kept("p08_combinators", lambda: P.any_of(P.xor(F.col("is_dir"), F.col("exist")) & (size() > 500), P.none_of(F.col("exist"), size() > 900)), "((is_dir <> exist) AND size > 500) OR NOT (exist OR size > 900)")
@@ -250,19 +253,22 @@ def t22_mappers(spark, d):
     return man(spark, d).select("name", N.flatten(x).alias("flat"), N.merge(x, "one").alias("merged"), N.package_map(x, "*.txt", "*").alias("package"))
 
 
-@query(f"SELECT name, CASE WHEN name LIKE 'en/%' THEN concat(name, ',', split_part(name, '/', 3), ',', 'x/' || substr(name, 4)) ELSE concat(name, ',', split_part(name, '/', 3)) END AS names, concat('flat/', split_part(name, '/', 3)) AS piped FROM {MD}")
+@query(f"SELECT name, CASE WHEN name LIKE 'en/%' THEN concat(name, ',', split_part(name, '/', 3), ',', 'x/' || substr(name, 4)) ELSE concat(name, ',', split_part(name, '/', 3)) END AS names, concat('flat/', split_part(name, '/', 3)) AS piped, concat('x/', name, ',x/', split_part(name, '/', 3)) AS both FROM {MD}")
 def t23_combinators(spark, d):
     x = F.col("name")
     both = N.composite(x, lambda c: c, N.flatten, lambda c: N.glob_map(c, "en/*", "x/*"), lambda c: c)
-    return man(spark, d).select("name", F.array_join(both, ",").alias("names"), F.array_join(N.chained(x, N.flatten, lambda c: N.glob_map(c, "*", "flat/*")), ",").alias("piped"))
+    return man(spark, d).select("name", F.array_join(both, ",").alias("names"), F.array_join(N.chained(x, N.flatten, lambda c: N.glob_map(c, "*", "flat/*")), ",").alias("piped"), F.array_join(N.chained(x, N.many(lambda c: N.composite(c, lambda y: y, N.flatten)), lambda c: N.glob_map(c, "*", "x/*")), ",").alias("both"))
 
 
-@query(f"SELECT split_part(name, '/', 2) AS source, string_agg(CASE WHEN name LIKE 'en/%' THEN replace('E:' || substr(name, 4), '/', '\\') ELSE replace(name, '/', '\\') END, ';' ORDER BY ordinal) AS joined FROM {MD} GROUP BY 1")
+ENTRY = "replace(CASE WHEN name LIKE 'en/%' THEN 'E:' || substr(name, 4) WHEN name LIKE 'de/%' THEN 'D:' || substr(name, 4) ELSE name END, '/', '\\')"
+
+
+@query(f"SELECT source, ordinal, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY ordinal, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, text FROM (SELECT split_part(name, '/', 2) AS source, ordinal, {ENTRY} AS text FROM {MD})")
 def t26_path_list(spark, d):
-    x = F.col("name")
-    mapped = F.replace(F.when(x.startswith("en/"), F.concat(F.lit("E:"), F.substring(x, F.lit(4), F.length(x)))).otherwise(x), F.lit("/"), F.lit("\\"))
-    rows = man(spark, d).select(F.split_part("name", F.lit("/"), F.lit(2)).alias("source"), "ordinal", mapped.alias("m"))
-    return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "m"))), lambda s: s["m"]), ";").alias("joined"))
+    """Entries in order, each with its place in the joined list."""
+    entry = N.mapped_path(F.col("name"), [("en/", "E:"), ("de/", "D:")], "\\")
+    rows = man(spark, d).select(F.split_part("name", F.lit("/"), F.lit(2)).alias("source"), "ordinal", entry.alias("text"))
+    return R.concat_docs(rows, "source", "ordinal", separator=";")
 
 
 @query(f"SELECT name FROM {MD} WHERE length(name) % 2 = 0")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -11,6 +9,7 @@ from ..functions.lines import simple_code_lines
 from ..operators import declarations as D
 from ..operators import graph as G
 from ..operators import reports as R
+from ..shared import new_path
 from ..sources import code as S
 from ..streaming import recorder
 
@@ -170,8 +169,17 @@ def g06_suite_summary(spark, d):
 def s09_sql_export(spark, d):
     X.table(spark, d, "customer").createOrReplaceTempView("s09_customer")
     X.table(spark, d, "orders").createOrReplaceTempView("s09_orders")
-    rows = spark.sql("SELECT c_name, count(*) AS n FROM s09_customer JOIN s09_orders ON o_custkey = c_custkey WHERE o_totalprice > :least GROUP BY c_name", args={"least": 100000})
-    return rows.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in rows.columns])
+    path = new_path(spark, "exported")
+    S.sql_export(spark, "SELECT c_name, count(*) AS n FROM s09_customer JOIN s09_orders ON o_custkey = c_custkey WHERE o_totalprice > :least GROUP BY c_name", {"least": 100000}, path)
+    return spark.read.schema("c_name string, n string").csv(path, header=True)
+
+
+@query(f"SELECT 'quarry' AS project, '1' AS release, name, CAST(npm AS INT) AS npm, CAST(loc AS INT) AS loc, CAST(0 AS INT) AS bug FROM {C}")
+def s06_baseline(spark, d):
+    """Written in the full format and read again as a baseline."""
+    path = new_path(spark, "baseline")
+    S.write_metrics_csv(closed(spark, d, X.CLASS_METRICS), f"{path}/quarry/1.csv", include_all_columns=True)
+    return S.read_baseline(spark, path).select("project", "release", "name", "npm", "loc", "bug")
 
 
 @query(f"SELECT path, 'import' AS relation, concat('p', (CAST(substr(package, 2) AS INT) + 1) % 10, '.Base') AS dst FROM {M} UNION ALL SELECT path, 'extends', 'Base' FROM {M}")
@@ -265,9 +273,7 @@ def r01_record_stream(spark, d):
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     level = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "view", 3).otherwise(4)
     events = stream.select("event_id", F.col("user_id").alias("target"), level.alias("priority"), F.col("event_type").alias("message"))
-    name = f"recorded_{abs(hash(d))}"
-    recorder.run_to_table(recorder.record(events, emacs=True), name, tempfile.mkdtemp(prefix="spark-recorder-"))
-    return spark.table(name)
+    return recorder.run_to_table(recorder.record(events, emacs=True), new_path(spark, "recorded"))
 
 
 @query(f"WITH p AS (SELECT *, lag(kind) OVER w AS k, lag(ts) OVER w AS t FROM {EVENTS} WINDOW w AS (PARTITION BY target ORDER BY ts, event_id)) SELECT target, event_id AS finished_id, round((epoch_us(ts) - epoch_us(t)) / 1e6, 3) AS seconds FROM p WHERE kind = 'finished' AND k = 'started'")

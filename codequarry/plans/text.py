@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..functions import filters as T
 from ..functions import mappers as N
 from ..functions.user import text_filter
+from ..operators import manifests as M
 from ..operators import reports as R
 
 Q: dict = {}
@@ -46,15 +47,25 @@ def mapped(name: str, f, sql: str, rows=docs, source: str = "documents"):
     query(f"SELECT doc_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM (SELECT doc_id, {sql} AS t FROM {source})")(run)
 
 
-# texts of the fixture do not end in a line end, so plain splitting is the oracle's body
-mapped("t01_head", lambda t: T.head(t, 3, 1), JOIN.format(f"{LINES}[2:4]"))
-mapped("t02_tail", lambda t: T.tail(t, 2, 1), JOIN.format(f"list_reverse(list_reverse({LINES})[2:3])"))
-mapped("t03_lines_containing", lambda t: T.lines_containing(t, "the", "of"), JOIN.format(f"list_filter({LINES}, lambda l: contains(l, 'the') AND contains(l, 'of'))"))
-mapped("t04_lines_matching", lambda t: T.lines_matching(t, r"ing\b", negate=True), JOIN.format(f"list_filter({LINES}, lambda l: NOT regexp_matches(l, 'ing\\b'))"))
-mapped("t05_strip_line_comments", lambda t: T.strip_line_comments(t, "The", "En"), JOIN.format(f"list_filter({LINES}, lambda l: NOT (starts_with(l, 'The') OR starts_with(l, 'En')))"))
+#: The tabbed texts with a final LF, CRLF, CR or none.
+RAGGED = f"concat({TABBED}, CASE doc_id % 4 WHEN 1 THEN chr(10) WHEN 2 THEN chr(13) || chr(10) WHEN 3 THEN chr(13) ELSE '' END)"
+RAG = f"(SELECT doc_id, {RAGGED} AS text FROM documents)"
+ENDED, LF_ENDED = "regexp_extract_all(text, '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+')", "regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+')"
+KEPT = "array_to_string({}, '')"
+
+
+def ragged(spark, d):
+    return docs(spark, d).select("doc_id", F.expr(RAGGED).alias("text"))
+
+
+mapped("t01_head", lambda t: T.head(t, 3, 1), KEPT.format(f"{ENDED}[2:4]"), ragged, RAG)
+mapped("t02_tail", lambda t: T.tail(t, 2, 1), KEPT.format(f"list_reverse(list_reverse({ENDED})[2:3])"), ragged, RAG)
+mapped("t03_lines_containing", lambda t: T.lines_containing(t, "the", "of"), KEPT.format(f"list_filter({LF_ENDED}, lambda l: contains(l, 'the') AND contains(l, 'of'))"), ragged, RAG)
+mapped("t04_lines_matching", lambda t: T.lines_matching(t, r"ing\b", negate=True), KEPT.format(f"list_filter({LF_ENDED}, lambda l: NOT regexp_matches(l, 'ing\\b'))"), ragged, RAG)
+mapped("t05_strip_line_comments", lambda t: T.strip_line_comments(t, "The", "En"), KEPT.format(f"list_filter({LF_ENDED}, lambda l: NOT (starts_with(l, 'The') OR starts_with(l, 'En')))"), ragged, RAG)
 mapped("t07_strip_line_breaks", T.strip_line_breaks, "replace(replace(text, chr(13), ''), chr(10), '')", tabbed, TAB)
 mapped("t08_tabs_to_spaces", lambda t: T.tabs_to_spaces(t, 4), "replace(text, chr(9), '    ')", tabbed, TAB)
-mapped("t09_prefix_lines", lambda t: T.prefix_lines(t, "> "), JOIN.format(f"list_transform({LINES}, lambda l: '> ' || l)"))
+mapped("t09_prefix_lines", lambda t: T.prefix_lines(t, "> "), KEPT.format(f"list_transform({LF_ENDED}, lambda l: '> ' || l)"), ragged, RAG)
 mapped("t13_escape_unicode", lambda t: T.escape_unicode(t), "array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c <> '' AND ord(c) >= 128 THEN concat('\\u', lpad(lower(to_hex(ord(c))), 4, '0')) ELSE c END), '')")
 mapped("t14_concat", lambda t: T.concat_text(t, "<", ">"), "concat('<', text, '>')")
 mapped("t15_replace_regex", lambda t: T.replace_regex(t, "th(e)", "<$1>", "g"), "regexp_replace(text, 'th(e)', '<\\1>', 'g')")
@@ -101,6 +112,26 @@ def t24_digests(spark, d):
     return docs(spark, d).select("doc_id", *N.digests(F.col("text"))).drop("crc32")
 
 
+BYTES = "list_transform(range(1, len(x) // 2 + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))"
+
+
+@query(f"SELECT c_custkey, (list_sum(list_transform(b, lambda v, i: v * (len(b) - i + 1))) + len(b)) % 65521 * 65536 + (list_sum(b) + 1) % 65521 AS adler32, CAST((list_reduce(list_prepend(0, b), lambda a, v: (a * 31 + v) % 4294967296) + 2147483648) % 4294967296 - 2147483648 AS BIGINT) AS string_hash FROM (SELECT c_custkey, {BYTES} AS b FROM (SELECT c_custkey, hex(encode(c_name)) AS x FROM customer))")
+def t24_checksums(spark, d):
+    n = F.col("c_name")
+    return X.table(spark, d, "customer").select("c_custkey", N.adler32(n).cast("long").alias("adler32"), N.string_hash(n).cast("long").alias("string_hash"))
+
+
+@query("SELECT doc_id, CAST(length(t) AS BIGINT) AS plain, CAST(length(regexp_replace(regexp_replace(t, '^[\\x00-\\x20]+', ''), '[\\x00-\\x20]+$', '')) AS BIGINT) AS trimmed, length(t) > 500 AS more FROM (SELECT doc_id, concat('  ', text, chr(10), ' ') AS t FROM documents)")
+def g02_length_text(spark, d):
+    t = F.concat(F.lit("  "), "text", F.lit("\n "))
+    return docs(spark, d).select("doc_id", M.length_text(t).alias("plain"), M.length_text(t, trim=True).alias("trimmed"), M.length_is(F.length(t), 500, "greater").alias("more"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS dstamp, strftime(o_orderdate, '%H%M') AS tstamp, strftime(o_orderdate, '%B %-d %Y') AS today, strftime(make_timestamp(CAST(o_orderkey * 1000000 AS BIGINT)), '%H:%M:%S') AS gmt FROM orders")
+def t27_stamps(spark, d):
+    return X.table(spark, d, "orders").select("o_orderkey", *N.stamp_formats(F.col("o_orderdate")), N.gmt_format(F.col("o_orderkey") * 1000, "HH:mm:ss").alias("gmt"))
+
+
 @query("SELECT DISTINCT p_size, p_size % 10 AS minor, CASE WHEN (p_size // 10, p_size % 10) < (2, 5) THEN 'older' WHEN (p_size // 10, p_size % 10) = (2, 5) THEN 'same' ELSE 'newer' END AS than FROM part")
 def t25_versions(spark, d):
     v = F.concat((F.col("p_size") / 10).cast("int").cast("string"), F.lit("."), (F.col("p_size") % 10).cast("string"), F.lit(".0"))
@@ -130,9 +161,9 @@ def g08_replacements(spark, d):
     return docs(spark, d).agg(F.sum(n).alias("replaced"), F.sum((n > 0).cast("long")).alias("changed"))
 
 
-@query("SELECT source, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE text IS NOT NULL GROUP BY source")
+@query("SELECT source, doc_id, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def s10_concat_docs(spark, d):
-    return R.concat_docs(docs(spark, d), "source", "doc_id").select("source", F.md5("text").alias("digest"))
+    return R.concat_docs(docs(spark, d), "source", "doc_id").select("source", "doc_id", "start", F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, md5(upper(c)) AS digest FROM (SELECT item_id AS doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS c FROM benchmark)")

@@ -43,7 +43,7 @@ def write_metrics_csv(metrics: DataFrame, path: str, include_all_columns: bool =
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Defect tables below ``path`` with ``project`` and ``release`` from ``.../project/release.csv``."""
     rows = spark.read.option("recursiveFileLookup", True).schema(DEFECTS).csv(path, header=True, escape='"', lineSep="\r\n")
-    file = F.col("_metadata.file_path")
+    file = F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", "")  # a table that Spark wrote is a folder
     return rows.select("*", F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("project"), F.regexp_extract(file, r"([^/]+?)(?:\.csv)?$", 1).alias("release"))
 
 

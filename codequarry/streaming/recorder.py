@@ -37,6 +37,8 @@ def stream_durations(started: DataFrame, finished: DataFrame, within: str = "1 h
     return f.join(s, near).select("target", "run", F.round((_micros("ts") - _micros("s_ts")) / 1e6, 3).alias("seconds"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> None:
-    """Process what is available now into an in-memory table."""
-    stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Process what is available now into a Parquet table below ``path``, in a folder that all executors share, and read it."""
+    sink = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -107,3 +107,25 @@ def test_sources_and_sinks(spark, tmp_path):
     m.createOrReplaceTempView("m_rows")
     S.sql_export(spark, "SELECT name FROM m_rows WHERE npm >= :n", {"n": 3}, str(tmp_path / "rows"))
     assert [r["name"] for r in spark.read.csv(str(tmp_path / "rows"), header=True).collect()] == ["a"]
+
+
+def test_annotations_constants_wildcards_and_long_literals(spark):
+    text = 'class A { @Api("x(y)") @Deprecated public void m() { Map<? super A, ?> p = null; } String s = "' + "a\\\\b" * 300_000 + '"; }\n'
+    text += "enum E { RED(1), GREEN(2); E(int i) { } public int v() { return 1; } }\n@interface N { int w(); }"
+    rows = {r["name"]: r for r in D.types(files(spark, text)).collect()}
+    assert (rows["A"]["npm"], rows["A"]["methods"], rows["A"]["own_wmc"]) == (1, 1, 1)
+    assert (rows["E"]["npm"], rows["E"]["methods"]) == (1, 2) and "N" in rows
+    assert D.diagnostics(files(spark, text)).count() == 0 and D.loc_by_file(files(spark, text)).first()["loc"] == 3
+
+
+def test_running_sums_and_concatenation(spark):
+    rows = spark.range(500).selectExpr("id % 3 as k", "id", "repeat('x', cast(id % 7 as int)) as text")
+    got = {}
+    for r in R.concat_docs(rows, "k", "id").collect():
+        got.setdefault(r["k"], []).append(r)
+    for k, found in got.items():
+        at = 0
+        for r in sorted(found, key=lambda r: r["id"]):
+            assert r["start"] == at
+            at += len(r["text"]) + 1
+        assert len(found) == sum(i % 3 == k for i in range(500))

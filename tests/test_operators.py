@@ -14,11 +14,18 @@ def one(spark, text, column):
 
 def test_filters(spark):
     ten = "\n".join(map(str, range(10)))
-    assert one(spark, ten, lambda t: T.head(t, 2, 3)) == "3\n4"
+    assert one(spark, ten, lambda t: T.head(t, 2, 3)) == "3\n4\n"
     assert one(spark, ten, lambda t: T.head(t, 0, 8)) == "8\n9"
-    assert one(spark, ten, lambda t: T.tail(t, 2, 3)) == "5\n6"
-    assert one(spark, ten, lambda t: T.tail(t, -1, 8)) == "0\n1"
+    assert one(spark, ten, lambda t: T.tail(t, 2, 3)) == "5\n6\n"
+    assert one(spark, ten, lambda t: T.tail(t, -1, 8)) == "0\n1\n"
     assert one(spark, ten, lambda t: T.tail(t, 2, 30)) == ""
+    for text, first in (("a\nb\n", "a\n"), ("a\r\nb", "a\r\n"), ("a\rb\r", "a\r"), ("\n\n", "\n"), ("a", "a"), ("", "")):
+        assert one(spark, text, lambda t: T.head(t, 1)) == first
+    assert one(spark, "a\nb\n", lambda t: T.tail(t, 1)) == "b\n" and one(spark, "a\nb\n", lambda t: T.prefix_lines(t, "> ")) == "> a\n> b\n"
+    assert one(spark, "x1\r\ny\nx2", lambda t: T.lines_containing(t, "x")) == "x1\r\nx2" and one(spark, "#a\nb\n#c\n", lambda t: T.strip_line_comments(t, "#")) == "b\n"
+    assert one(spark, "#b\na\n", lambda t: T.lines_matching(t, "^a")) == "a\n"
+    literal = '"' + "a\\\"/*" * 200_000 + '"'
+    assert one(spark, literal + "/* x */", lambda t: T.strip_java_comments(t)) == literal
     source = "a /* x */ b // c\n\"/* keep */\" '//' d"
     stripped = one(spark, source, T.strip_java_comments)
     assert stripped == "a  b \n\"/* keep */\" '//' d" and one(spark, stripped, T.strip_java_comments) == stripped
@@ -35,6 +42,9 @@ def test_filters(spark):
 def test_digests_versions_times(spark):
     assert one(spark, "Wikipedia", N.adler32) == 300286872
     assert one(spark, "", N.adler32) == 1
+    import zlib
+
+    assert one(spark, "né\U0001f600" * 50_000, N.adler32) == zlib.adler32(("né\U0001f600" * 50_000).encode())
     assert one(spark, "hello", N.string_hash) == 99162322
     assert one(spark, "1.2.0", N.version_key) == [1, 2]
     assert one(spark, "x", lambda t: N.version_key(F.lit("1.10")) > N.version_key(F.lit("1.9.0")))
@@ -97,7 +107,8 @@ def test_graph(spark):
     root = spark.createDataFrame([("a",)], "node string")
     assert {tuple(r) for r in G.closure(e, root).collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert {tuple(r) for r in G.closure(e, root, transitive=False).collect()} == {("a", 0), ("b", 1)}
-    assert {r["node"] for r in G.affected(e, root).collect()} == {"a", "b", "c", "x", "x$1"}
+    assert {r["node"] for r in G.affected(e, root).collect()} == {"a", "b", "c", "x$1"}
+    assert {r["node"] for r in G.affected(e, root, transitive=False).collect()} == {"a", "c", "x", "x$1"}
     tree = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a")], "src string, dst string")
     assert {tuple(r) for r in G.inheritance(tree).collect()} == {("a", 0, 2), ("b", 1, 1), ("c", 2, 0)}
 
