@@ -1,4 +1,4 @@
-"""Licence statements: a trained paragraph classifier, confirmed by comparison with templates.
+"""Licence statements: a trained paragraph classifier with a class for unknown licences, confirmed by comparison with templates.
 
 DataFrame and SQL functions only, training included (multinomial logistic regression of Spark's ML library).
 """
@@ -6,16 +6,21 @@ DataFrame and SQL functions only, training included (multinomial logistic regres
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import written
 
-NONE = "none"
+NONE, UNKNOWN = "none", "unknown"
+WINDOW, STRIDE = 64, 32  # words of a window, and from one window to the next: a statement of 33 words is whole in one
+COMMON = 0.01  # share of ordinary windows from which on a word says nothing of licences
 #: Statements by which licences are declared.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"],
@@ -25,14 +30,22 @@ TEMPLATES = {
     "AGPL": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the 2-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY": ["Licensed under CC BY 4.0.", "Shared under CC BY 4.0.", "Published under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work. This work is dedicated to the public domain."],
     "proprietary": ["Copyright. All rights reserved.", "No part of this publication may be reproduced or distributed without prior written permission of the publisher.", "Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."],
 }
-#: Every template holds one of these; a paragraph without any has no licence evidence and is of class none.
-ANCHORS = ("licen", "copyright", "permission is hereby", "redistribut", "reproduced", "unauthorized copying", "public domain", "gpl", "cc0", "cc by", "free software", "source code form", "creative commons", "rights reserved", "bsd", "mozilla public")
+#: Statements of licences of no family above; they teach the class of unknown licences.
+OTHERS = ["This program and the accompanying materials are made available under the terms of the Eclipse Public License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.", "Licensed under the European Union Public Licence.", "This software is provided as-is, without any express or implied warranty; permission is granted to anyone to use this software for any purpose, subject to the following restrictions.", "This is free and unencumbered software released into the public domain.", "Distributed under the Boost Software License.", "Subject to the Common Development and Distribution License.", "Licensed under the Artistic License.", "Published under the Open Font License.", "Use of this text is governed by a licence that can be found in the LICENSE file.", "Released under the terms of the Sleepycat license.", "Licensed under the Academic Free License."]
+#: Sentences that speak of licences without declaring one.
+TALK = ["he needed a driving license to apply", "the license plate was new", "copyright is a hard subject for many", "they discussed permission and licensing for an hour", "the public library has a domain of its own", "a fishing licence costs little", "copyright law and its history"]
+BLANK = r"\R[ \t]*+\R\s*+"
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often functions inside ``f`` use it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def words_of(c: Column) -> Column:
@@ -41,25 +54,61 @@ def words_of(c: Column) -> Column:
 
 def grams_of(words: Column) -> Column:
     """Distinct word 1-, 2- and 3-grams."""
-    def run(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def run(w: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        return F.when(F.size(w) >= n, F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, lambda w: F.array_distinct(F.concat(run(w, 1), run(w, 2), run(w, 3))))
+
+
+def windows_of(words: Column) -> Column:
+    """Overlapping windows that cover all words."""
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - STRIDE), F.lit(STRIDE))
+    return let(words, lambda w: F.transform(starts(w), lambda i: F.slice(w, i, WINDOW)))
+
 
-    return F.array_distinct(F.concat(run(1), run(2), run(3)))
+def bigrams(grams: Column) -> Column:
+    return F.filter(grams, lambda g: F.size(F.split(g, " ")) == 2)
 
 
 def _local(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """``_row, paragraph, text``: lines of each text that hold an anchor; numbered from 0 over all lines."""
-    line = docs.select("_row", F.posexplode(F.split(F.col("text"), "\r\n|\r|\n")).alias("paragraph", "text"))
-    low = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")
-    anchored = F.col("low").contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        anchored = anchored | F.col("low").contains(a)
-    return line.withColumn("low", low).where(anchored).drop("low")
+def _templates(spark: SparkSession) -> DataFrame:
+    """``family, bigrams`` of every template."""
+    rows = [{"family": f, "template": t} for f, ts in TEMPLATES.items() for t in ts]
+    return _local(spark, rows, "family string, template string").select("family", bigrams(grams_of(words_of(F.col("template")))).alias("bigrams"))
+
+
+def _grams(text: str) -> set[str]:
+    w = re.findall(r"[^\W_]+", text.lower())
+    return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+
+
+def telling(word: str) -> bool:
+    """Words that a statement can be found by: of five letters or more, or a licence's short name."""
+    return len(word) >= 5 or word in {f.lower().split("-")[0] for f in TEMPLATES}
+
+
+def cover(grams: list[str]) -> list[str]:
+    """Telling words of which every gram has at least one, found greedily."""
+    left, found = [{w for w in g.split(" ") if telling(w)} for g in grams], []
+    while left:
+        votes: dict[str, int] = {}
+        for g in left:
+            for w in g:
+                votes[w] = votes.get(w, 0) + 1
+        best = max(votes, key=lambda w: (votes[w], w))
+        found.append(best)
+        left = [g for g in left if best not in g]
+    return sorted(found)
+
+
+def holds(text: Column, words: list[str]) -> Column:
+    """Whether a lower-cased text contains any of the words, as a part of others too; one that contains another is left out."""
+    words = [w for w in words if not any(x != w and x in w for x in words)]
+    return let(text, lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in words], F.lit(False)))
 
 
 @dataclass
@@ -68,56 +117,66 @@ class LicenseModel:
     weights: DataFrame  # gram, w array<double>
     bias: list[float]
     temperature: float
+    cover: list[str]  # every gram with a weight holds one of these; other windows are of class none whatever else they hold
 
 
 def fit_licenses(docs: DataFrame, negatives: int = 2000) -> LicenseModel:
-    """Train on variants of the templates and on at most about ``negatives`` ordinary paragraphs of ``docs``.
+    """Train on variants of the templates, of other licences' statements, and on at most about ``negatives`` ordinary windows.
 
-    A variant drops every seventh word from some offset on and stands alone or behind words of an ordinary paragraph.
-    The temperature that calibrates the probabilities minimises log loss on the variants kept out of training.
+    A variant drops every seventh word from some offset on.  Features are the templates' word 1- to 3-grams that have a
+    telling word (of five letters, or a licence's short name) of less than COMMON of the ordinary windows.  The temperature that calibrates the
+    probabilities minimises the log loss of a first model on templates kept out of it whole; the model is then trained
+    anew on all.  Ties go to the first class; an empty table gives a model without ordinary windows.
     """
     spark = docs.sparkSession
     total = docs.count()
-    share = min(1.0, negatives / 2 / max(total, 1))
-    plain = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(1e6 * share))
-    plain = plain.select(F.explode(F.slice(F.split("text", "\r\n|\r|\n"), 1, 8)).alias("text")).where(F.length("text") > 0)
-    low = F.lower("text")
-    for a in ANCHORS:
-        plain = plain.where(~low.contains(a))
-    plain = plain.select(F.lit(NONE).alias("family"), F.slice(words_of(F.col("text")), 1, 60).alias("words"), F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold"))
-    stems = ["the work and its text by the author of", "and then for more see", "this file was made with", "notes on the text of"]
-    rows = [{"family": f, "text": t, "before": b, "k": k} for f, ts in TEMPLATES.items() for t in ts for k, b in enumerate(["", *stems, "", "", ""])]
-    made = _local(spark, rows, "family string, text string, before string, k int")
-    kept = F.filter(words_of(F.col("text")), lambda w, i: (i + F.col("k")) % 7 != 6)
-    made = made.select("family", F.concat(words_of(F.col("before")), F.when(F.col("k") == 0, words_of(F.col("text"))).otherwise(kept)).alias("words"), F.pmod(F.xxhash64("text", "k"), F.lit(5)).alias("fold"))
-    # sentences that speak of licences without declaring one
-    talk = ["he needed a driving license to apply", "the license plate was new", "copyright is a hard subject for many", "they discussed permission and licensing for an hour", "the public library has a domain of its own", "a fishing licence costs little", "copyright law and its history"]
-    extra = _local(spark, [{"text": t, "k": k} for t in talk for k in range(6)], "text string, k int").select(F.lit(NONE).alias("family"), F.filter(words_of(F.col("text")), lambda w, i: (i + F.col("k")) % 7 != 6).alias("words"), F.pmod(F.xxhash64("text", "k"), F.lit(5)).alias("fold"))
-    rows = written(made.union(extra).union(plain).select("family", grams_of(F.col("words")).alias("grams"), "fold"), "training")
-    families = [NONE, *TEMPLATES]
+    share = min(1.0, negatives / max(total, 1))
+    sampled = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(1e6 * share))
+    plain = sampled.select(F.explode(windows_of(words_of(F.col("text")))).alias("words")).where("size(words) > 0").withColumn("draw", F.pmod(F.xxhash64("words", F.lit(7)), F.lit(1_000_000)))
+    n = plain.count()
+    plain = plain.where(F.col("draw") < int(1e6 * min(1.0, negatives / max(n, 1)))).select("words", grams_of(F.col("words")).alias("grams"))
+    known = F.array(*[F.array(*map(F.lit, sorted(g for g in _grams(t) if g.count(" ") == 1))) for t in [*sum(TEMPLATES.values(), []), *OTHERS]])
+    like = F.array_max(F.transform(known, lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
+    plain = written(plain.where(like < 0.3), "plain")
+    n = plain.count()
+    vocabulary = sorted(set().union(*[_grams(t) for t in [*sum(TEMPLATES.values(), []), *OTHERS]]))
+    often = plain.select(F.explode(F.array_distinct("words")).alias("w")).where(F.col("w").isin([g for g in vocabulary if " " not in g])).groupBy("w").count().where(F.col("count") >= max(2.0, COMMON * n))
+    often = {r["w"] for r in often.collect()}
+    vocabulary = [g for g in vocabulary if any(telling(w) and w not in often for w in g.split(" "))]
+    rows = [{"family": f, "text": t, "part": p, "k": k} for f, ts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)] for p, t in enumerate(ts) for k in range(8)]
+    rows += [{"family": NONE, "text": t, "part": p, "k": k} for p, t in enumerate(TALK) for k in range(6)]
+    kept = let(words_of(F.col("text")), lambda v: F.filter(v, lambda w, i: (F.col("k") == 0) | ((i + F.col("k")) % 7 != 6)))
+    made = _local(spark, rows, "family string, text string, part int, k int").select("family", grams_of(kept).alias("grams"), (F.col("part") % 4 == 1).alias("held"))
+    ordinary = plain.select(F.lit(NONE).alias("family"), "grams", (F.pmod(F.xxhash64("grams"), F.lit(4)) == 1).alias("held"))
+    families = [NONE, UNKNOWN, *TEMPLATES]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=4096, minDF=2).fit(rows.where(F.col("family") != NONE))
-    data = vectors.transform(rows.withColumn("label", label.cast("double")))
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.3, maxIter=60).fit(data.where("fold > 0"))
-    matrix = fitted.coefficientMatrix.toArray()
-    grams = [{"gram": g, "w": [float(x) for x in matrix[:, k]]} for k, g in enumerate(vectors.vocabulary) if abs(matrix[:, k]).max() > 1e-6]
-    weights = written(_local(spark, grams, "gram string, w array<double>"), "weights")
-    model = LicenseModel(families, weights, [float(x) for x in fitted.interceptVector.toArray()], 1.0)
-    held = rows.where("fold = 0").select(F.monotonically_increasing_id().alias("id"), "grams", label.alias("label"))
-    z = written(_logits(held, model, ["id", "label"]), "held")
+    rows = written(made.union(ordinary).withColumn("label", label.cast("double")).coalesce(2), "training")
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
+    first = _fitted(vectors, rows.where("not held"), families)
+    z = written(_logits(rows.where("held").select(F.monotonically_increasing_id().alias("id"), "grams", "label"), first, ["id", "label"]), "held")
     grid = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
     losses = z.agg(*[F.avg(_log_loss(t)).alias(f"t{i}") for i, t in enumerate(grid)]).first()
+    model = _fitted(vectors, rows, families)
     model.temperature = min(zip((x if x is not None else 1e9 for x in losses), grid))[1]
     return model
 
 
+def _fitted(vectors: CountVectorizerModel, rows: DataFrame, families: list[str]) -> LicenseModel:
+    fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.3, maxIter=25).fit(vectors.transform(rows))
+    matrix = fitted.coefficientMatrix.toArray()
+    grams = [{"gram": g, "w": [float(x) for x in matrix[:, k]]} for k, g in enumerate(vectors.vocabulary) if abs(matrix[:, k]).max() > 1e-6]
+    bias = [float(x) for x in fitted.interceptVector.toArray()]
+    words = cover([g["gram"] for g in grams]) if bias[0] == max(bias) else [""]
+    return LicenseModel(families, written(_local(rows.sparkSession, grams, "gram string, w array<double>"), "weights"), bias, 1.0, words)
+
+
 def _log_loss(t: float) -> Column:
     top = F.array_max("z")
     return F.log(F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp((x - top) / t))) - (F.get("z", F.col("label").cast("int")) - top) / t
 
 
 def _logits(rows: DataFrame, model: LicenseModel, keys: list[str]) -> DataFrame:
-    """Keys and z: the classes' logits of rows with a column grams; the weights have at most 4096 rows."""
+    """Keys and z: the classes' logits of rows with a column grams; the weights are at most the templates' grams."""
     hit = rows.select(*keys, F.explode(F.concat(F.array(F.lit("")), "grams")).alias("gram")).join(F.broadcast(model.weights), "gram", "left")
     n = len(model.families)
     sums = hit.groupBy(*keys).agg(*[F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"_{k}") for k in range(n)])
@@ -125,30 +184,42 @@ def _logits(rows: DataFrame, model: LicenseModel, keys: list[str]) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, sure: float = 0.7, alike: float = 0.6) -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id, n_licenses, licenses, n_unknown, best_probability``.
-
-    A paragraph is a line.  One that holds an anchor is classified; a licence family counts when its calibrated
-    probability reaches ``sure`` and at least ``alike`` of the word bigrams of one of the family's templates stand in
-    the paragraph.  A paragraph that is not of class none but is not confirmed is unknown.  licenses: the families,
-    distinct, in alphabetical order, comma-joined.  Null and empty texts have none; equal rows get equal results.
+    """A row for each row of ``docs``: ``doc_id, n_licenses, licenses, n_unknown, best_probability, unknown_probability``.
+
+    A paragraph is a block between blank lines, its lines joined; it is judged by overlapping windows of WINDOW words that
+    cover it.  A licence family counts, once a paragraph, where in a window it has the greatest product of its calibrated
+    probability and the share of one of its templates' word bigrams that the window holds, this share is at least
+    ``alike``, and the probabilities of all families together reach ``sure``.  A paragraph without such a
+    family but with a window that is likelier of some licence than of none is unknown.  Windows without a gram that
+    has a weight are of class none by the model; only they are left out.  licenses: the families, distinct, in
+    alphabetical order, comma-joined.
+
+    Null and empty texts have none; equal rows get equal results, rows with a null doc_id and rows that repeat one too;
+    ties go to the last family by name; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = paragraphs(docs).dropDuplicates(["_row", "paragraph"]).select("_row", "paragraph", grams_of(words_of(F.col("text"))).alias("grams"))
-    found = written(found, "paragraphs")
-    z = _logits(found, model, ["_row", "paragraph"])
+    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")))
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_row", key)
+    blocks = docs.where(holds(F.lower("text"), model.cover)).select("_row", F.posexplode(F.split("text", BLANK)).alias("paragraph", "block"))
+    near = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, model.cover))) if model.cover != [""] else F.lit(True)
+    windows = blocks.where(holds(F.lower("block"), model.cover)).select("_row", "paragraph", F.posexplode(windows_of(words_of(F.col("block")))).alias("window", "words"))
+    found = windows.where(near(F.col("words"))).dropDuplicates(["_row", "paragraph", "window"])
+    found = written(found.select("_row", "paragraph", "window", grams_of(F.col("words")).alias("grams")), "windows")
+    z = _logits(found, model, ["_row", "paragraph", "window"])
     top = F.array_max("z")
     odds = F.transform("z", lambda x: F.exp((x - top) / model.temperature))
-    family = F.array(*map(F.lit, model.families))[(F.array_position("z", top) - 1).cast("int")]
-    z = z.select("_row", "paragraph", family.alias("family"), (1 / F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)).alias("p"))
-    bigram = lambda c: F.filter(c, lambda g: F.size(F.split(g, " ")) == 2)
-    known = _local(spark, [{"family": f, "template": t} for f, ts in TEMPLATES.items() for t in ts], "family string, template string").select("family", bigram(grams_of(words_of(F.col("template")))).alias("bigrams"))
-    known = F.broadcast(known.groupBy("family").agg(F.collect_list("bigrams").alias("templates")))
-    judged = z.where(F.col("family") != NONE).join(found, ["_row", "paragraph"]).join(known, "family")
+    z = z.select("_row", "paragraph", "window", odds.alias("o")).withColumn("all", F.aggregate("o", F.lit(0.0), lambda a, x: a + x))
+    z = z.select("_row", "paragraph", "window", F.transform("o", lambda x: x / F.col("all")).alias("ps")).where("ps[0] < 0.5")
+    known = F.broadcast(_templates(docs.sparkSession).groupBy("family").agg(F.collect_list("bigrams").alias("templates")))
+    names = F.array(*map(F.lit, model.families[2:]))
+    each = z.join(found, ["_row", "paragraph", "window"]).select("_row", "paragraph", "window", "grams", "ps", F.explode(F.arrays_zip(names.alias("family"), F.slice("ps", 3, len(model.families)).alias("p"))).alias("e"))
     near = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
-    judged = judged.withColumn("ok", (F.col("p") >= sure) & (near >= alike))
-    per_doc = judged.groupBy("_row").agg(
-        F.sum(F.col("ok").cast("long")).alias("n_licenses"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))), ",").alias("licenses"), F.sum((~F.col("ok")).cast("long")).alias("n_unknown"), F.max("p").alias("p")
+    each = each.select("_row", "paragraph", "window", "ps", "e.family", "e.p", "grams").join(known, "family").withColumn("near", near)
+    judged = each.groupBy("_row", "paragraph", "window").agg(F.max(F.struct((F.col("p") * F.col("near")).alias("both"), "family", "near")).alias("best"), F.first("ps").alias("ps"))
+    judged = judged.select("_row", "paragraph", F.col("best.family").alias("family"), ((1 - F.col("ps")[0] - F.col("ps")[1] >= sure) & (F.col("best.near") >= alike)).alias("ok"), F.array_max(F.slice("ps", 2, len(model.families))).alias("p"), F.col("ps")[1].alias("unknown"))
+    per = judged.groupBy("_row", "paragraph").agg(F.collect_set(F.when(F.col("ok"), F.col("family"))).alias("f"), F.max("p").alias("p"), F.max("unknown").alias("u"))
+    per_doc = per.groupBy("_row").agg(
+        F.sum(F.size("f").cast("long")).alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))), ",").alias("licenses"), F.sum((F.size("f") == 0).cast("long")).alias("n_unknown"), F.max("p").alias("p"), F.max("u").alias("u")
     )
     out = docs.select("doc_id", "_row").join(per_doc, "_row", "left")
-    return out.select("doc_id", F.coalesce("n_licenses", F.lit(0)).alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.round(F.coalesce("p", F.lit(0.0)), 4).alias("best_probability"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("doc_id", zero("n_licenses").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"), zero("n_unknown").alias("n_unknown"), F.round(F.coalesce("p", F.lit(0.0)), 4).alias("best_probability"), F.round(F.coalesce("u", F.lit(0.0)), 4).alias("unknown_probability"))

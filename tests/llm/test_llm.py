@@ -14,7 +14,7 @@ from codequarry.llm.hashing import shingle_set, word_hashes
 from codequarry.llm.html import _greedy, align, constants, extract_pages, fold, host_wrappers, main_text, segments, slots, stream
 from codequarry.llm.imatch import fingerprints
 from codequarry.llm.langid import codewords, fit_languages, identify
-from codequarry.llm.licenses import fit_licenses, scan_licenses
+from codequarry.llm.licenses import TEMPLATES, LicenseModel, fit_licenses, scan_licenses
 from codequarry.llm.lm import END, Lexicon, LogBilinear, Trainer, _train_task, score_documents
 from codequarry.llm.mixing import mix_sources, sainte_lague
 from codequarry.llm.neardup import near_duplicates
@@ -103,6 +103,24 @@ def test_license_scan(spark, edge, empty):
     model = fit_licenses(docs)
     got = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs, model).collect() if r["licenses"]}
     assert got == {100: "MIT", 101: "Apache-2.0", 102: "GPL"}
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    prose_ = lambda n: " ".join(prose(rng, n))
+    real = {
+        1: prose_(150) + "\n\n" + wrap(TEMPLATES["MIT"][2], 6) + "\n\n" + prose_(90),
+        2: wrap(prose_(100) + " " + TEMPLATES["Apache-2.0"][1] + " " + prose_(100), 9),
+        3: wrap(TEMPLATES["GPL"][1], 8),
+        4: wrap("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution", 8),
+        5: prose_(70) + "\r\n \r\n" + wrap("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear", 7),
+        6: prose_(20_000) + " " + TEMPLATES["BSD"][0] + " " + prose_(20_000),
+        7: prose_(300),
+        8: prose_(30) + " Licensed under CC BY 4.0.",
+    }
+    found = {r["doc_id"]: (r["licenses"], r["n_unknown"]) for r in scan_licenses(frame(spark, [(k, t, "en", "a") for k, t in real.items()]), model).collect()}
+    assert found == {1: ("MIT", 0), 2: ("Apache-2.0", 0), 3: ("GPL", 0), 4: ("", 1), 5: ("", 1), 6: ("BSD", 0), 7: ("", 0), 8: ("CC-BY", 0)}
+    grams = [r["gram"] for r in model.weights.collect()]
+    assert all(any(c in w for c in model.cover for w in g.split(" ")) for g in grams) and len(model.cover) < 150
+    for r in scan_licenses(docs, LicenseModel(**{**vars(model), "cover": [""]})).collect():  # without the prefilter: the same
+        assert (r["licenses"] or "") == got.get(r["doc_id"], "")
     assert scan_licenses(edge, model).count() == len(EDGE) and scan_licenses(empty, model).count() == 0
 
 
