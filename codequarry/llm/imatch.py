@@ -28,13 +28,16 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
 
 def following_bucket(buckets: DataFrame) -> DataFrame:
-    """``bucket, next_bucket``: the next lower one there is, after the lowest the highest; windows of bounded size."""
-    top = buckets.select("bucket", F.floor(F.col("bucket") / WIDTH).alias("group"))
-    groups = top.groupBy("group").agg(F.max("bucket").alias("first"))
-    w = Window.orderBy(F.col("group").desc())
-    groups = groups.select("group", F.coalesce(F.lead("first").over(w), F.first("first").over(w)).alias("beyond"))
-    inside = F.lead("bucket").over(Window.partitionBy("group").orderBy(F.col("bucket").desc()))
-    return top.withColumn("inside", inside).join(groups, "group").select("bucket", F.coalesce("inside", "beyond").alias("next_bucket"))
+    """``bucket, next_bucket``: the next lower one there is, after the lowest the highest.
+
+    Buckets are dealt by ranges; only the ranges' first ones, as many as there are partitions, are put in one order.
+    """
+    ranged = written(buckets.repartitionByRange(F.col("bucket").desc()).withColumn("part", F.spark_partition_id()), "ranged")
+    w = Window.orderBy("part")
+    tops = ranged.groupBy("part").agg(F.max("bucket").alias("first"))
+    tops = tops.select("part", F.coalesce(F.lead("first").over(w), F.first("first").over(w)).alias("beyond"))
+    inside = F.lead("bucket").over(Window.partitionBy("part").orderBy(F.col("bucket").desc()))
+    return ranged.withColumn("inside", inside).join(tops, "part").select("bucket", F.coalesce("inside", "beyond").alias("next_bucket"))
 
 
 def with_next(rows: DataFrame, payload: list[str]) -> DataFrame:
@@ -42,7 +45,7 @@ def with_next(rows: DataFrame, payload: list[str]) -> DataFrame:
 
     Rows are dealt by ranges of doc_ids and move once; only the first row of each range is looked up apart.
     """
-    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / WIDTH), F.lit(-(1 << 53))))
+    rows = rows.withColumn("bucket", F.coalesce(F.floor(F.col("doc_id") / WIDTH), F.shiftright("h", 48) - (1 << 54)))  # null ids last, by hash
     firsts = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "h")).alias("m"))
     firsts = written(firsts.select("bucket", F.col("m.doc_id").alias("first_id"), F.col("m.h").alias("first_h")), "firsts")
     follow = following_bucket(firsts.select("bucket"))
@@ -97,10 +100,13 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
 
     Null texts are empty.  Texts without a lexicon term are like only equal ones.  The next document is the next by
     descending doc_id, null last, rows that repeat a doc_id by the hash of their text; alone in its table, a document
-    is followed by itself.
+    is followed by itself.  Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = F.broadcast(lexicon(docs, low, high).union(docs.sparkSession.range(1).select(F.lit(-1).cast("long"))).toDF("term"))
+    words = lexicon(docs, low, high)
+    few = words.count() <= SMALL
+    words = words.union(docs.sparkSession.range(1).select(F.lit(-1).cast("long"))).toDF("term")
+    words = F.broadcast(words) if few else words
     rows = with_next(docs.withColumn("h", F.xxhash64("text")), ["text"])
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +13,6 @@ from .hashing import mix
 
 DIMS = 4096
 ORDERS = (1, 2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(text: str) -> np.ndarray:
@@ -100,13 +98,14 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.6
     """``doc_id, lang_pred, score, ambiguous`` for each row of ``docs``, from the whole text alone.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learnt.  ``ambiguous`` marks a
-    best class below ``ambiguous_below``.  Ties go to the first language by code point.
+    best class below ``ambiguous_below``.  Ties go to the first language by code point.  Rows that repeat a doc_id, and rows
+    with a null doc_id, are judged as any other; other columns are ignored; an empty table gives an empty result.
     """
     def run(batches):
         for batch in batches:
             names, scores = [], []
             for text in batch.column(1).to_pylist():
-                if not text or not model.langs or not LETTER.search(text):
+                if not text or not model.langs or not any(map(str.isalpha, text)):
                     names.append("und")
                     scores.append(0.0)
                     continue

@@ -151,7 +151,7 @@ def test_fingerprints(spark, edge, empty):
     rng = np.random.default_rng(1)
     vocabulary = prose(rng, 3000, "abcdefghijklmnop")
     texts = [" ".join(rng.choice(vocabulary, 150)) for _ in range(60)] + ["", None, "é"]
-    rows = [(i * 700, t, "en", "a") for i, t in enumerate(texts)] + [(10**7, texts[0], "en", "a")]
+    rows = [(i * 700 if i < 40 else i * 10**15, t, "en", "a") for i, t in enumerate(texts)] + [(10**17, texts[0], "en", "a")]  # dense and sparse ids
     got = {r["doc_id"]: r for r in fingerprints(frame(spark, rows), low=0.01, high=0.9).collect()}
     order = sorted(rows, key=lambda r: -r[0])
     import hashlib
@@ -160,8 +160,8 @@ def test_fingerprints(spark, edge, empty):
         t, n = t or "", order[(k + 1) % len(order)][1] or ""
         cut = len(t) // 3
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + n[:cut]).encode()).hexdigest()
-    assert got[0]["fingerprint"] == got[10**7]["fingerprint"]
-    inner = [r for i, r in got.items() if i < 59 * 700]
+    assert got[0]["fingerprint"] == got[10**17]["fingerprint"]
+    inner = [r for i, r in got.items() if i < 59 * 10**15]
     assert np.mean([r["near_edited"] for r in inner]) > 0.2 > np.mean([r["near_next"] for r in inner])
     assert fingerprints(edge).count() == len(EDGE) and fingerprints(empty).count() == 0
 
@@ -419,6 +419,7 @@ def test_language_id(spark, edge, empty):
     assert all(got[i] == k for i, _, k, _ in rows)
     e = identify(edge, model).collect()
     assert len(e) == len(EDGE) and all(r["lang_pred"] == "und" for r in e if r["doc_id"] in (1, 2)) and identify(empty, model).count() == 0
+    assert {r["lang_pred"] for r in identify(frame(spark, [(1, "½ ² Ⅷ ① 12", "aa", "a")]), model).collect()} == {"und"}
     c = codewords(12)
     assert min((c[a] != c[b]).sum() for a in range(12) for b in range(a)) >= 4
     assert all(r["lang_pred"] == "und" for r in identify(docs, fit_languages(docs.limit(0))).collect())
