@@ -28,7 +28,7 @@ def remainder(n: int) -> Column:
 
 
 def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100, words=5)
+    return near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100, words=5).drop("text_md5")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
