@@ -5,10 +5,11 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from bisect import bisect_left
 from functools import reduce
 from itertools import groupby
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from .workspace import written
 
 GROUP = 32  # streams, or wrappers of streams, that one call aligns on average
-LONG = 1_000_000  # cells of an alignment table; longer streams are aligned greedily
 SMALL = 200_000  # hosts that may be broadcast
 BROADCAST_BYTES = 8_000_000
 TOKEN = re.compile(
@@ -167,32 +167,49 @@ def align(wrapper: list, page: list) -> list:
     while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
         tail += 1
     n, m = n - tail, m - tail
-    if (n - head) * (m - head) > LONG:
-        middle = _greedy(wrapper[head:n], page[head:m])
-    else:
-        middle = _best(wrapper[head:n], page[head:m], a[head:n], b[head:m])
+    middle = _best(wrapper[head:n], page[head:m], a[head:n], b[head:m])
     ends = zip(wrapper[n:], page[m:])
     return [_joined(x, y) for x, y in zip(wrapper[:head], page)] + middle + [_joined(x, y) for x, y in ends]
 
 
+def _numbered(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    known: dict = {}
+    return tuple(np.array([known.setdefault(x, len(known)) for x in side], np.int32) for side in (a, b))
+
+
 def _best(wrapper: list, page: list, a: list, b: list) -> list:
+    """The alignment of most worth: 4 for two blocks of the same shape and text, 1 for two of the same shape.
+
+    ``table[i][j]`` is the most worth of ``wrapper[i:]`` and ``page[j:]``.  A row needs the row below it alone, so about
+    the square root of all rows are kept and those between are made again on the way back: memory is m * sqrt(n).
+    """
     n, m = len(wrapper), len(page)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    worth = lambda i, j: 0 if a[i][0] != b[j][0] else 4 if a[i][1] == b[j][1] else 1
+    (shapes, others), (texts, words) = _numbered([x for x, _ in a], [y for y, _ in b]), _numbered([x for _, x in a], [y for _, y in b])
+    step = isqrt(n) + 1
+
+    def row(i: int, below: np.ndarray) -> np.ndarray:
+        worth = np.where(shapes[i] == others, np.where(texts[i] == words, 4, 1), 0).astype(np.int32)
+        found = below.copy()
+        np.maximum(below[:-1], below[1:] + worth, out=found[:-1])
+        return np.maximum.accumulate(found[::-1])[::-1]
+
+    kept, below = {n: np.zeros(m + 1, np.int32)}, np.zeros(m + 1, np.int32)
     for i in range(n - 1, -1, -1):
-        row, below, (shape, text) = best[i], best[i + 1], a[i]
-        for j in range(m - 1, -1, -1):
-            x = below[j] if below[j] >= row[j + 1] else row[j + 1]
-            if shape == b[j][0]:
-                y = below[j + 1] + (4 if text == b[j][1] else 1)
-                x = y if y > x else x
-            row[j] = x
-    out, i, j = [], 0, 0
+        below = row(i, below)
+        if i % step == 0:
+            kept[i] = below
+    out, i, j, table = [], 0, 0, {n: kept[n]}
     while i < n or j < m:
-        if i < n and j < m and (w := worth(i, j)) and best[i][j] == best[i + 1][j + 1] + w:
+        if i < n and (i not in table or i + 1 not in table):
+            end = min(n, (i // step + 1) * step)
+            table = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                table[k] = row(k, table[k + 1])
+        w = 0 if i == n or j == m or shapes[i] != others[j] else 4 if texts[i] == words[j] else 1
+        if w and table[i][j] == table[i + 1][j + 1] + w:
             out.append(_joined(wrapper[i], page[j]))
             i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
+        elif j >= m or i < n and table[i + 1][j] >= table[i][j + 1]:
             out.append(_opt(wrapper[i]))
             i += 1
         else:
@@ -201,24 +218,6 @@ def _best(wrapper: list, page: list, a: list, b: list) -> list:
     return out
 
 
-def _greedy(wrapper: list, page: list) -> list:
-    """As :func:`align`, in linear memory: each token of the wrapper takes the next one of the page at the same path."""
-    places: dict = {}
-    for j, y in enumerate(page):
-        places.setdefault(_shape(y), []).append(j)
-    out, at = [], 0
-    for x in wrapper:
-        there = places.get(_shape(x), [])
-        k = bisect_left(there, at)
-        if k < len(there):
-            out += map(_opt, page[at : there[k]])
-            out.append(_joined(x, page[there[k]]))
-            at = there[k] + 1
-        else:
-            out.append(_opt(x))
-    return out + list(map(_opt, page[at:]))
-
-
 def stream(found: list) -> list:
     """A page's blocks as folded slots: ``("slot", path, kind, text's hash, votes, pages)``, without text where excluded.
 

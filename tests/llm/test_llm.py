@@ -11,7 +11,7 @@ from codequarry.llm import lm
 from codequarry.llm.components import connected_components
 from codequarry.llm.decontaminate import benchmark_matches, contaminated, distances, passages, without_contaminated
 from codequarry.llm.hashing import shingle_set, word_hashes
-from codequarry.llm.html import _greedy, align, constants, extract_pages, fold, host_wrappers, main_text, segments, slots, stream
+from codequarry.llm.html import align, constants, extract_pages, fold, host_wrappers, main_text, segments, slots, stream
 from codequarry.llm.imatch import fingerprints
 from codequarry.llm.langid import codewords, fit_languages, identify
 from codequarry.llm.licenses import TEMPLATES, LicenseModel, fit_licenses, scan_licenses
@@ -246,11 +246,29 @@ def test_html(spark):
     s = lambda *names: [("slot", n) for n in names]
     assert fold(s("a", "b", "a", "b", "c")) == [("rep", (("slot", "a"), ("slot", "b"))), ("slot", "c")]
     assert align(s("a", "b", "c"), s("a", "c")) == [("slot", "a"), ("opt", ("slot", "b")), ("slot", "c")]
-    long = _greedy(s("a", "b", "c"), s("a", "x", "c"))
-    assert long == [("slot", "a"), ("opt", ("slot", "b")), ("opt", ("slot", "x")), ("slot", "c")]
+    assert align(s("a", "b", "c"), s("a", "x", "c")) == [("slot", "a"), ("opt", ("slot", "b")), ("opt", ("slot", "x")), ("slot", "c")]
     assert slots(stream(list(segments(PAGE.format("x", 1, 2))))) >= {("html/body/div.x", ""), ("html/body/nav", "out")}
 
 
+def test_html_alignments_are_best_at_any_length():
+    rng = np.random.default_rng(6)
+    leaves = lambda n: [("slot", "pqr"[rng.integers(3)], "", int(rng.integers(4)), 1, 1) for _ in range(n)]
+    part = lambda x: x[1] if x[0] == "opt" else x
+    for n, m in [(0, 3), (3, 0), *rng.integers(1, 40, (60, 2)).tolist()]:
+        x, y = leaves(n), leaves(m)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                worth = 0 if x[i][1] != y[j][1] else 4 if x[i][3] == y[j][3] else 1
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + worth)
+        met = [part(z) for z in align(x, y) if part(z)[5] == 2]
+        assert sum(4 if z[4] == 2 else 1 for z in met) == best[0][0]
+        assert len(align(x, y)) == n + m - len(met)
+    x, y = leaves(3000), leaves(2500)
+    found = align(x, y)
+    assert len(found) == 5500 - sum(part(z)[5] == 2 for z in found) and [part(z)[1] for z in found if z[0] == "slot"] == [part(z)[1] for z in found if part(z)[5] == 2]
+
+
 def test_html_wrappers_cover_every_page(spark):
     body = '<body><section class="top"><p>Our shop</p></section>{}<section class="text"><p>{}</p></section></body>'
     pages = [(i, "http://h.org", body.format("<table><td>cell</td></table>" * (i % 90), f"long text number {i} " * 50)) for i in range(120)]
