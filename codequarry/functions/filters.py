@@ -139,14 +139,34 @@ def replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
-def normalise_ends(text: Column, cr: str = "remove", eof: str = "asis") -> Column:
-    """Line ends: cr ``remove`` to LF, ``add`` to CRLF; a final 0x1A ``remove``, ``add`` or ``asis``."""
+def normalise_ends(text: Column, cr: str = "remove", eof: str = "asis", tab: str = "asis", width: int = 8) -> Column:
+    """Line ends: cr ``remove`` to LF, ``add`` to CRLF; a final 0x1A ``remove``, ``add`` or ``asis``.
+
+    tab ``remove`` expands tabs to stops of ``width`` columns, a power of two; ``add`` writes runs of two blanks or more
+    with as many tabs as they reach stops.  Both drop blanks before line ends.
+    """
     bare = F.regexp_replace(text, "\x1a\\z", "") if eof in ("remove", "add") else text
     if cr in ("remove", "add"):
         bare = F.regexp_replace(bare, "\r*\n|\r", "\n" if cr == "remove" else "\r\n")
+    if tab in ("remove", "add"):
+        if width < 2 or width & (width - 1):
+            raise ValueError("width must be a power of two")
+        bare = expand_tabs(F.regexp_replace(bare, r"(?<![ \t])[ \t]++(?=[\r\n]|\z)", ""), width)
+        bare = _joined(F.transform(_lines(bare), lambda line: _tabbed(line, width))) if tab == "add" else bare
     return F.concat(bare, F.lit("\x1a")) if eof == "add" else bare
 
 
+def _tabbed(line: Column, width: int) -> Column:
+    """The line with a tab for the blanks before each stop, where a run has two or more; no blanks may end it."""
+    blank = F.lit(" ")
+
+    def cells(c: Column) -> Column:
+        many = lambda x, i: F.endswith(x, F.lit("  ")) | (F.endswith(x, blank) & F.startswith(F.get(c, i + 1), blank))
+        return F.array_join(F.transform(c, lambda x, i: F.when((F.length(x) == width) & many(x, i), F.concat(F.rtrim(x), F.lit("\t"))).otherwise(x)), "")
+
+    return F.transform(F.array(F.regexp_extract_all(line, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))), cells)[0]
+
+
 def expand_tabs(text: Column, width: int = 8) -> Column:
     """Tabs to the next multiple of ``width`` columns, by line."""
     def line(c: Column) -> Column:

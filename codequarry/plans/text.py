@@ -72,6 +72,19 @@ mapped("t15_replace_regex", lambda t: T.replace_regex(t, "th(e)", "<$1>", "g"),
 mapped("t15_replace_first", lambda t: T.replace_regex(t, "th(e)", "<$1>", "i", by_line=True), JOIN.format(f"list_transform({LINES}, lambda l: regexp_replace(l, 'th(e)', '<\\1>', 'i'))"))
 mapped("t16_replace_all", lambda t: T.replace_all(t, [("the", "THE"), ("THEr", "x")]), "replace(replace(text, 'the', 'THE'), 'THEr', 'x')")
 mapped("t17_normalise_ends", lambda t: T.normalise_ends(t, "remove", "remove"), "regexp_replace(replace(text, chr(13), ''), '\\x1a$', '')", tabbed, TAB)
+
+#: Lines of the tabbed texts without blanks at their ends, tabs expanded to stops of 4; then blanks before stops as tabs.
+EXPANDED = "list_transform(string_split(regexp_replace(text, '[ \\t]+(\\r|\\n|$)', '\\1', 'g'), chr(10)), lambda l: list_reduce(string_split(l, chr(9)), lambda a, x: concat(rpad(a, CAST((length(a) // 4 + 1) * 4 AS INT), ' '), x)))"
+CELLS = "list_transform(generate_series(0, (length(l) - 1) // 4), lambda i: CASE WHEN l[i * 4 + 4] = ' ' AND (l[i * 4 + 3] = ' ' OR l[i * 4 + 5] = ' ') THEN rtrim(l[i * 4 + 1 : i * 4 + 4]) || chr(9) ELSE l[i * 4 + 1 : i * 4 + 4] END)"
+SPACED = f"(SELECT doc_id, regexp_replace({RAGGED}, ' ([a-m])', '   \\1', 'g') AS text FROM documents)"
+
+
+def spaced(spark, d):
+    return ragged(spark, d).select("doc_id", F.regexp_replace("text", " ([a-m])", "   $1").alias("text"))
+
+
+mapped("t17_remove_tabs", lambda t: T.normalise_ends(t, "asis", "asis", "remove", 4), JOIN.format(EXPANDED), spaced, SPACED)
+mapped("t17_add_tabs", lambda t: T.normalise_ends(t, "asis", "asis", "add", 4), JOIN.format(f"list_transform({EXPANDED}, lambda l: array_to_string({CELLS}, ''))"), spaced, SPACED)
 mapped("t19_chain", lambda t: T.chain(t, lambda x: T.head(x, 5), lambda x: T.prefix_lines(x, "- "), lambda x: T.strip_line_breaks(x)), f"array_to_string(list_transform({LINES}[1:5], lambda l: '- ' || l), '')")
 
 

@@ -35,6 +35,11 @@ def test_filters(spark):
     assert one(spark, "é😀a", T.escape_unicode) == "\\u00e9\\ud83d\\ude00a"
     assert one(spark, "a\tbc\td\n\tx", lambda t: T.expand_tabs(t, 4)) == "a   bc  d\n    x"
     assert one(spark, "a\r\nb\rc\x1a", lambda t: T.normalise_ends(t, "add", "remove")) == "a\r\nb\r\nc"
+    for text, added, removed in (("a   b", "a\tb", "a   b"), ("abc d", "abc d", "abc d"), ("abc  d", "abc\t d", "abc  d"), ("\tx \t\n  y ", "\tx\n  y", "    x\n  y"), ("a\t\tb \r\n", "a\t\tb\r\n", "a       b\r\n"), ("", "", ""), ("  \t", "", "")):
+        assert one(spark, text, lambda t: T.normalise_ends(t, "asis", "asis", "add", 4)) == added
+        assert one(spark, text, lambda t: T.normalise_ends(t, "asis", "asis", "remove", 4)) == removed
+    with pytest.raises(ValueError):
+        T.normalise_ends(F.lit(""), tab="add", width=6)
     assert one(spark, "aXbX", lambda t: T.replace_regex(t, "(X)", "<$1>")) == "a<X>bX"
     assert one(spark, "a\r\nb\n", lambda t: T.line_tokens(t, keep_ends=True)) == ["a\r\n", "b\n"]
 
