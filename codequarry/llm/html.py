@@ -172,40 +172,47 @@ def align(wrapper: list, page: list) -> list:
     return [_joined(x, y) for x, y in zip(wrapper[:head], page)] + middle + [_joined(x, y) for x, y in ends]
 
 
-def _numbered(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
-    known: dict = {}
-    return tuple(np.array([known.setdefault(x, len(known)) for x in side], np.int32) for side in (a, b))
-
-
 def _best(wrapper: list, page: list, a: list, b: list) -> list:
     """The alignment of most worth: 4 for two blocks of the same shape and text, 1 for two of the same shape.
 
     ``table[i][j]`` is the most worth of ``wrapper[i:]`` and ``page[j:]``.  A row needs the row below it alone, so about
     the square root of all rows are kept and those between are made again on the way back: memory is m * sqrt(n).
+    Rows are lists where they are short and arrays where they are long, with the same values.
     """
     n, m = len(wrapper), len(page)
-    (shapes, others), (texts, words) = _numbered([x for x, _ in a], [y for y, _ in b]), _numbered([x for _, x in a], [y for _, y in b])
-    step = isqrt(n) + 1
-
-    def row(i: int, below: np.ndarray) -> np.ndarray:
-        worth = np.where(shapes[i] == others, np.where(texts[i] == words, 4, 1), 0).astype(np.int32)
-        found = below.copy()
-        np.maximum(below[:-1], below[1:] + worth, out=found[:-1])
-        return np.maximum.accumulate(found[::-1])[::-1]
-
-    kept, below = {n: np.zeros(m + 1, np.int32)}, np.zeros(m + 1, np.int32)
+    step, short = isqrt(n) + 1 if n * m > 4096 else 1, m < 64
+    if not short:
+        numbers = [{x: k for k, x in enumerate({*(x[p] for x in a), *(y[p] for y in b)})} for p in (0, 1)]
+        shapes, texts = (np.array([known[y[p]] for y in b], np.int32) for p, known in enumerate(numbers))
+
+    def row(i: int, below):
+        shape, text = a[i]
+        if not short:
+            worth = (shapes == numbers[0][shape]) * np.where(texts == numbers[1][text], 4, 1).astype(np.int32)
+            return np.maximum.accumulate(np.append(np.maximum(below[:-1], below[1:] + worth), below[-1])[::-1])[::-1]
+        found, x = below[:], below[m]
+        for j in range(m - 1, -1, -1):
+            x = below[j] if below[j] >= x else x
+            if shape == b[j][0]:
+                y = below[j + 1] + (4 if text == b[j][1] else 1)
+                x = y if y > x else x
+            found[j] = x
+        return found
+
+    below = [0] * (m + 1) if short else np.zeros(m + 1, np.int32)
+    kept = {n: below}
     for i in range(n - 1, -1, -1):
         below = row(i, below)
         if i % step == 0:
             kept[i] = below
-    out, i, j, table = [], 0, 0, {n: kept[n]}
+    out, i, j, table = [], 0, 0, kept
     while i < n or j < m:
         if i < n and (i not in table or i + 1 not in table):
             end = min(n, (i // step + 1) * step)
             table = {end: kept[end]}
             for k in range(end - 1, i - 1, -1):
                 table[k] = row(k, table[k + 1])
-        w = 0 if i == n or j == m or shapes[i] != others[j] else 4 if texts[i] == words[j] else 1
+        w = 0 if i == n or j == m or a[i][0] != b[j][0] else 4 if a[i][1] == b[j][1] else 1
         if w and table[i][j] == table[i + 1][j + 1] + w:
             out.append(_joined(wrapper[i], page[j]))
             i, j = i + 1, j + 1

@@ -254,7 +254,7 @@ def test_html_alignments_are_best_at_any_length():
     rng = np.random.default_rng(6)
     leaves = lambda n: [("slot", "pqr"[rng.integers(3)], "", int(rng.integers(4)), 1, 1) for _ in range(n)]
     part = lambda x: x[1] if x[0] == "opt" else x
-    for n, m in [(0, 3), (3, 0), *rng.integers(1, 40, (60, 2)).tolist()]:
+    for n, m in [(0, 3), (3, 0), *rng.integers(1, 40, (60, 2)).tolist(), (90, 70), (70, 90), (200, 30)]:
         x, y = leaves(n), leaves(m)
         best = [[0] * (m + 1) for _ in range(n + 1)]
         for i in range(n - 1, -1, -1):
