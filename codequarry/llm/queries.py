@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .bpe import encode_documents
 from .decontaminate import contaminated
 from .html import extract_pages
 from .imatch import fingerprints
@@ -16,6 +17,8 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .pii import find_pii
 from .toxicity import fit_toxicity, score_toxicity
+from .variants import spelling_variants
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +77,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_neardup, op2_license_scan, op3_source_mixing, op4_imatch_fingerprint, op5_lm_scoring, op6_html_extraction, op7_decontamination, op8_toxicity, op9_pii, op10_language_id)}
+    numbered = (op1_minhash_neardup, op2_license_scan, op3_source_mixing, op4_imatch_fingerprint, op5_lm_scoring, op6_html_extraction, op7_decontamination, op8_toxicity, op9_pii, op10_language_id)
+    return {f.__name__: f for f in (*numbered, op11_embedding_whitening, op12_bpe, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
