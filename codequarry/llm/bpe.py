@@ -6,6 +6,7 @@ import hashlib
 import os
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ PIECE = 32_768  # code points of a piece; texts of no more are encoded whole
 WINDOW = 64  # tokens on each side of a join that are encoded again at first
 EDGE = 16  # code points at a cut end that more text could change (a contraction, an end of word); more if a special token is longer
 BATCH = 64
+KEPT = 300_000  # words of which a task keeps the ids
 
 
 class Span:
@@ -84,7 +86,9 @@ def tree_joined(pieces: list[Span], encode: Callable[[str], Span], window: int =
     return pieces[0]
 
 
+@lru_cache(maxsize=2)
 def _tokenizer(definition: str):
+    """One for each Python worker: to read it takes longer than to encode a text."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -94,13 +98,40 @@ def _tokenizer(definition: str):
     return t
 
 
+class Words:
+    """Encodes texts word by word, and keeps what a word gave, for a tokenizer that drops white space.
+
+    Blanks and line ends are in no token and no merge, special token or normal form reaches over them, so the ids of a
+    text are those of what stands between them.
+    """
+
+    def __init__(self, tokenizer, kept: int = KEPT):
+        self.tokenizer, self.kept, self.ids = tokenizer, kept, {"": b""}
+        probe = "Ab c'd\n\n é<|x ' s\n"
+        if b"".join(self._new([w for line in probe.split("\n") for w in line.split(" ")])) != self._new([probe])[0]:
+            raise ValueError("this tokenizer does not drop white space")
+
+    def _new(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.ids) > self.kept:
+            self.ids = {"": b""}
+        new = list({w for ws in split for w in ws} - self.ids.keys())
+        for k in range(0, len(new), 1024):
+            self.ids.update(zip(new[k : k + 1024], self._new(new[k : k + 1024])))
+        return [b"".join(map(self.ids.__getitem__, ws)) for ws in split]
+
+
 def edge_of(tokenizer) -> int:
     return max(EDGE, 1 + max((len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), default=0))
 
 
-def _digests(tokenizer, ids) -> tuple[int, str, str]:
-    numbers = np.asarray(ids, dtype="<u4")
-    return len(numbers), hashlib.sha256(numbers.tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(numbers.tolist(), skip_special_tokens=False).encode()).hexdigest()
+def _digests(tokenizer, ids: bytes) -> tuple[int, str, str]:
+    text = tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 FIRST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, row string, piece int, pieces int, text string"
@@ -118,7 +149,8 @@ def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def encode_documents(docs: DataFrame, tokenizer_path: str, piece: int = PIECE, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row of ``docs``, by the tokenizer file of the library ``tokenizers``.
 
-    Texts of up to ``piece`` code points are encoded where they are read.  Longer ones are cut, blank or not, into pieces
+    Texts of up to ``piece`` code points are encoded where they are read, each word once in a task; the tokenizer must be
+    one that drops white space (others raise ValueError).  Longer ones are cut, blank or not, into pieces
     that are dealt to all tasks and encoded there, with the places of their tokens; a text's pieces then meet in one task,
     which joins neighbours, pairs of neighbours and so on, each by a window that grows until both sides agree exactly.
     What one task must hold is one text and its tokens.  The ids of a text equal those of a single call, whatever the
@@ -135,13 +167,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, piece: int = PIECE, w
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(definition.value)
+        words = Words(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), BATCH):
                 some, rows = list(zip(ids[at : at + BATCH], texts.slice(at, BATCH).to_pylist())), []
                 short = [r for r in some if len(r[1]) <= piece]
-                for (doc_id, _), e in zip(short, tokenizer.encode_batch_fast([t for _, t in short], add_special_tokens=False)):
-                    rows.append((doc_id, *_digests(tokenizer, e.ids), None, None, None, None))
+                for (doc_id, _), e in zip(short, words.encode([t for _, t in short])):
+                    rows.append((doc_id, *_digests(tokenizer, e), None, None, None, None))
                 yield _arrow(rows, FIRST)
                 for doc_id, text in some:
                     if len(text) > piece:
@@ -161,7 +194,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, piece: int = PIECE, w
         parts = sorted(table.to_pylist(), key=lambda r: r["piece"])
         spans = [Span(r["text"], *(np.frombuffer(r[c], np.int32) for c in ("ids", "starts", "ends"))) for r in parts]
         whole = tree_joined(spans, lambda t: encoded(tokenizer, t), window, edge_of(tokenizer))
-        return pa.Table.from_batches([_arrow([(parts[0]["doc_id"], *_digests(tokenizer, whole.ids))], RESULT)])
+        return pa.Table.from_batches([_arrow([(parts[0]["doc_id"], *_digests(tokenizer, whole.ids.astype("<u4").tobytes()))], RESULT)])
 
     first = written(given.mapInArrow(cut, FIRST), "encoded")
     long = first.where("row is not null").select("doc_id", "row", "piece", "text")
