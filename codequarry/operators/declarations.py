@@ -1,6 +1,6 @@
-"""Declarations in Java source text by DataFrame operations: mask, cut into statements, track depth, name types.
+"""Declarations in Java source text by DataFrame operations: mask, cut at braces, track scopes, name types.
 
-One shuffle by path; all windows are partitioned by file.
+One shuffle by path; all windows are partitioned by file, and carry numbers and names, never text.
 """
 
 from __future__ import annotations
@@ -10,13 +10,30 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import code_lines, physical_lines
 
-LITERAL = r'"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\''  # possessive: long literals do not recurse
+LITERAL = r'"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\''  # possessive here and below: long texts do not recurse
 HIDDEN = LITERAL + r"|/\*[\s\S]*?\*/|/\*[\s\S]*|//[^\n]*"
-ANNOTATIONS = r"^(?:@(?!interface\b)[\w.]+\s*(?:\((?:[^()]++|\([^()]*+\))*+\)\s*)?)+"
-TYPE = r"^[^(=]*?(@interface|\bclass|\binterface|\benum)\s+(\w+)[^(=]*\{$"
-METHOD = r"^(?:@\w+(?:\([^)]*\))?\s*)*[^=({]*?(\w+)\s*\([^{]*\)[^={]*[{;]$"
-CONTROL = r"^(?:.*\belse\s+)?(?:if|for|while|switch|catch|synchronized|try|do|return|throw|new|case|super|this)\b"
+NESTED = 8  # parentheses within parentheses that stay in one piece
+
+
+def _balanced(depth: int) -> str:
+    """Parentheses that hold no braces but those of an array of plain values."""
+    inside = r"[^(){}]++|\{[^(){};]*+\}" + ("|" + _balanced(depth - 1) if depth else "")
+    return rf"\((?:{inside})*+\)"
+
+
+PIECE = r"(?:[^{};()]++|" + _balanced(NESTED) + r")*+[{};()]"
+LEAD = r"^\s*+(?:@(?!interface\b)[\w.]++\s*+(?:\((?:[^()]++|\([^()]*+\))*+\)\s*+)?+)*+"
+TYPE = r"^[^(=]*?(@interface|\bclass|\binterface|\benum)\s++(\w++)[^(=]*+(?<=\{)$"
+CALL = r"^[^=({};]*?(?<![\w.])(\w++)\s*+\("
+SIGNATURE_END = r"\)[^={()]*+\{?+$"
+CONTROL = r"^(?:\w++\s*+:\s*+)?+(?:(?:if|for|while|switch|catch|try|do|else|finally|case)\b|synchronized\s*+[({]|default\s*+:|static\s*+\{)"
+STATEMENT = r"^(?:return|throw|new|assert|super|this|else)\b"
+CREATION = r"\bnew\s++[\w.$<>?,\s\[\]&]*+\("
 BRANCHES = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?!\s*(?:extends\b|super\b|[>,]))"
+#: kinds of an opening brace: a class or interface, an enum, an annotation, a body without a name (anonymous class, constant), a method, anything else
+CLASS, ENUM, ANNOTATION, BODY, METHOD, BLOCK = "C", "E", "A", "N", "M", "B"
+#: only until the piece before is known: a name, or a call, without a type before it
+BARE = "T"
 
 
 def masked(text: Column) -> Column:
@@ -30,79 +47,103 @@ def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def statements(files: DataFrame) -> DataFrame:
-    """``path, pkg, stmt, text, last, line, before, after``: statements with their brace depth before and after.
+def pieces(files: DataFrame) -> DataFrame:
+    """``path, stmt, last, kind, name, typed, is_public, pkg, lines, lead, branches``: the text between braces and statement ends.
 
-    A statement ends at ``{``, ``}`` or ``;`` outside parentheses; ``line`` is the line of that character.
+    A piece ends at a brace, at ``;`` outside parentheses, or at a parenthesis that holds a body.  ``kind`` is null for
+    what declares nothing.  All that needs the text is told here, before rows are dealt by path.
     """
     code = files.select("path", masked(F.col("text")).alias("code"))
-    code = code.withColumn("pkg", F.regexp_extract("code", r"(?:^|[;\s])package\s+([\w.]+)\s*;", 1))
-    cut = code.select("path", "pkg", F.posexplode(F.regexp_extract_all("code", F.lit(r"[^{};()]*[{};()]"), F.lit(0))).alias("idx", "s"))
-    w = Window.partitionBy("path").orderBy("idx")
+    code = code.withColumn("pkg", F.regexp_extract("code", r"(?:^|[;\s])package\s++([\w.]++)\s*+;", 1))
+    cut = code.select("path", "pkg", F.posexplode(F.regexp_extract_all("code", F.lit(PIECE), F.lit(0))).alias("stmt", "text"))
+    cut = cut.withColumns({"last": F.right("text", F.lit(1)), "head": F.regexp_replace("text", LEAD, "")})
+    opener, calls = F.col("last") == "{", F.col("head").contains("(")
+    word = F.when(opener, F.regexp_extract("head", TYPE, 1)).otherwise("")
+    call = F.when(F.col("last").isin("{", ";") & calls & ~F.col("head").rlike(STATEMENT), F.regexp_extract("head", CALL, 1)).otherwise("")
+    cut = cut.withColumns({"word": word, "call": call})
+    signature = (F.col("call") != "") & F.col("head").rlike(SIGNATURE_END)
+    bare = F.col("head").rlike(r"^\w++\s*+[({]")
+    opens = (
+        F.when(F.col("word").isin("class", "interface"), CLASS).when(F.col("word") == "enum", ENUM).when(F.col("word") == "@interface", ANNOTATION)
+        .when(F.col("head").rlike(CONTROL), BLOCK)
+        .when(calls & F.col("head").rlike(CREATION) & F.col("head").rlike(r"\)\s*+\{$"), BODY)
+        .when(F.col("head").rlike(r"^,\s*+(?:@\w++\s*+)*+\w++\s*+[({]") & ~F.col("head").contains("="), BODY)
+        .when(bare & (signature | ~calls), BARE).when(signature, METHOD).otherwise(BLOCK)
+    )
+    kind = F.when(opener, opens).when((F.col("last") == ";") & signature & ~bare, METHOD)
+    name = F.when(F.col("word") != "", F.regexp_extract("head", TYPE, 2)).when(F.col("call") != "", F.col("call"))
+    public = kind.isin(METHOD, BARE) & F.regexp_extract("head", r"^([^(]*+)\(", 1).rlike(r"\bpublic\b")
+    lead = _newlines(F.regexp_extract("text", r"^(\s*+)", 1))
+    branches = F.size(F.regexp_extract_all("text", F.lit(BRANCHES), F.lit(0)))
+    return cut.select("path", "stmt", "last", kind.alias("kind"), name.alias("name"), (~bare).alias("typed"), public.alias("is_public"), F.when(F.col("word") != "", F.col("pkg")).alias("pkg"), _newlines(F.col("text")).alias("lines"), lead.alias("lead"), branches.alias("branches"))
+
+
+def scopes(files: DataFrame) -> DataFrame:
+    """Openers, closers and signatures with ``before, after`` (depth), ``line``, ``c_branches`` and ``up``: the opener that encloses them.
+
+    ``up`` has the stmt, kind and name of the nearest enclosing opener; for a closer that is the one it closes.  Only
+    openers are there twice while it is looked up, among their own level's rows and among those that they enclose.
+    """
+    w = Window.partitionBy("path").orderBy("stmt")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.right("s", F.lit(1))
-    cut = cut.withColumn("last", last).withColumn("paren", F.sum(F.when(F.col("last") == "(", 1).when(F.col("last") == ")", -1).otherwise(0)).over(upto))
-    cut = cut.withColumn("line", F.sum(_newlines(F.col("s"))).over(upto) + 1).withColumn("ends", F.col("last").isin("{", "}", ";") & (F.col("paren") <= 0))
-    cut = cut.withColumn("stmt", F.coalesce(F.sum(F.col("ends").cast("int")).over(past), F.lit(0)))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "s"))), lambda x: x["s"]), "")
-    out = cut.groupBy("path", "stmt").agg(F.first("pkg").alias("pkg"), whole.alias("text"), F.max_by("last", "idx").alias("last"), F.max("line").alias("line"))
     step = F.when(F.col("last") == "{", 1).when(F.col("last") == "}", -1).otherwise(0)
-    v = Window.partitionBy("path").orderBy("stmt").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("after", F.sum(step).over(v)).withColumn("before", F.col("after") - step)
+    first = (F.lag("kind").over(w) == ENUM) & F.col("kind").isin(BARE, BLOCK)  # an enum's first constant has a body
+    kind = F.when(first, BODY).when(F.col("kind") == BARE, METHOD).otherwise(F.col("kind"))
+    s = pieces(files).select("*", F.sum(step).over(upto).alias("after"), (F.sum("lines").over(upto) + 1).alias("line"), F.sum("branches").over(upto).alias("c_branches"), kind.alias("_kind"))
+    s = s.drop("kind", "branches").withColumnRenamed("_kind", "kind").withColumn("before", F.col("after") - step)
+    s = s.where(F.col("last").isin("{", "}") | F.col("kind").isNotNull())
+    places = F.when(F.col("last") == "{", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    s = s.select("*", F.explode(places).alias("role")).withColumn("level", F.when(F.col("role") == 1, F.col("after")).otherwise(F.col("before")))
+    above = Window.partitionBy("path", "level").orderBy("stmt").rowsBetween(Window.unboundedPreceding, -1)
+    up = F.last(F.when(F.col("role") == 1, F.struct("stmt", "kind", "name")), ignorenulls=True).over(above)
+    return s.withColumn("up", F.when(F.col("level") > 0, up)).where("role = 0").drop("role", "level")
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """Types and methods: ``path, pkg, stmt, kind, name, outer, is_public, first_line, last_line, npm, methods, cc, own_wmc, own_max, own_n``.
-
-    kind is ``type``, ``hidden`` (a nested enum or annotation: it encloses but makes no row) or ``method``.  outer is
-    the enclosing type's name.  npm and methods of a type count all methods between its braces, those of nested types
-    too, but none inside method bodies.  own_* aggregate cyclomatic complexity over a type's direct methods.
+    """Types and methods: ``path, pkg, stmt, kind, name, outer, is_public, before, first_line, last_line, npm, methods, cc, own_wmc, own_max, own_n``.
+
+    kind is ``type``, ``hidden`` (a type that makes no row: nested enums and annotations, types in them, in anonymous
+    classes and in bodies) or ``method``.  outer is the enclosing type's name.  Methods are those of classes, interfaces,
+    enums, their constants and anonymous classes in field initialisers and initialiser blocks; what stands inside the
+    body of a method, and members of annotations, are none.  npm and methods of a type count all methods between its
+    braces.  cc counts a method's branches, those of local classes too; own_* aggregate it over a type's direct methods.
+    npm, methods and own_* are null for methods, is_public and cc for types.
     """
-    s = statements(files)
-    head = F.trim(F.regexp_replace("text", r"\s+", " "))
-    s = s.withColumn("head", head).withColumn("branches", F.size(F.regexp_extract_all("text", F.lit(BRANCHES), F.lit(0))))
-    named = F.regexp_extract("head", TYPE, 2)
-    word = F.regexp_extract("head", TYPE, 1)
-    s = s.withColumn("type_name", F.when((F.col("last") == "{") & (named != ""), named)).withColumn("plain", word.isin("class", "interface"))
     opener, closer = F.col("last") == "{", F.col("last") == "}"
-    # each statement as an opening or closing event of its own level, and as one that asks for its enclosing opener
-    events = F.array(F.struct(F.when(closer, F.col("after")).otherwise(F.col("before")).alias("level"), F.lit(1).alias("role")), F.struct((F.col("before") - 1).alias("level"), F.lit(0).alias("role")))
-    e = s.select("*", F.explode(events).alias("e")).select("*", "e.level", "e.role").drop("e")
-    level = Window.partitionBy("path", "level").orderBy("stmt", "role").rowsBetween(Window.unboundedPreceding, -1)
-    enclosing = F.last(F.when((F.col("role") == 1) & opener, F.struct("stmt", F.coalesce("type_name", F.lit("")).alias("name"))), ignorenulls=True).over(level)
-    asked = e.withColumn("outer", enclosing).where("role = 0").drop("level", "role")
-    inside = F.coalesce(F.col("outer.name"), F.lit("")) != ""
-    asked = asked.withColumn("head", F.regexp_replace("head", ANNOTATIONS, ""))
-    # a name without a type before it is a constructor's, or a constant of an enum
-    typed = ~F.col("head").rlike(r"^\w+\s*\(") | (opener & (F.regexp_extract("head", r"^(\w+)", 1) == F.col("outer.name")))
-    method = inside & F.col("type_name").isNull() & F.col("head").rlike(METHOD) & ~F.col("head").rlike(CONTROL) & F.col("last").isin("{", ";") & typed
-    d = asked.withColumn("is_method", method).withColumn("is_public", method & F.regexp_extract("head", r"^([^(]*)\(", 1).rlike(r"\bpublic\b"))
     run = Window.partitionBy("path").orderBy("stmt").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"c_branches": F.sum("branches").over(run), "c_public": F.sum(F.col("is_public").cast("int")).over(run), "c_methods": F.sum(F.col("is_method").cast("int")).over(run)})
+    of, named = F.col("up.kind"), F.col("kind").isin(CLASS, ENUM, ANNOTATION)
+    method = (F.col("kind") == METHOD) & of.isin(CLASS, ENUM, BODY) & (F.col("typed") | (F.col("name") == F.col("up.name")))
+    inside = lambda test: F.sum(F.when(opener & test(F.col("kind")), 1).when(closer & test(of), -1).otherwise(0)).over(run)
+    d = scopes(files).withColumns({"in_method": inside(lambda k: k == METHOD), "in_other": inside(lambda k: k != CLASS)})
+    mine = (F.when(opener & (F.col("kind") == METHOD), 1).otherwise(0), F.when(opener & (F.col("kind") != CLASS), 1).otherwise(0))
+    counted = F.coalesce(method, F.lit(False)) & (F.col("in_method") - mine[0] == 0)
+    d = d.withColumns({"counted": counted, "listed": named & ((F.col("before") == 0) | ((F.col("kind") == CLASS) & (F.col("in_other") - mine[1] == 0)))})
+    d = d.withColumns({"c_public": F.sum((F.col("counted") & F.col("is_public")).cast("int")).over(run), "c_methods": F.sum(F.col("counted").cast("int")).over(run)})
+    ends = closer & of.isin(CLASS, ENUM, ANNOTATION, METHOD)
+    d = d.where(F.col("counted") | (opener & named) | ends)
+    # of what is left, an opener's closer is the next row of its level
     same = Window.partitionBy("path", F.when(closer, F.col("after")).otherwise(F.col("before")), opener | closer).orderBy("stmt")
-    close = lambda c: F.lead(c).over(same)
-    d = d.withColumns({"end_line": close("line"), "e_branches": close("c_branches"), "e_public": close("c_public"), "e_methods": close("c_methods")})
-    d = d.withColumn("cc", F.when(F.col("is_method"), 1 + F.when(opener, F.coalesce(F.col("e_branches") - F.col("c_branches"), F.lit(0))).otherwise(0)))
-    mine = Window.partitionBy("path", F.when(F.col("is_method"), F.col("outer.stmt")).otherwise(F.col("stmt")), F.col("is_method") | F.col("type_name").isNotNull())
-    d = d.withColumns({"own_wmc": F.coalesce(F.sum("cc").over(mine), F.lit(0)), "own_max": F.coalesce(F.max("cc").over(mine), F.lit(0)), "own_n": F.count("cc").over(mine)})
-    kind = F.when(F.col("is_method"), "method").when(F.col("type_name").isNotNull() & (F.col("plain") | (F.col("before") == 0)), "type").when(F.col("type_name").isNotNull(), "hidden")
-    lead = F.length(F.regexp_extract("text", r"^(\s*)", 1)) - F.length(F.replace(F.regexp_extract("text", r"^(\s*)", 1), F.lit("\n"), F.lit("")))
-    return d.withColumn("kind", kind).where("kind is not null").select(
-        "path", "pkg", "stmt", "kind", F.coalesce("type_name", F.regexp_extract("head", METHOD, 1)).alias("name"), F.col("outer.name").alias("outer"), "is_public", "before",
-        (F.col("line") - _newlines(F.col("text")) + lead).cast("int").alias("first_line"), F.coalesce(F.col("end_line"), F.col("line")).cast("int").alias("last_line"),
-        F.coalesce(F.col("e_public") - F.col("c_public"), F.lit(0)).alias("npm"), F.coalesce(F.col("e_methods") - F.col("c_methods"), F.lit(0)).alias("methods"), F.col("cc").cast("long").alias("cc"),
-        F.col("own_wmc").cast("long").alias("own_wmc"), F.col("own_max").cast("long").alias("own_max"), "own_n",
+    close = lambda c: F.when(opener, F.lead(c).over(same))
+    d = d.withColumns({"end_line": close("line"), "e_branches": close("c_branches"), "e_public": close("c_public"), "e_methods": close("c_methods")}).where(~closer)
+    d = d.withColumn("cc", F.when(F.col("counted"), 1 + F.coalesce(F.col("e_branches") - F.col("c_branches"), F.lit(0))))
+    direct = Window.partitionBy("path", F.when(F.col("counted"), F.col("up.stmt")).otherwise(F.col("stmt")))
+    kind = F.when(F.col("counted"), "method").when(F.col("listed"), "type").otherwise("hidden")
+    of_type = lambda c: F.when(~F.col("counted"), c)
+    return d.select(
+        "path", "pkg", "stmt", kind.alias("kind"), "name", F.when(of.isin(CLASS, ENUM, ANNOTATION), F.col("up.name")).alias("outer"), F.when(F.col("counted"), F.col("is_public")).alias("is_public"), "before",
+        (F.col("line") - F.col("lines") + F.col("lead")).cast("int").alias("first_line"), F.coalesce("end_line", "line").cast("int").alias("last_line"),
+        of_type(F.coalesce(F.col("e_public") - F.col("c_public"), F.lit(0))).alias("npm"), of_type(F.coalesce(F.col("e_methods") - F.col("c_methods"), F.lit(0))).alias("methods"), F.col("cc").cast("long").alias("cc"),
+        of_type(F.coalesce(F.sum("cc").over(direct), F.lit(0))).cast("long").alias("own_wmc"), of_type(F.coalesce(F.max("cc").over(direct), F.lit(0))).cast("long").alias("own_max"), of_type(F.count("cc").over(direct)).alias("own_n"),
     )
 
 
 def types(files: DataFrame) -> DataFrame:
-    """A row for each class or interface, and each top-level enum or annotation: ``path, name, outer, qualified`` and counts.
+    """A row for each top-level type, and each class or interface directly within classes: ``path, name, outer`` and counts.
 
     A nested type is named by its immediate outer type: ``pkg.Outer$Inner``.
     """
     t = declarations(files).where("kind = 'type'")
-    local = F.when(F.coalesce("outer", F.lit("")) != "", F.concat("outer", F.lit("$"), "name")).otherwise(F.col("name"))
+    local = F.when(F.col("outer").isNotNull(), F.concat("outer", F.lit("$"), "name")).otherwise(F.col("name"))
     return t.withColumn("simple", F.col("name")).withColumn("name", F.when(F.col("pkg") != "", F.concat("pkg", F.lit("."), local)).otherwise(local))
 
 

@@ -101,7 +101,7 @@ def test_sources_and_sinks(spark, tmp_path):
     S.write_metrics_csv(m, str(tmp_path / "out.csv"))
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "out.csv").glob("part-*")))
     assert raw.replace(b"name,npm,loc\r\n", b"") == b'a,3,4\r\n"b,""q""",1,2\r\n'
-    S.write_metrics_csv(m, str(tmp_path / "base/ant/1.3.csv"), include_all_columns=True)
+    S.write_metrics_csv(m, str(tmp_path / "base/project/1.3.csv"), include_all_columns=True)
     back = S.read_baseline(spark, str(tmp_path / "base"))
     assert len(back.columns) == 24 and {(r["name"], r["npm"], r["bug"]) for r in back.collect()} == {('b,"q"', 1, 0), ("a", 3, 0)}
     m.createOrReplaceTempView("m_rows")
@@ -118,6 +118,46 @@ def test_annotations_constants_wildcards_and_long_literals(spark):
     assert D.diagnostics(files(spark, text)).count() == 0 and D.loc_by_file(files(spark, text)).first()["loc"] == 3
 
 
+SCOPES = """package s;
+@interface Mark { String[] value() default {}; int n() default 1; class Held { public void a() {} } }
+@Mark({"x", "y"}) public class Top {
+  @SuppressWarnings({"a", "b"}) public void first(@Mark({"p"}) int a, int b) { class Local { public void no() {} } int[] x = {1, 2}; }
+  Runnable field = new Runnable() { public void run() { new Object() { public void deep() {} }; } };
+  Object made = wrap(new Object() { public int size() { return 1; } }, new Thing(a(1)) { public void two() {} });
+  static { class InBlock { public void yes() {} } }
+  { for (int i = 0; i < 3; i++) { call(i); } }
+  int[][] table = {{1, 2}, {3}};
+  Top() throws Error { this.x = 1; }
+  synchronized void sync() { synchronized (this) { go(); } label: for (;;) { } }
+  public abstract java.util.List<String> none(int a, Map<String, int[]> b);
+  native int raw();
+  enum Shade { DARK(1) { public int v() { return 1; } }, LIGHT { int w() { return 2; } }; Shade(int i) { } Shade() { } public int v() { return 0; } class InEnum { public void e() {} } }
+  interface Deep { void quiet(); class Leaf { public Leaf() {} } }
+}
+enum Plain { A, B; public void p() {} class Hidden { public void h() {} } }
+class Last { public void z() { if (a) { b(); } else if (c(new X() { public void q() {} })) { } } }
+"""
+
+
+def test_scopes_of_declarations(spark):
+    f = files(spark, SCOPES)
+    got = {r["name"]: (r["npm"], r["methods"], r["first_line"], r["last_line"]) for r in D.types(f).collect()}
+    assert got == {
+        "s.Mark": (1, 1, 2, 2), "s.Top": (10, 17, 3, 16), "s.Top$Deep": (1, 2, 15, 15), "s.Deep$Leaf": (1, 1, 15, 15),
+        "s.Plain": (2, 2, 17, 17), "s.Last": (1, 1, 18, 18),
+    }
+    methods = sorted(r["name"] for r in D.declarations(f).where("kind = 'method'").collect())
+    assert methods == sorted("a first run size two yes Top sync none raw v w Shade Shade v e quiet Leaf p h z".split())
+    assert {r["name"]: r["cc"] for r in D.declarations(f).where("name in ('z', 'sync', 'first')").collect()} == {"z": 3, "sync": 2, "first": 1}
+
+
+def test_many_annotations_long_words_and_many_parentheses(spark):
+    word = "w" * 1_000_000
+    texts = ["class A { " + "@Mark(1) " * 6_000 + "public void m() { } }", f"class B {{ int {word}; void g() {{ {word} = 1; {word}(); }} public void h() {{}} }}", "class C { int x = " + "(" * 5_000 + "1" + ")" * 5_000 + "; public void k() {} }", f"class {word} {{ public void l() {{}} }}", "class D { public void n() {} " + "( " * 3_000]
+    got = {r["path"]: (r["npm"], r["methods"]) for r in D.types(files(spark, *texts)).collect()}
+    assert got == {"f0": (1, 1), "f1": (1, 2), "f2": (1, 1), "f3": (1, 1), "f4": (0, 0)}
+
+
 def test_running_sums_and_concatenation(spark):
     rows = spark.range(500).selectExpr("id % 3 as k", "id", "repeat('x', cast(id % 7 as int)) as text")
     got = {}
