@@ -41,6 +41,23 @@ CLASS_METRICS = f"""
 SELECT release, path, name, package, CAST(r + inner_n AS BIGINT) AS npm, CAST(n + inner_n AS BIGINT) AS methods, CAST(2 + 3 * n + q + o + 3 * inner_n AS BIGINT) AS loc, CAST(n + q + o + 2 * d AS BIGINT) AS wmc, CAST(maxcc AS BIGINT) AS max_cc, CAST(n AS BIGINT) AS direct, o_orderkey FROM ({METRICS})
 UNION ALL SELECT release, path, concat(name, '$Inner'), package, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(3 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT), o_orderkey FROM ({METRICS}) WHERE inner_n = 1"""
 
+#: Files whose bodies hold types; Spark alone reads the text, the closed forms below are for both.
+SCOPED_FILES = f"""
+SELECT concat('/src/q', o_custkey % 10, '/S', o_orderkey, '.java') AS path,
+  concat('package q', o_custkey % 10, ';', {NL}, '@interface Mark', o_orderkey, ' {{ String value() default ""; int level(); }}', {NL}, '@Mark', o_orderkey, '(value = "x", level = 1)', {NL}, 'public class S', o_orderkey, ' {{', {NL}, members, {NL},
+    CASE WHEN o_orderpriority LIKE '1-%' THEN concat('  enum Kind {{ A(1) {{ public int v() {{ return 1; }} }}, B; public int v() {{ return 0; }} class Shut {{ public void s() {{}} }} }}', {NL}) ELSE '' END, '}}', {NL}) AS text
+FROM orders JOIN (SELECT l_orderkey, {_lines("spark")} AS members FROM (
+  SELECT l_orderkey, concat('  public void m', id, '(int q) {{ ', CASE WHEN l_quantity >= 25 THEN 'class Local {{ public int no() {{ return 0; }} }} ' ELSE '' END, 'Runnable r = new Runnable() {{ public void run() {{ }} }}; }}',
+    CASE WHEN l_linestatus = 'O' THEN concat({NL}, '  Runnable f', id, ' = new Runnable() {{ public void run() {{ }} void help() {{ }} }};') ELSE '' END,
+    CASE WHEN l_returnflag = 'R' THEN concat({NL}, '  static class N', id, ' {{ N', id, '(int i) {{ }} public int k() {{ return 0; }} }}') ELSE '' END,
+    CASE WHEN l_discount > 0.05 THEN concat({NL}, '  static {{ class InBlock {{ public void yes() {{ }} }} }}') ELSE '' END) AS m
+  FROM (SELECT *, concat(l_linenumber, '_', l_partkey) AS id FROM lineitem)) GROUP BY l_orderkey) ON l_orderkey = o_orderkey""".replace("{{", "{").replace("}}", "}")
+
+SCOPED_METRICS = f"""
+SELECT replace(replace(path, '/p', '/q'), '/O', '/S') AS path, replace(replace(name, 'p', 'q'), 'O', 'S') AS name, NULL AS outer_type, CAST(n + o + r + d + 3 * inner_n AS BIGINT) AS npm, CAST(n + 2 * o + 2 * r + d + 3 * inner_n AS BIGINT) AS methods FROM ({METRICS})
+UNION ALL SELECT replace(replace(path, '/p', '/q'), '/O', '/S'), concat(replace(package, 'p', 'q'), '.Mark', o_orderkey), NULL, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ({METRICS})
+UNION ALL SELECT concat('/src/q', o_custkey % 10, '/S', o_orderkey, '.java'), concat('q', o_custkey % 10, '.S', o_orderkey, '$N', l_linenumber, '_', l_partkey), concat('S', o_orderkey), CAST(1 AS BIGINT), CAST(2 AS BIGINT) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"""
+
 METRICS_BASE = f"SELECT release, name, npm, CAST(round(loc * CASE WHEN o_orderkey % 2 = 0 THEN 1.04 ELSE 1.2 END) AS BIGINT) AS loc FROM ({CLASS_METRICS}) WHERE o_orderkey % 50 <> 0"
 
 

@@ -147,6 +147,11 @@ def types(files: DataFrame) -> DataFrame:
     return t.withColumn("simple", F.col("name")).withColumn("name", F.when(F.col("pkg") != "", F.concat("pkg", F.lit("."), local)).otherwise(local))
 
 
+def counts_by_file(found: DataFrame) -> DataFrame:
+    """``path, npm, methods`` of a file's top-level types, which hold all that is nested in them; files without types are absent."""
+    return found.where("before = 0").groupBy("path").agg(F.sum("npm").alias("npm"), F.sum("methods").alias("methods"))
+
+
 def loc_by_type(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Types with ``loc``: code lines from the declaration to its closing brace, nested types included."""
     found = types(files) if found is None else found

@@ -1,29 +1,71 @@
-"""Closures over edge tables ``(src, dst)``."""
+"""Closures over edge tables ``(src, dst)``, in a number of rounds that goes with the logarithm of the depth."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import cut
 
-ROUNDS = 1000
+ROUNDS = 1000  # the greatest depth of a closure
+SHALLOW = 4  # levels that are taken one by one before ways of 2, 4, 8 ... edges are laid
+WIDE = 16  # ways of a length are laid while they are at most so many times the edges
+
+
+def _squares(edges: DataFrame, longest: int, bound: int | None = None) -> Iterator[tuple[int, DataFrame | None]]:
+    """``(length, ways)``: pairs ``(src, dst)`` joined by a way of exactly 1, 2, 4 ... edges, up to ``longest`` edges.
+
+    Ends where there is no way of that length, or, with None for ways, where its pairs are more than ``bound``.
+    """
+    ways, length = edges, 1
+    while length <= longest:
+        n = ways.count()
+        if not n:
+            return
+        if bound is not None and length > 1 and n > bound:
+            yield length, None
+            return
+        yield length, ways
+        after = ways.select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
+        ways, length = cut(ways.join(after, F.col("dst") == F.col("_at")).select("src", F.col("_to").alias("dst")).distinct()), 2 * length
+
+
+def _further(seen: DataFrame, ways: DataFrame, length: int) -> DataFrame:
+    """``seen(node, depth)`` and what lies a way of ``length`` edges further, each at its least depth."""
+    found = seen.join(ways, seen["node"] == ways["src"]).select(F.col("dst").alias("node"), (F.col("depth") + length).alias("depth"))
+    return cut(seen.unionByName(found).groupBy("node").agg(F.min("depth").alias("depth")))
 
 
 def closure(edges: DataFrame, roots: DataFrame, transitive: bool = True) -> DataFrame:
-    """``node, depth`` reached from ``roots(node)``, each at its least depth; not transitive: roots and their direct references."""
-    edges = edges.select("src", "dst").distinct()
-    seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    """``node, depth`` reached from ``roots(node)`` by at most ROUNDS edges, each at its least depth.
+
+    Not transitive: roots and their direct references.  The first levels are taken one by one, which ends most graphs.
+    Deeper ones are closed by doubling: ways of 1, 2, 4 ... edges are each followed once, which reaches every depth, as
+    a depth is a sum of such lengths and the start of a least way is a least way.  Where the ways of a length are more
+    than WIDE times the edges, the longest ones that are not are followed until nothing is new.  Cycles are allowed.
+    """
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    seen = cut(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, (ROUNDS if transitive else 1) + 1):
+    for depth in range(1, (SHALLOW if transitive else 1) + 1):
         found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-        if depth % 8 == 0:
-            seen = cut(seen)
-    return seen
+    if not transitive:
+        return seen
+    seen, last = cut(seen), edges
+    for length, ways in _squares(edges, ROUNDS, WIDE * edges.count()):
+        if ways is not None:
+            seen, last = _further(seen, ways, length), ways
+            continue
+        reached, before = length, None  # all depths below are there; half that length is the stride
+        while reached <= ROUNDS and before != (before := seen.agg(F.count(F.lit(1)), F.sum("depth")).first()):
+            seen, reached = _further(seen, last, length // 2), reached + length // 2
+    return seen.where(F.col("depth") <= ROUNDS)
 
 
 def affected(edges: DataFrame, changed: DataFrame, transitive: bool = True) -> DataFrame:
@@ -38,19 +80,19 @@ def affected(edges: DataFrame, changed: DataFrame, transitive: bool = True) -> D
 def inheritance(edges: DataFrame) -> DataFrame:
     """``node, dit, noc``: longest way to a root along ``src extends dst``, and number of direct children.
 
-    Levels are peeled from the roots; a node on a cycle is not reached and is left out.
+    Longest ways double: one of less than 2^(k+1) edges is one of less than 2^k, or a way of 2^k edges and one of less
+    than 2^k from there; so a chain of n takes log2(n) rounds, and there is no cap.  From a cycle, and from what leads
+    into one, ways do not end: these nodes are left out (their ways are laid all the same: up to the square of a cycle's nodes).
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    level = cut(nodes.join(edges, nodes["node"] == edges["src"], "left_anti").withColumn("dit", F.lit(0)))
-    found = level
-    for depth in range(1, ROUNDS + 1):
-        level = cut(level.join(edges, level["node"] == edges["dst"]).select(F.col("src").alias("node")).distinct().withColumn("dit", F.lit(depth)))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("dit", F.lit(0)))
+    nodes, length = found.count(), 0
+    for length, ways in _squares(edges, nodes):
+        beyond = ways.join(found, ways["dst"] == found["node"]).select(F.col("src").alias("node"), (F.col("dit") + length).alias("dit"))
+        found = cut(found.unionByName(beyond).groupBy("node").agg(F.max("dit").alias("dit")))
+    found = found.where(F.col("dit") < F.lit(max(nodes, 1)))  # a way of as many edges as there are nodes meets one twice
     children = edges.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("noc"))
-    return found.groupBy("node").agg(F.max("dit").alias("dit")).join(children, "node", "left").select("node", "dit", F.coalesce("noc", F.lit(0)).alias("noc"))
+    return found.join(children, "node", "left").select("node", "dit", F.coalesce("noc", F.lit(0)).alias("noc"))
 
 
 def containers(wanted: DataFrame, holdings: DataFrame) -> DataFrame:

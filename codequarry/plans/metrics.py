@@ -32,6 +32,10 @@ def files(spark, d):
     return X.derived(spark, d, X.source_files("spark"))
 
 
+def scoped(spark, d):
+    return X.derived(spark, d, X.SCOPED_FILES)
+
+
 def corrupt(spark, d):
     """Every 97th file loses its last brace, every 89th ends in an open comment."""
     f = files(spark, d)
@@ -71,7 +75,7 @@ def m02_nested_types(spark, d):
 
 @query(f"SELECT path, CAST(r + inner_n AS BIGINT) AS npm FROM {M}")
 def m04_npm_by_file(spark, d):
-    return D.types(files(spark, d)).where("outer is null").groupBy("path").agg(F.sum("npm").alias("npm"))
+    return D.counts_by_file(D.types(files(spark, d))).select("path", "npm")
 
 
 @query(f"SELECT name, methods FROM {C}")
@@ -79,6 +83,17 @@ def m05_methods_by_type(spark, d):
     return D.types(files(spark, d)).select("name", "methods")
 
 
+@query(f"SELECT name, outer_type, npm, methods FROM ({X.SCOPED_METRICS})")
+def m01_scoped_types(spark, d):
+    """Types, nested types and their counts where bodies hold types: local and anonymous classes, enums, annotations."""
+    return D.types(scoped(spark, d)).select("name", F.col("outer").alias("outer_type"), "npm", "methods")
+
+
+@query(f"SELECT path, CAST(sum(npm) AS BIGINT) AS npm, CAST(sum(methods) AS BIGINT) AS methods FROM ({X.SCOPED_METRICS}) WHERE outer_type IS NULL GROUP BY path")
+def m04_scoped_files(spark, d):
+    return D.counts_by_file(D.types(scoped(spark, d)))
+
+
 @query(f"SELECT name, loc FROM {C}")
 def m06_loc_by_type(spark, d):
     return D.loc_by_type(files(spark, d)).select("name", "loc")
@@ -206,6 +221,20 @@ def h02_ancestors_all(spark, d):
     return G.closure(e, e.select(F.col("src").alias("node")))
 
 
+@query("SELECT p_partkey AS node, max(p_partkey) OVER (PARTITION BY p_partkey // 900) - p_partkey AS depth FROM part")
+def h02_ancestors_deep(spark, d):
+    """Chains of 900 parts, each above the one before, from their lowest."""
+    p = X.table(spark, d, "part")
+    e = p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 1).alias("dst")).where("src % 900 <> 0")
+    return G.closure(e, p.groupBy(F.expr("p_partkey div 900")).agg(F.max("p_partkey").alias("node")))
+
+
+@query("SELECT o_orderkey AS node, o_orderkey AS dit, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 0 ELSE 1 END AS noc FROM orders")
+def m16_inheritance_deep(spark, d):
+    """One chain of all orders, far deeper than any number of rounds."""
+    return G.inheritance(X.table(spark, d, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") - 1).alias("dst")))
+
+
 @query(f"WITH RECURSIVE e AS ({X.EDGES}), r AS (SELECT 'N3' AS node UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node FROM r")
 def h03_affected(spark, d):
     e = closed(spark, d, X.EDGES)

@@ -138,3 +138,44 @@ def test_queries_over_whole_tables(spark):
     roots = {s for s, _ in e}
     depths = {(r["node"], r["depth"]) for r in metrics.Q["h02_ancestors_all"](spark, d).collect()}
     assert depths == {(s, 0) for s in roots} | {(x, 1) for _, x in e if x not in roots}
+
+
+def breadth_first(edges, roots, cap=G.ROUNDS):
+    out, level, depth = {r: 0 for r in roots}, set(roots), 0
+    while level and depth < cap:
+        depth += 1
+        level = {b for a, b in edges if a in level} - out.keys()
+        out |= dict.fromkeys(level, depth)
+    return out
+
+
+@pytest.mark.parametrize("wide", [16, 0])
+def test_closure_of_deep_graphs(spark, monkeypatch, wide):
+    import random
+
+    monkeypatch.setattr(G, "WIDE", wide)  # 0: ways of two edges are too many at once, so that strides are taken
+    rng = random.Random(wide)
+    graphs = [[(i, i + 1) for i in range(30)] + [(30, 5)], [(i, i + rng.randint(1, 3)) for i in range(40) for _ in range(2)], [(rng.randrange(25), rng.randrange(25)) for _ in range(40)], [(1, 1), (1, 2), (None, 3), (2, None)]]
+    for edges in graphs:
+        e = spark.createDataFrame(edges, "src long, dst long")
+        got = {r["node"]: r["depth"] for r in G.closure(e, spark.createDataFrame([(0,), (1,), (1,)], "node long")).collect()}
+        assert got == breadth_first([x for x in edges if None not in x], [0, 1])
+
+
+def test_a_chain_takes_few_rounds_and_keeps_the_cap(spark, monkeypatch):
+    rounds = []
+    further = G._further
+    monkeypatch.setattr(G, "_further", lambda *a: (rounds.append(a[2]), further(*a))[1])
+    chain = lambda n: spark.range(n).selectExpr("id as src", "id + 1 as dst")
+    got = G.closure(chain(900), spark.range(1).toDF("node")).agg(F.count(F.lit(1)), F.max("depth")).first()
+    assert tuple(got) == (901, 900) and len(rounds) <= 10
+    assert tuple(G.closure(chain(1200), spark.range(1).toDF("node")).agg(F.count(F.lit(1)), F.max("depth")).first()) == (1001, 1000)
+
+
+def test_inheritance_deep_cyclic_and_wide(spark):
+    e = [(2, 1), (3, 2), (3, 1), (4, 3), (5, 9), (9, 5), (6, 5), (6, 4), (7, 7), (8, 1)]
+    got = {tuple(r) for r in G.inheritance(spark.createDataFrame(e, "src long, dst long")).collect()}
+    assert got == {(1, 0, 3), (2, 1, 1), (3, 2, 1), (4, 3, 1), (8, 1, 0)}
+    deep = G.inheritance(spark.range(100_000).selectExpr("id + 1 as src", "id as dst"))
+    assert deep.where("node <> dit or noc <> if(node = 100000, 0, 1)").count() == 0 and deep.count() == 100_001
+    assert G.inheritance(spark.createDataFrame([], "src long, dst long")).count() == 0
