@@ -84,6 +84,10 @@ UNION ALL SELECT concat('S', s_suppkey), concat('N', s_nationkey) FROM supplier
 BUILD_EVENTS = """SELECT event_id, ts, user_id AS target, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 2 = 1 THEN 'started' ELSE 'finished' END AS kind,
   CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS priority, concat(event_type, ' ', event_id) AS message FROM events"""
 
+#: Messages of builds, and the actions of two recorders for each build; signups act before their own message.
+RECORDED = "SELECT event_id, ts, user_id % 50 AS build, user_id AS target, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS priority, concat(event_type, ' ', event_id) AS message FROM events"
+RECORDER_ACTIONS = "SELECT event_id, ts, user_id % 50 AS build, concat('log', event_id % 2) AS recorder, CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'stop' END AS action FROM events WHERE event_type = 'signup'"
+
 SUITES = """SELECT concat('<testsuite name="', replace(p_brand, ' ', ''), '.', replace(p_type, ' ', ''), '" tests="', tests, '" failures="', failures, '" errors="', errors, '" time="', seconds, '"/>') AS xml
 FROM (SELECT p_brand, p_type, count(*) AS tests, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS failures, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS errors, CAST(sum(l_linenumber) AS BIGINT) AS seconds
 FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand, p_type)

@@ -305,6 +305,48 @@ def r01_record_stream(spark, d):
     return recorder.run_to_table(recorder.record(events, emacs=True), new_path(spark, "recorded"))
 
 
-@query(f"WITH p AS (SELECT *, lag(kind) OVER w AS k, lag(ts) OVER w AS t FROM {EVENTS} WINDOW w AS (PARTITION BY target ORDER BY ts, event_id)) SELECT target, event_id AS finished_id, round((epoch_us(ts) - epoch_us(t)) / 1e6, 3) AS seconds FROM p WHERE kind = 'finished' AND k = 'started'")
+WHILE_ON = f"""WITH a AS ({X.RECORDER_ACTIONS}), m AS ({X.RECORDED}), u AS (
+  SELECT m.build, r.recorder, m.ts, m.event_id, 1 AS seq, NULL AS act, concat(CASE WHEN length(concat('[', target, '] ')) < 12 THEN lpad(concat('[', target, '] '), 12, ' ') ELSE concat('[', target, '] ') END, message) AS line
+  FROM m JOIN (SELECT DISTINCT build, recorder FROM a) r ON r.build = m.build WHERE priority <= 3
+  UNION ALL SELECT build, recorder, ts, event_id, 0, coalesce(action, ''), NULL FROM a)
+SELECT build, recorder, event_id, line FROM (SELECT *, last_value(nullif(act, '') IGNORE NULLS) OVER w AS state, last_value(act IGNORE NULLS) OVER w AS known FROM u WINDOW w AS (PARTITION BY build, recorder ORDER BY ts, event_id, seq)) WHERE seq = 1 AND coalesce(state = 'start', known IS NOT NULL)"""
+
+
+@query(WHILE_ON)
+def r01_record_while_on(spark, d):
+    """Two recorders for each build, on and off by actions."""
+    return recorder.record_while_on(closed(spark, d, X.RECORDED), closed(spark, d, X.RECORDER_ACTIONS), level=3)
+
+
+def arriving(spark, d, sql, **last_row):
+    """The rows of a fixture over ``events`` as a stream that is not in order, with a last row that ends the watermark's wait."""
+    path = new_path(spark, "arriving")
+    rows = closed(spark, d, sql)
+    rows.repartition(6, F.xxhash64("event_id")).write.parquet(path)
+    last = rows.agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+    last.select("event_id", "ts", *[F.lit(last_row.get(c)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("event_id", "ts")]).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query(WHILE_ON)
+def r01_record_while_on_stream(spark, d):
+    """The same over streams, run to their end: equal to the batch."""
+    said, done = arriving(spark, d, X.RECORDED, priority=0, message="end"), arriving(spark, d, X.RECORDER_ACTIONS, recorder="end", action="stop")
+    stream = recorder.stream_record_while_on(said, done, level=3, delay="365 days")
+    return recorder.run_to_table(stream, new_path(spark, "recorded"))
+
+
+PAIRS = f"WITH p AS (SELECT *, lead(kind) OVER w AS k, lead(ts) OVER w AS t, lead(event_id) OVER w AS e FROM {EVENTS} WINDOW w AS (PARTITION BY target ORDER BY ts, event_id)), q AS (SELECT *, k = 'finished' AND epoch_us(t) - epoch_us(ts) <= 86400000000 AS done FROM p WHERE kind = 'started') SELECT target, event_id AS started_id, CASE WHEN done THEN e END AS finished_id, CASE WHEN done THEN round((epoch_us(t) - epoch_us(ts)) / 1e6, 3) END AS seconds FROM q"
+
+
+@query(PAIRS)
 def r02_durations(spark, d):
-    return recorder.durations(closed(spark, d, X.BUILD_EVENTS))
+    """Every started event, with its end or unfinished after a day."""
+    return recorder.durations(closed(spark, d, X.BUILD_EVENTS), within=86_400.0)
+
+
+@query(PAIRS)
+def r02_durations_stream(spark, d):
+    """The same over a stream, run to its end: equal to the batch."""
+    stream = recorder.stream_durations(arriving(spark, d, X.BUILD_EVENTS), 86_400.0, delay="365 days")
+    return recorder.run_to_table(stream, new_path(spark, "durations"))

@@ -6,6 +6,8 @@ from codequarry.functions import mappers as N
 from codequarry.functions import predicates as P
 from codequarry.operators import graph as G
 from codequarry.operators import manifests as J
+from codequarry.shared import carry_forward, global_rank
+from codequarry.streaming import recorder
 
 
 def one(spark, text, column):
@@ -179,3 +181,54 @@ def test_inheritance_deep_cyclic_and_wide(spark):
     deep = G.inheritance(spark.range(100_000).selectExpr("id + 1 as src", "id as dst"))
     assert deep.where("node <> dit or noc <> if(node = 100000, 0, 1)").count() == 0 and deep.count() == 100_001
     assert G.inheritance(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_carry_forward_and_ranks_by_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3]), i, rng.choice([None, None, i * 10])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, at long, v long")
+    for backward in (False, True):
+        for upto in (False, True):
+            want, last = {}, {}
+            for k, at, v in sorted(rows, key=lambda r: r[1], reverse=backward):
+                if upto and v is not None:
+                    last[k] = v
+                want[at] = last.get(k)
+                if v is not None:
+                    last[k] = v
+            got = carry_forward(df, ["k"], ["at"], {"c": F.col("v"), "none": F.lit(None).cast("int")}, upto, backward).collect()
+            assert {r["at"]: r["c"] for r in got} == want and {r["none"] for r in got} == {None}
+    ranked = global_rank(df, [F.col("v").desc(), F.col("at").asc()], "r").collect()
+    order = [r["at"] for r in sorted(ranked, key=lambda r: r["r"])]
+    assert [r["r"] for r in sorted(ranked, key=lambda r: r["r"])] == list(range(1, 401)) and order == [r[1] for r in sorted(rows, key=lambda r: (-(r[2] or -1), r[1]))]
+
+
+def test_recorder_states_and_unfinished_targets(spark):
+    ts = lambda s: f"2024-01-01 00:00:{s:02d}"
+    events = spark.createDataFrame([(1, i, ts(i), 7, 1, f"m{i}") for i in range(1, 9)] + [(2, 20, ts(3), 7, 1, "other")], "build long, event_id long, ts string, target long, priority int, message string").withColumn("ts", F.to_timestamp("ts"))
+    actions = spark.createDataFrame([(1, "a", 3, ts(3), "start"), (1, "a", 5, ts(5), "stop"), (1, "a", 6, ts(6), None), (1, "a", 8, ts(8), "start"), (1, "b", 2, ts(2), None), (1, "b", 4, ts(4), None)], "build long, recorder string, event_id long, ts string, action string").withColumn("ts", F.to_timestamp("ts"))
+    got = {(r["recorder"], r["event_id"]) for r in recorder.record_while_on(events, actions, emacs=True).collect()}
+    assert got == {("a", 3), ("a", 4), ("a", 8)} | {("b", i) for i in range(2, 9)}
+    runs = [(1, "started", 0), (2, "started", 5), (3, "finished", 9), (4, "finished", 10), (5, "started", 20)]
+    d = recorder.durations(spark.createDataFrame([(9, i, ts(s), k) for i, k, s in runs], "target long, event_id long, ts string, kind string"))
+    assert {tuple(r)[1:] for r in d.collect()} == {(1, None, None), (2, 3, 4.0), (5, None, None)}
+    assert recorder.durations(spark.createDataFrame([(9, 1, ts(0), "started"), (9, 2, ts(9), "finished")], "target long, event_id long, ts string, kind string"), within=8).first()["finished_id"] is None
+
+
+def test_streams_in_several_batches_out_of_order(spark, tmp_path):
+    import random
+
+    rng, base = random.Random(5), 1_700_000_000
+    rows = [(rng.randrange(4), i, rng.choice(["started", "finished"]), base + rng.randrange(3_000)) for i in range(300)]
+    rng.shuffle(rows)
+    schema = "target long, event_id long, kind string, at long"
+    for k in range(5):
+        spark.createDataFrame(rows[k * 60 : (k + 1) * 60], schema).selectExpr("*", "timestamp_seconds(at) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(None, 999, None, base + 10**6)], schema).selectExpr("*", "timestamp_seconds(at) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("target long, event_id long, kind string, at long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {tuple(r) for r in recorder.run_to_table(recorder.stream_durations(stream, 400.0, "2 hours"), str(tmp_path / "out")).collect()}
+    batch = spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_seconds(at) as ts")
+    assert got == {tuple(r) for r in recorder.durations(batch, 400.0).collect()} and len(got) == sum(r[2] == "started" for r in rows)
+    assert sum(g[2] is None for g in got) > 5 and sum(g[2] is not None for g in got) > 5
