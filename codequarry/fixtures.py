@@ -94,6 +94,22 @@ FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand, p_type)
 UNION ALL SELECT '' FROM region WHERE r_regionkey = 0 UNION ALL SELECT '<other/>' FROM region WHERE r_regionkey = 0 UNION ALL SELECT '<testsuite name="a.b"' FROM region WHERE r_regionkey = 0"""
 
 
+#: Suites with a case for each line item, in both kinds of quotes, with entities; Spark alone reads the text.
+CASE_SUITES = """SELECT concat('<?xml version="1.0"?><testsuite name=', chr(39), 'p', p, '.S', l_orderkey, chr(39), ' tests="', count(*), '" time="1.5">', listagg(concat('<testcase name="t', l_linenumber, '_', l_partkey, ' &lt;&amp;&#62;" time=', chr(39), l_linenumber, chr(39), '>',
+  CASE l_returnflag WHEN 'R' THEN '<failure message="is &quot;R&quot;" type="F"/>' WHEN 'A' THEN '<error>A &amp; more</error>' ELSE '' END, '</testcase>'), ''), '</testsuite>') AS xml
+FROM (SELECT *, l_orderkey % 7 AS p FROM lineitem) GROUP BY l_orderkey, p
+UNION ALL SELECT concat('<testsuite name="cut', r_regionkey, '"><testcase') FROM region UNION ALL SELECT concat('<suites><testsuite name="r', r_regionkey, '"/></suites>') FROM region UNION ALL SELECT ' ' FROM region"""
+
+#: An outline of packages (odd ones within another), files, classes and methods: each element a line deeper than what holds it.
+OUTLINE = """
+SELECT 'all' AS log, k * 1000000000000 AS line_no, 0 AS indent, concat('p', k) AS name, 'package' AS level, NULL AS parent FROM (SELECT DISTINCT o_custkey % 10 AS k FROM orders)
+UNION ALL SELECT 'all', k * 1000000000000 + 1, 1, concat('p', k, '.sub'), 'package', concat('p', k) FROM (SELECT DISTINCT o_custkey % 10 AS k FROM orders) WHERE k % 2 = 1
+UNION ALL SELECT 'all', (o_custkey % 10) * 1000000000000 + 1000 * (o_orderkey + 1), 1 + o_custkey % 2, concat('O', o_orderkey, '.java'), 'file', concat('p', o_custkey % 10, CASE WHEN o_custkey % 2 = 1 THEN '.sub' ELSE '' END) FROM orders
+UNION ALL SELECT 'all', (o_custkey % 10) * 1000000000000 + 1000 * (o_orderkey + 1) + 1, 2 + o_custkey % 2, concat('O', o_orderkey), 'class', concat('O', o_orderkey, '.java') FROM orders
+UNION ALL SELECT 'all', (o_custkey % 10) * 1000000000000 + 1000 * (o_orderkey + 1) + 2 + l_linenumber, 3 + o_custkey % 2, concat('m', l_linenumber, '(int)'), 'method', concat('O', o_orderkey) FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey
+UNION ALL SELECT 'all', (o_custkey % 10) * 1000000000000 + 1000 * (o_orderkey + 1) + 900, 3 + o_custkey % 2, 'Inner', 'class', concat('O', o_orderkey) FROM orders WHERE o_orderpriority LIKE '1-%'"""
+
+
 def violations_log(dialect: str) -> str:
     return f"""SELECT l_orderkey AS doc_id, concat({_lines(dialect)}, {NL}, 'summary ', l_orderkey) AS text
 FROM (SELECT l_orderkey, concat('src/O', l_orderkey, '.java:', l_linenumber, ' : flag ', l_returnflag) AS m FROM lineitem) GROUP BY l_orderkey"""

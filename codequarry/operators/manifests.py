@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import COMPARISONS
+from ..shared import global_rank
 
 
 def _there(df: DataFrame) -> Column:
@@ -146,6 +147,11 @@ def sort_keys(*comparators: str, ordinal: str = "ordinal") -> list[Column]:
     return [*(k.desc() if c.startswith("-") else k.asc() for k, c in zip(keys, comparators or ("name",))), F.col(ordinal).asc()]
 
 
+def sort_ranks(rows: DataFrame, *comparators: str, ordinal: str = "ordinal", out: str = "rank") -> DataFrame:
+    """``rows`` with their places 1, 2, 3 ... in the order of ``sort_keys`` over all rows, by ranges."""
+    return global_rank(rows, sort_keys(*comparators, ordinal=ordinal), out)
+
+
 def representatives(rows: DataFrame, *comparators: str, ordinal: str = "ordinal") -> DataFrame:
     """Bag sort: rows that tie under the comparators all appear as the first of them."""
     w = Window.partitionBy(*[COMPARATORS[c.lstrip("-")]() for c in comparators]).orderBy(ordinal)

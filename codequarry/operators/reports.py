@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import running_sum
+from ..shared import carry_forward, running_sum
 
 
 def summary(metrics: DataFrame) -> DataFrame:
@@ -87,6 +87,57 @@ def parse_changelog(texts: DataFrame) -> DataFrame:
     return block.select("doc_id", "file", F.regexp_extract("block", r"(?m)^revision (\S+)", 1).alias("revision"), date.alias("date"), F.regexp_extract("block", r"(?m)author: ([^;]*);", 1).alias("author"), F.regexp_extract("block", r"(?m)^date:.*\n([\s\S]*?)\s*\z", 1).alias("comment"))
 
 
+def parse_changelog_lines(lines: DataFrame) -> DataFrame:
+    """``path, file, revision, date, author, comment`` from ``lines(path, line_no, line)`` of logs of any size.
+
+    As ``parse_changelog``, but a log is never one value or one task: each line takes the last separator and the last file
+    from the lines before it, by ranges, and only the lines of one revision, from separator to separator, meet.
+    """
+    line = F.col("line")
+    ends = line.rlike(r"^(?:-{20,}|={70,})$")
+    file = F.when(line.startswith("Working file: "), F.substr(line, F.lit(15)))
+    at = carry_forward(lines.select("path", "line_no", "line"), ["path"], ["line_no"], {"block": F.when(ends, F.col("line_no")), "file": file})
+    first = lambda pattern: F.min_by(F.regexp_extract("line", pattern, 1), F.when(line.rlike(pattern), F.col("line_no")))
+    dated = F.min(F.when(line.startswith("date: "), F.col("line_no")))
+    blocks = at.where(~ends).groupBy("path", "block").agg(
+        F.max_by("file", "line_no").alias("file"), first(r"^revision (\S+)").alias("revision"), first(r"^date: ([^;]*);").alias("stamp"), first(r"author: ([^;]*);").alias("author"),
+        dated.alias("dated"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"),
+    )
+    said = F.array_join(F.transform(F.filter("rows", lambda r: r["line_no"] > F.col("dated")), lambda r: r["line"]), "\n")
+    date = F.coalesce(F.try_to_timestamp("stamp", F.lit("yyyy/MM/dd HH:mm:ss")), F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss")))
+    comment = F.when(F.col("dated").isNull(), "").otherwise(F.regexp_replace(said, r"\s+\z", ""))
+    return blocks.where("revision is not null").select("path", "file", "revision", date.alias("date"), F.coalesce("author", F.lit("")).alias("author"), comment.alias("comment"))
+
+
+def infer_levels(outline: DataFrame) -> DataFrame:
+    """``log, line_no, name, level, parent``: package, file, class or method of each element of an indented outline.
+
+    ``outline(log, line_no, indent, name)``.  A name that ends in ``.java`` or ``.class`` is a file, one with parentheses a
+    method.  Others are told by what encloses them: below a file, or below classes in a file, a class; else a package.
+    parent is the line of the element that encloses it, the last one before it with a smaller indent.  Each element takes
+    the last line of every smaller indent along, by ranges, so that one long log is many tasks; there is a column for
+    each distinct indent, of which an outline has as many as it has levels.
+    """
+    kind = F.when(F.col("name").rlike(r"\.(?:java|class)$"), "file").when(F.col("name").contains("("), "method")
+    indents = sorted(r[0] for r in outline.select("indent").distinct().collect())
+    here = F.struct("line_no", kind.alias("kind"))
+    last = {f"_{k}": F.when(F.col("indent") == i, here) for k, i in enumerate(indents)}
+    rows = carry_forward(outline.select("log", "line_no", "indent", "name"), ["log"], ["line_no"], last, upto_here=False)
+    above, open_, parent = F.lit(None).cast("string"), F.lit(-1).cast("long"), F.lit(None).cast("long")
+    for k, i in enumerate(indents):  # outer to inner: what is still open is later than all that is further out
+        c = F.col(f"_{k}")
+        mine = c.isNotNull() & (F.col("indent") > i) & (c["line_no"] > open_)
+        above, parent = F.when(mine & c["kind"].isNotNull(), c["kind"]).otherwise(above), F.when(mine, c["line_no"]).otherwise(parent)
+        open_ = F.greatest(open_, F.when(F.col("indent") > i, c["line_no"]))
+    level = F.coalesce(kind, F.when(above == "file", "class").otherwise("package"))
+    return rows.select("log", "line_no", "name", level.alias("level"), parent.alias("parent"))
+
+
+def rollup_methods(methods: DataFrame) -> DataFrame:
+    """Sums over ``methods(package, path, class, method, cc)`` at four levels: methods, classes, files, packages, and the whole (level 4)."""
+    return methods.rollup("package", "path", "class", "method").agg(F.sum("cc").alias("cc"), F.max("cc").alias("max_cc"), F.count(F.lit(1)).alias("n"), F.bit_count(F.grouping_id()).alias("level"))
+
+
 def suite_summary(suites: DataFrame) -> DataFrame:
     return suites.groupBy("package").agg(F.sum("tests").alias("runs"), F.sum("failures").alias("failures"), F.sum("errors").alias("errors"), F.sum("seconds").alias("seconds"))
 

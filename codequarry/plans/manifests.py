@@ -10,6 +10,8 @@ from ..functions import predicates as P
 from ..functions.user import name_mapper, predicate
 from ..operators import manifests as J
 from ..operators import reports as R
+from ..operators.snapshots import modified_and_kept
+from ..shared import new_path
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -112,9 +114,10 @@ def j03_out_of_date(spark, d):
     return J.out_of_date(man(spark, d), target(spark, d)).select("name")
 
 
-@query(f"WITH x AS (SELECT m.name, m.last_modified AS lm, unnest([m.name, concat('orphan/', m.ordinal, '.txt')]) AS tn FROM {MD} m WHERE m.ordinal % 19 = 0) SELECT x.name, bool_or(lm > TIMESTAMP '2024-01-02') AS in_future FROM x LEFT JOIN {TD} t ON t.name = tn GROUP BY x.name HAVING bool_or(t.name IS NULL OR NOT t.exist OR (NOT t.is_dir AND epoch_ms(lm) - 1000 > epoch_ms(t.last_modified)))")
+@query(f"WITH x AS (SELECT m.name, m.last_modified AS lm, unnest([m.name, concat('orphan/', m.ordinal, '.txt')]) AS tn FROM {MD} m WHERE m.exist) SELECT x.name, bool_or(lm > TIMESTAMP '2024-01-02') AS in_future FROM x LEFT JOIN {TD} t ON t.name = tn GROUP BY x.name HAVING bool_or(t.name IS NULL OR NOT t.exist OR (NOT t.is_dir AND epoch_ms(lm) - 1000 > epoch_ms(t.last_modified)))")
 def j04_out_of_date_any(spark, d):
-    m = man(spark, d).where("ordinal % 19 = 0")
+    """Of the rows that exist."""
+    m = man(spark, d).where("exist")
     targets = F.array("name", F.concat(F.lit("orphan/"), F.col("ordinal").cast("string"), F.lit(".txt")))
     return J.out_of_date_any(m, target(spark, d), targets, F.to_timestamp(F.lit("2024-01-01 23:59:59")))
 
@@ -155,6 +158,14 @@ def j10_modified_since(spark, d):
     return J.modified_since(man(spark, d), target(spark, d)).select("name")
 
 
+@query(f"SELECT 1 AS run, name FROM {TD} GROUP BY name UNION ALL SELECT 2, m.name FROM {MD} m LEFT JOIN {TD} t ON t.name = m.name WHERE t.name IS NULL OR sha256(m.content) IS DISTINCT FROM sha256(t.content)")
+def j10_kept_snapshot(spark, d):
+    """Three runs over a snapshot that is kept: the target, then the source, then the source again, which finds nothing."""
+    path = new_path(spark, "snapshot")
+    runs = [modified_and_kept(rows(spark, d), path).select(F.lit(k).alias("run"), "name") for k, rows in ((1, target), (2, man), (3, man))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query("SELECT n_chars, count(DISTINCT sha256(text)) <= 1 AS all_match FROM documents GROUP BY n_chars")
 def j11_contents_match(spark, d):
     return J.contents_match(X.table(spark, d, "documents"), ["n_chars"], "text")
@@ -201,6 +212,12 @@ def e05_sort_rank(spark, d):
     return man(spark, d).select("name", F.row_number().over(w).alias("rank"))
 
 
+@query(f"SELECT name, row_number() OVER (ORDER BY is_dir, size DESC, ordinal) AS rank FROM {MD}")
+def e05_sort_global(spark, d):
+    """Places in the order of the whole manifest."""
+    return J.sort_ranks(man(spark, d), "type", "-size").select("name", "rank")
+
+
 @query(f"SELECT first_value(name) OVER (PARTITION BY size, is_dir ORDER BY ordinal) AS name, ordinal FROM {MD}")
 def e06_representatives(spark, d):
     return J.representatives(man(spark, d), "size", "type").select("name", "ordinal")

@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import reports as R
 from ..shared import new_path
 from ..sources import code as S
+from ..sources import lines as L
 from ..streaming import recorder
 
 Q: dict = {}
@@ -180,6 +181,128 @@ def g06_suite_summary(spark, d):
     return R.suite_summary(S.read_suites(closed(spark, d, X.SUITES)))
 
 
+LEVELS = f"({X.OUTLINE})"
+
+
+@query(f"SELECT line_no, name, level, parent FROM {LEVELS}")
+def m15_levels(spark, d):
+    """Levels told from indents alone, with the name of what encloses each element."""
+    outline = closed(spark, d, X.OUTLINE)
+    found = R.infer_levels(outline.select("log", "line_no", "indent", "name"))
+    names = outline.select(F.col("line_no").alias("parent"), F.col("name").alias("_name"))
+    return found.join(names, "parent", "left").select("line_no", "name", "level", F.col("_name").alias("parent"))
+
+
+@query(f"""WITH m AS (SELECT concat('p', o_custkey % 10) AS package, concat('/src/p', o_custkey % 10, '/O', o_orderkey, '.java') AS path, concat('O', o_orderkey) AS class, concat('m', l_linenumber, '_', l_partkey) AS method,
+  1 + CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END + CASE WHEN l_discount > 0.05 THEN 2 ELSE 0 END AS cc FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  UNION ALL SELECT package, path, 'Inner', 'k', 1 FROM {M} WHERE inner_n = 1)
+SELECT package, path, class, method, CAST(sum(cc) AS BIGINT) AS cc, CAST(max(cc) AS BIGINT) AS max_cc, count(*) AS n, grouping(package) + grouping(path) + grouping(class) + grouping(method) AS level FROM m GROUP BY ROLLUP (package, path, class, method)""")
+def m15_rollup_methods(spark, d):
+    """All four levels, from the methods of the sources."""
+    m = D.declarations(files(spark, d)).where("kind = 'method'")
+    return R.rollup_methods(m.select(F.regexp_extract("path", "^/src/([^/]*)/", 1).alias("package"), "path", F.col("outer").alias("class"), F.col("name").alias("method"), "cc"))
+
+
+@query("SELECT concat('p', l_orderkey % 7) AS package, concat('S', l_orderkey) AS classname, concat('t', l_linenumber, '_', l_partkey, ' <&>') AS name, CAST(l_linenumber AS DOUBLE) AS seconds, CASE l_returnflag WHEN 'R' THEN 'failure' WHEN 'A' THEN 'error' ELSE 'passed' END AS status, CASE l_returnflag WHEN 'R' THEN 'is \"R\"' WHEN 'A' THEN 'A & more' END AS message FROM lineitem")
+def s08_suite_cases(spark, d):
+    return S.suite_cases(closed(spark, d, X.CASE_SUITES))
+
+
+@query("SELECT concat('<testsuite name=\"cut', r_regionkey, '\"><testcase') AS xml, 'malformed' AS problem FROM region UNION ALL SELECT concat('<suites><testsuite name=\"r', r_regionkey, '\"/></suites>'), 'wrong root' FROM region UNION ALL SELECT ' ', 'empty' FROM region")
+def s08_suite_problems(spark, d):
+    return S.suite_problems(closed(spark, d, X.CASE_SUITES))
+
+
+def tree(spark, d, key, bad=False):
+    """The source files as one file for each value of ``key``, in a folder of its own; ``bad``: some end in a byte that no text has."""
+    path = new_path(spark, "tree")
+    f = files(spark, d).withColumn("o", F.col("o_orderkey")).withColumn("k", key)
+    text = F.when(F.col("k") % 3 == 0, F.concat("text", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("text")) if bad else F.col("text")
+    f.select("k", "o", text.alias("text")).repartition("k").sortWithinPartitions("k", "o").select("k", "text").write.partitionBy("k").text(path)
+    return path
+
+
+def sizes(key: str, name: str = "k") -> str:
+    return f"SELECT CAST(k AS VARCHAR) AS {name}, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM (SELECT *, {key} AS k FROM ({X.source_files('duckdb')})) GROUP BY k"
+
+
+def folder():
+    return F.regexp_extract("path", "/k=([^/]*)/", 1).alias("k")
+
+
+@query(sizes("o_orderkey % 10"))
+def s01_scan_sources(spark, d):
+    found = S.scan_sources(spark, tree(spark, d, F.col("o_orderkey") % 10), require_nonempty=True, glob="*.txt")
+    return found.select(folder(), F.length("text").cast("long").alias("chars"))
+
+
+@query(f"SELECT n, 'ValueError' AS error FROM (SELECT count(*) AS n FROM {M})")
+def s02_nothing_found(spark, d):
+    """A tree without a file of the kind that is asked for is an error."""
+    try:
+        S.scan_sources(spark, tree(spark, d, F.lit(0)), require_nonempty=True, glob="*.java")
+        error = None
+    except ValueError:
+        error = "ValueError"
+    return files(spark, d).agg(F.count(F.lit(1)).alias("n")).withColumn("error", F.lit(error))
+
+
+@query(f"SELECT k, CASE WHEN CAST(k AS INT) % 3 = 0 THEN 'undecodable' END AS problem, CASE WHEN CAST(k AS INT) % 3 <> 0 THEN chars END AS chars FROM ({sizes('o_orderkey % 10')})")
+def s03_checked_scan(spark, d):
+    """Files that cannot be read are told; the others are there."""
+    good, failures = S.scan_checked(spark, tree(spark, d, F.col("o_orderkey") % 10, bad=True), glob="*.txt")
+    good, failures = good.select(folder(), F.length("text").cast("long").alias("chars")), failures.select(folder(), "problem")
+    return good.join(failures, "k", "full_outer").select("k", "problem", "chars")
+
+
+@query(sizes("release", "release"))
+def s07_scan_releases(spark, d):
+    """Each release from a tree of its own, in one job."""
+    path = tree(spark, d, F.col("release"))
+    named = sorted(r[0] for r in files(spark, d).select("release").distinct().collect())
+    found = S.scan_releases(spark, {str(r): f"{path}/k={r}" for r in named}, glob="*.txt")
+    return found.select("release", F.length("text").cast("long").alias("chars"))
+
+
+@query("SELECT 0 AS statement, true AS ok, count(DISTINCT c_nationkey) AS rows, NULL AS error FROM customer UNION ALL SELECT 1, false, NULL, 'UNRESOLVED_COLUMN.WITH_SUGGESTION' UNION ALL SELECT 2, true, count(*), NULL FROM customer WHERE c_acctbal > 100")
+def s09_sql_statements(spark, d):
+    """One statement in the middle fails; the run goes on."""
+    X.table(spark, d, "customer").createOrReplaceTempView("s09_customer")
+    statements = ["SELECT c_nationkey, count(*) AS n FROM s09_customer GROUP BY c_nationkey", "SELECT nothing FROM s09_customer", "SELECT c_name FROM s09_customer WHERE c_acctbal > :least"]
+    return S.sql_run(spark, statements, {"least": 100}, new_path(spark, "statements"), on_error="continue")
+
+
+def line_files(spark, d):
+    """The events as one text file for each of eight users' groups, read as lines."""
+    path = new_path(spark, "lines")
+    e = X.table(spark, d, "events").select((F.col("user_id") % 8).alias("k"), "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string")).alias("line"))
+    e.repartition("k").sortWithinPartitions("k", "event_id").select("k", "line").write.partitionBy("k").text(path)
+    return L.scan_lines(spark, path)
+
+
+NUMBERED = "SELECT CAST(user_id % 8 AS VARCHAR) AS k, row_number() OVER w AS line_no, count(*) OVER (PARTITION BY user_id % 8) AS total, concat(event_id, ' ', event_type, ' ', user_id) AS line FROM events WINDOW w AS (PARTITION BY user_id % 8 ORDER BY event_id)"
+
+
+@query(f"SELECT k, line_no, line FROM ({NUMBERED})")
+def s01_scan_lines(spark, d):
+    return line_files(spark, d).select(folder(), "line_no", "line")
+
+
+@query(f"SELECT k, line_no, line FROM ({NUMBERED}) WHERE line_no > 3 AND line_no <= 23")
+def t01_head_of_files(spark, d):
+    return L.head_lines(line_files(spark, d), 20, 3).select(folder(), "line_no", "line")
+
+
+@query(f"SELECT k, line_no, line FROM ({NUMBERED}) WHERE line_no <= total - 3 AND line_no > total - 23")
+def t02_tail_of_files(spark, d):
+    return L.tail_lines(line_files(spark, d), 20, 3).select(folder(), "line_no", "line")
+
+
+@query(f"SELECT k, (line_no - 1) * 3 + i - 1 AS position, string_split(line, ' ')[i] AS token FROM ({NUMBERED}), unnest([1, 2, 3]) AS t(i)")
+def e07_tokens_of_files(spark, d):
+    return L.line_tokens(line_files(spark, d), F.split("line", " ")).select(folder(), "position", "token")
+
+
 @query("SELECT trim(c_name) AS c_name, CAST(count(*) AS VARCHAR) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY trim(c_name)")
 def s09_sql_export(spark, d):
     X.table(spark, d, "customer").createOrReplaceTempView("s09_customer")
@@ -208,10 +331,11 @@ def h01_closure(spark, d):
     return G.closure(e, e.where("src = 'P1'").select(F.col("src").alias("node")).limit(1)).select("node")
 
 
-@query(f"WITH RECURSIVE e AS ({X.PART_TREE}), r AS (SELECT src AS node, src AS root, 0 AS depth FROM e WHERE src % 7 = 0 UNION ALL SELECT e.dst, root, depth + 1 FROM r JOIN e ON e.src = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+@query(f"WITH RECURSIVE e AS ({X.PART_TREE}), r AS (SELECT src AS node, src AS root, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, root, depth + 1 FROM r JOIN e ON e.src = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
 def h02_ancestors(spark, d):
+    """From every leaf."""
     e = closed(spark, d, X.PART_TREE)
-    return G.closure(e, e.where("src % 7 = 0").select(F.col("src").alias("node")))
+    return G.closure(e, e.select(F.col("src").alias("node")).join(e.select(F.col("dst").alias("node")), "node", "left_anti"))
 
 
 @query(f"WITH RECURSIVE e AS ({X.PART_TREE}), r AS (SELECT src AS node, 0 AS depth FROM e UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
@@ -265,6 +389,15 @@ def g04_parse_changelog(spark, d):
     return R.parse_changelog(log.select(F.col("event_id").alias("doc_id"), text.alias("text")))
 
 
+@query(f"SELECT file, revision, date, CAST(author AS VARCHAR) AS author, comment FROM {LOG}")
+def g04_parse_one_log(spark, d):
+    """All entries as one log of numbered lines."""
+    log = closed(spark, d, X.CHANGELOG)
+    stamp = F.coalesce(F.date_format("date", "yyyy/MM/dd HH:mm:ss"), F.lit("unknown"))
+    lines = F.array(F.concat(F.lit("Working file: "), "file"), F.lit("head: 1.1"), F.lit("-" * 28), F.concat(F.lit("revision "), "revision"), F.concat(F.lit("date: "), stamp, F.lit(";  author: "), F.col("author").cast("string"), F.lit(";  state: Exp;")), F.col("comment"), F.lit("=" * 77))
+    return R.parse_changelog_lines(log.select(F.lit("log").alias("path"), "event_id", F.posexplode(lines).alias("at", "line")).select("path", (F.col("event_id") * 8 + F.col("at")).alias("line_no"), "line")).drop("path")
+
+
 @query(f"SELECT event_id FROM {LOG} WHERE date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
 def g05_date_range(spark, d):
     day = lambda s: F.to_timestamp(F.lit(s))

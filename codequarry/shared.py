@@ -54,6 +54,8 @@ def carry_forward(rows: DataFrame, keys: list[str], order: list[str], values: di
     What comes from earlier ranges is one row for each range that begins within a key, at most as many as there are
     ranges, and is broadcast.
     """
+    if not values:
+        return rows
     turned = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
     ranged = cut(rows.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(*keys, *turned).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part", *keys).orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0 if upto_here else -1)
