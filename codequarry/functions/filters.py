@@ -140,20 +140,23 @@ def replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def normalise_ends(text: Column, cr: str = "remove", eof: str = "asis", tab: str = "asis", width: int = 8) -> Column:
-    """Line ends: cr ``remove`` to LF, ``add`` to CRLF; a final 0x1A ``remove``, ``add`` or ``asis``.
+    """Line ends: cr ``remove`` drops every CR, ``add`` puts one before each LF and drops all others; 0x1A ``remove``, ``add`` or ``asis``.
 
+    A 0x1A goes at the end of the text, and before a LF at its end with that LF, but not where the text has nothing else.
     tab ``remove`` expands tabs to stops of ``width`` columns, a power of two; ``add`` writes runs of two blanks or more
     with as many tabs as they reach stops.  Both drop blanks before line ends.
     """
-    bare = F.regexp_replace(text, "\x1a\\z", "") if eof in ("remove", "add") else text
-    if cr in ("remove", "add"):
-        bare = F.regexp_replace(bare, "\r*\n|\r", "\n" if cr == "remove" else "\r\n")
+    bare = F.replace(text, F.lit("\r"), F.lit("")) if cr in ("remove", "add") else text
+    if cr == "add":
+        bare = F.replace(bare, F.lit("\n"), F.lit("\r\n"))
     if tab in ("remove", "add"):
         if width < 2 or width & (width - 1):
             raise ValueError("width must be a power of two")
         bare = expand_tabs(F.regexp_replace(bare, r"(?<![ \t])[ \t]++(?=[\r\n]|\z)", ""), width)
         bare = _joined(F.transform(_lines(bare), lambda line: _tabbed(line, width))) if tab == "add" else bare
-    return F.concat(bare, F.lit("\x1a")) if eof == "add" else bare
+    if eof == "remove":
+        return F.regexp_replace(bare, "(?s)(?<=.)\x1a\\n?\\z", "")
+    return F.when(F.endswith(bare, F.lit("\x1a")), bare).otherwise(F.concat(bare, F.lit("\x1a"))) if eof == "add" else bare
 
 
 def _tabbed(line: Column, width: int) -> Column:

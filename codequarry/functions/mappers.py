@@ -85,8 +85,11 @@ def adler32(text: Column) -> Column:
 
 
 def string_hash(text: Column) -> Column:
-    """31-polynomial over UTF-16 units of a text in the basic plane, as a signed 32-bit number."""
-    wrapped = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)) % 4294967296)
+    """31-polynomial over the UTF-16 units of a text, as a signed 32-bit number; past the basic plane a character is two units."""
+    n = lambda c: F.ascii(c).cast("long")
+    high, low = (lambda c: F.shiftright(n(c) - 0x10000, 10) + 0xD800), (lambda c: (n(c) - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+    step = lambda a, c: F.when(n(c) < 0x10000, a * 31 + n(c)).otherwise((a * 31 + high(c)) * 31 + low(c)) % 4294967296
+    wrapped = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("long"), step)
     return F.when(wrapped >= 2147483648, wrapped - 4294967296).otherwise(wrapped)
 
 

@@ -163,3 +163,13 @@ def concat_docs(rows: DataFrame, key: str, order: str, text: str = "text", separ
     kept = rows.where(F.col(text).isNotNull()).select(key, order, F.col(text).alias("text"))
     sized = kept.withColumn("_size", F.length("text").cast("long") + len(separator))
     return running_sum(sized, [key], [order, "text"], "_size", "start").select(key, order, "start", "text")
+
+
+def write_concat(pieces: DataFrame, key: str, path: str, separator: str = "\n") -> None:
+    """The concatenations that ``concat_docs`` places, as text: a folder for each key, its parts in order by name.
+
+    Pieces are dealt by ranges of key and place, so that a key of any size is many parts; each text is followed by the
+    separator.
+    """
+    placed = pieces.select(key, "start", F.col("text").alias("value"))
+    placed.repartitionByRange(key, "start").sortWithinPartitions(key, "start").select(key, "value").write.partitionBy(key).text(path, lineSep=separator)

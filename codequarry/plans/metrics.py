@@ -9,7 +9,7 @@ from ..functions.lines import simple_code_lines
 from ..operators import declarations as D
 from ..operators import graph as G
 from ..operators import reports as R
-from ..shared import new_path
+from ..shared import new_path, running_sum
 from ..sources import code as S
 from ..sources import lines as L
 from ..streaming import recorder
@@ -54,9 +54,12 @@ def s04_compact_metrics(spark, d):
     return D.loc_by_type(f).select("name", "npm", "loc")
 
 
-@query(f"SELECT name, CAST(0 AS INT) AS wmc, CAST(npm AS INT) AS npm, CAST(loc AS INT) AS loc, CAST(0 AS DOUBLE) AS lcom3, CAST(0 AS INT) AS bug FROM {C}")
+ALL_COLUMNS = ", ".join(c if c == "name" else f"CAST({c if c in ('npm', 'loc') else 0} AS {'INT' if c in S.INTS else 'DOUBLE'}) AS {c}" for c in S.COLUMNS)
+
+
+@query(f"SELECT {ALL_COLUMNS} FROM {C}")
 def s05_full_format(spark, d):
-    return S.to_full_format(closed(spark, d, X.CLASS_METRICS)).select("name", "wmc", "npm", "loc", "lcom3", "bug")
+    return S.to_full_format(closed(spark, d, X.CLASS_METRICS))
 
 
 @query(f"SELECT name, npm FROM {C}")
@@ -303,6 +306,17 @@ def e07_tokens_of_files(spark, d):
     return L.line_tokens(line_files(spark, d), F.split("line", " ")).select(folder(), "position", "token")
 
 
+@query("SELECT source, CAST(i - 1 AS BIGINT) AS position, l[i] AS line FROM (SELECT source, string_split(string_agg(text, chr(10) ORDER BY doc_id, text), chr(10)) AS l FROM documents WHERE text IS NOT NULL GROUP BY source), unnest(generate_series(1, len(l))) AS t(i)")
+def s10_concat_written(spark, d):
+    """The texts of each source as one text in ordered parts, read again line by line."""
+    path = new_path(spark, "concatenated")
+    docs = X.table(spark, d, "documents")
+    R.write_concat(R.concat_docs(docs, "source", "doc_id"), "source", path)
+    lines = L.scan_lines(spark, path, line_sep="\n").withColumn("source", F.regexp_extract("path", "/source=([^/]*)/", 1))
+    placed = running_sum(lines.withColumn("one", F.lit(1)), ["source"], ["path", "line_no"], "one", "position")
+    return placed.select("source", "position", "line")
+
+
 @query("SELECT trim(c_name) AS c_name, CAST(count(*) AS VARCHAR) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 100000 GROUP BY trim(c_name)")
 def s09_sql_export(spark, d):
     X.table(spark, d, "customer").createOrReplaceTempView("s09_customer")

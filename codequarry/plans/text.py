@@ -73,6 +73,17 @@ mapped("t15_replace_first", lambda t: T.replace_regex(t, "th(e)", "<$1>", "i", b
 mapped("t16_replace_all", lambda t: T.replace_all(t, [("the", "THE"), ("THEr", "x")]), "replace(replace(text, 'the', 'THE'), 'THEr', 'x')")
 mapped("t17_normalise_ends", lambda t: T.normalise_ends(t, "remove", "remove"), "regexp_replace(replace(text, chr(13), ''), '\\x1a$', '')", tabbed, TAB)
 
+LONE = "(SELECT doc_id, concat(replace(text, ' b', chr(13) || 'b'), CASE doc_id % 4 WHEN 1 THEN chr(26) WHEN 2 THEN chr(26) || chr(10) WHEN 3 THEN chr(10) ELSE '' END) AS text FROM documents WHERE text <> '')"
+
+
+def lone(spark, d):
+    end = F.element_at(F.array(F.lit(""), F.lit("\x1a"), F.lit("\x1a\n"), F.lit("\n")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs(spark, d).where("text <> ''").select("doc_id", F.concat(F.replace("text", F.lit(" b"), F.lit("\rb")), end).alias("text"))
+
+
+mapped("t17_lone_ends", lambda t: T.normalise_ends(t, "remove", "remove"), "CASE WHEN doc_id % 4 = 2 THEN left(replace(text, chr(13), ''), length(replace(text, chr(13), '')) - 2) WHEN doc_id % 4 = 1 THEN left(replace(text, chr(13), ''), length(replace(text, chr(13), '')) - 1) ELSE replace(text, chr(13), '') END", lone, LONE)
+mapped("t17_add_ends", lambda t: T.normalise_ends(t, "add", "add"), "concat(replace(replace(text, chr(13), ''), chr(10), chr(13) || chr(10)), CASE WHEN doc_id % 4 = 1 THEN '' ELSE chr(26) END)", lone, LONE)
+
 #: Lines of the tabbed texts without blanks at their ends, tabs expanded to stops of 4; then blanks before stops as tabs.
 EXPANDED = "list_transform(string_split(regexp_replace(text, '[ \\t]+(\\r|\\n|$)', '\\1', 'g'), chr(10)), lambda l: list_reduce(string_split(l, chr(9)), lambda a, x: concat(rpad(a, CAST((length(a) // 4 + 1) * 4 AS INT), ' '), x)))"
 CELLS = "list_transform(generate_series(0, (length(l) - 1) // 4), lambda i: CASE WHEN l[i * 4 + 4] = ' ' AND (l[i * 4 + 3] = ' ' OR l[i * 4 + 5] = ' ') THEN rtrim(l[i * 4 + 1 : i * 4 + 4]) || chr(9) ELSE l[i * 4 + 1 : i * 4 + 4] END)"
@@ -128,10 +139,10 @@ def t24_digests(spark, d):
 BYTES = "list_transform(range(1, len(x) // 2 + 1), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))"
 
 
-@query(f"SELECT c_custkey, (list_sum(list_transform(b, lambda v, i: v * (len(b) - i + 1))) + len(b)) % 65521 * 65536 + (list_sum(b) + 1) % 65521 AS adler32, CAST((list_reduce(list_prepend(0, b), lambda a, v: (a * 31 + v) % 4294967296) + 2147483648) % 4294967296 - 2147483648 AS BIGINT) AS string_hash FROM (SELECT c_custkey, {BYTES} AS b FROM (SELECT c_custkey, hex(encode(c_name)) AS x FROM customer))")
+@query(f"SELECT c_custkey, (list_sum(list_transform(b, lambda v, i: v * (len(b) - i + 1))) + len(b)) % 65521 * 65536 + (list_sum(b) + 1) % 65521 AS adler32, CAST((list_reduce(list_prepend(0, b), lambda a, v: (a * 31 + v) % 4294967296) + 2147483648) % 4294967296 - 2147483648 AS BIGINT) AS string_hash, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(b, lambda v: list_transform(range(8), lambda i: (v >> CAST(i AS INT)) & 1)))), lambda a, x: xor(a >> 1, 3988292384 * (xor(a, x) & 1))), CAST(4294967295 AS BIGINT)) AS crc32 FROM (SELECT c_custkey, {BYTES} AS b FROM (SELECT c_custkey, hex(encode(c_name)) AS x FROM customer))")
 def t24_checksums(spark, d):
     n = F.col("c_name")
-    return X.table(spark, d, "customer").select("c_custkey", N.adler32(n).cast("long").alias("adler32"), N.string_hash(n).cast("long").alias("string_hash"))
+    return X.table(spark, d, "customer").select("c_custkey", N.adler32(n).cast("long").alias("adler32"), N.string_hash(n).cast("long").alias("string_hash"), F.crc32(n).alias("crc32"))
 
 
 @query("SELECT doc_id, CAST(length(t) AS BIGINT) AS plain, CAST(length(regexp_replace(regexp_replace(t, '^[\\x00-\\x20]+', ''), '[\\x00-\\x20]+$', '')) AS BIGINT) AS trimmed, length(t) > 500 AS more FROM (SELECT doc_id, concat('  ', text, chr(10), ' ') AS t FROM documents)")

@@ -36,7 +36,7 @@ def test_filters(spark):
         T.resolve({"a": "@b@", "b": "@a@"})
     assert one(spark, "é😀a", T.escape_unicode) == "\\u00e9\\ud83d\\ude00a"
     assert one(spark, "a\tbc\td\n\tx", lambda t: T.expand_tabs(t, 4)) == "a   bc  d\n    x"
-    assert one(spark, "a\r\nb\rc\x1a", lambda t: T.normalise_ends(t, "add", "remove")) == "a\r\nb\r\nc"
+    assert one(spark, "a\r\nb\rc\x1a", lambda t: T.normalise_ends(t, "add", "remove")) == "a\r\nbc"
     for text, added, removed in (("a   b", "a\tb", "a   b"), ("abc d", "abc d", "abc d"), ("abc  d", "abc\t d", "abc  d"), ("\tx \t\n  y ", "\tx\n  y", "    x\n  y"), ("a\t\tb \r\n", "a\t\tb\r\n", "a       b\r\n"), ("", "", ""), ("  \t", "", "")):
         assert one(spark, text, lambda t: T.normalise_ends(t, "asis", "asis", "add", 4)) == added
         assert one(spark, text, lambda t: T.normalise_ends(t, "asis", "asis", "remove", 4)) == removed
@@ -232,3 +232,21 @@ def test_streams_in_several_batches_out_of_order(spark, tmp_path):
     batch = spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_seconds(at) as ts")
     assert got == {tuple(r) for r in recorder.durations(batch, 400.0).collect()} and len(got) == sum(r[2] == "started" for r in rows)
     assert sum(g[2] is None for g in got) > 5 and sum(g[2] is not None for g in got) > 5
+
+
+def test_line_ends_and_hashes_outside_the_basic_plane(spark):
+    ends = lambda text, *a: one(spark, text, lambda t: T.normalise_ends(t, *a))
+    assert ends("a\rb\r\nc", "remove") == "ab\nc" and ends("a\rb\r\nc\n", "add") == "ab\r\nc\r\n"
+    assert [ends(t, "asis", "remove") for t in ("ab\x1a\n", "ab\x1a", "\x1a", "\x1a\n", "ab\n", "a\x1ab")] == ["ab", "ab", "\x1a", "\x1a\n", "ab\n", "a\x1ab"]
+    assert ends("ab\x1a", "asis", "add") == "ab\x1a" and ends("ab", "asis", "add") == "ab\x1a"
+
+    def units(text):
+        h = 0
+        data = text.encode("utf-16-le")
+        for k in range(0, len(data), 2):
+            h = (31 * h + int.from_bytes(data[k : k + 2], "little")) % 2**32
+        return h - 2**32 if h >= 2**31 else h
+
+    for text in ("é😀", "", "a" * 40, "😀𝄞x", "\uffff"):
+        assert one(spark, text, N.string_hash) == units(text)
+    assert units("é😀") == 1996812
