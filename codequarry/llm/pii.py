@@ -109,6 +109,14 @@ def words_of(text: Column) -> Column:
     return F.filter(runs, lambda w: (F.length(w) >= 4) & ~w.rlike(r"\p{N}"))
 
 
+def placed_words(text: Column) -> Column:
+    """``(term, context)`` of the words as in :func:`words_of`, each time that they occur; context: a hash of the words beside it."""
+    runs = F.array(F.transform(F.split(text, OTHER), F.lower))
+    around = lambda r, i: F.xxhash64(F.get(r, i - 1), F.get(r, i + 1))
+    placed = F.transform(runs, lambda r: F.transform(r, lambda w, i: F.struct(w.alias("term"), around(r, i).alias("context"))))[0]
+    return F.array_distinct(F.filter(placed, lambda p: (F.length(p["term"]) >= 4) & ~p["term"].rlike(r"\p{N}")))
+
+
 def copy_weights(docs: DataFrame) -> DataFrame:
     """``_key, weight`` of the rows of ``docs`` that do not count as one: the rows of a text have weight 1 together."""
     rows = docs.select("_key", F.unhex(F.md5("text")).alias("copy")).withColumn("r", F.xxhash64("_key"))
@@ -117,21 +125,24 @@ def copy_weights(docs: DataFrame) -> DataFrame:
     return each.where("one = 0 or n > 1").select("_key", (F.col("one") / F.col("n")).alias("weight"))
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, alpha: float = 0.05) -> DataFrame:
+def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, alpha: float = 0.05, support: int = 3) -> DataFrame:
     """``key, terms``: the words of a document that give an entity in it away.
 
-    Entity: a matched value.  Terms: words of at least four letters anywhere in a document that holds it, but not in a
-    matched value there.  Counts are of different texts, so that copies of one do not count as evidence.  With one
+    Entity: a matched value, and, for what is told of all values of a kind, each kind.  Terms: words of at least four
+    letters anywhere in a document that holds it, but not in a matched value there.  A term needs ``support`` different
+    contexts (the words beside it) in different texts of the entity: a word that stands in one text alone says nothing
+    yet, and near copies of a text bring none, so what is removed does not grow with the corpus.  With one
     pseudo-document added by which the entity's terms are as frequent as everywhere, p(t | e) = (n(e, t) + p(t)) /
     (n(e) + 1); PMI = log p(t | e) / p(t) is what the term tells of the entity, -log p(e) all there is to tell, and the
-    term discloses from ``ratio`` of that on.  By chance, n(e, t) of the entity's documents hold the term with
+    term discloses from ``ratio`` of that on; counts are of different texts.  By chance, n(e, t) of the entity's documents hold the term with
     probability C(n(e), n(e, t)) p(t)^n(e, t) at most; times the entity's number of terms this must be ``alpha`` or
-    less.  So a term seen once or twice with an entity is judged too.
+    less.
 
     Entities that stand in the same texts are judged as one, so a text of many values costs no more than one of few.
     """
     entity = entity_of(F.col("kind"), F.col("x"))
-    held = spans.groupBy("key").agg(F.collect_set(entity).alias("entities"), F.array_distinct(F.flatten(F.collect_list(words_of(F.col("x"))))).alias("own"))
+    of_kind = _hash128(F.col("kind").cast("string"), F.lit("kind"))
+    held = spans.groupBy("key").agg(F.array_union(F.collect_set(entity), F.collect_set(of_kind)).alias("entities"), F.array_distinct(F.flatten(F.collect_list(words_of(F.col("x"))))).alias("own"))
     held = written(held, "held")
     if held.isEmpty():
         return held.select("key", F.col("own").alias("terms"))
@@ -140,17 +151,18 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, alph
     weighted = docs.select("_key", "text").join(odd, "_key", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).where("weight > 0")
     n = float(weighted.agg(F.sum("weight")).first()[0])
     used = weighted.select("weight", F.explode(words_of(F.col("text"))).alias("term")).groupBy(F.xxhash64("term").alias("h")).agg(F.sum("weight").alias("with_term"))
-    mine = docs.join(held, docs["_key"] == held["key"]).select("key", F.unhex(F.md5("text")).alias("copy"), "entities", F.array_except(words_of(F.col("text")), "own").alias("terms"))
+    mine = docs.join(held, docs["_key"] == held["key"]).select("key", F.unhex(F.md5("text")).alias("copy"), "entities", F.filter(placed_words(F.col("text")), lambda p: ~F.array_contains("own", p["term"])).alias("terms"))
     mine = written(mine.dropDuplicates(["key"]), "texts_with")
     texts = mine.select("copy", F.explode("entities").alias("entity")).distinct()
     same = lambda f: f(F.xxhash64("copy"))
     sets = texts.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"), same(F.bit_xor).alias("x"), F.sum(F.xxhash64("copy") % (1 << 40)).alias("s"))
     sets = written(sets.where(F.col("with_entity") < n).select("entity", F.struct("with_entity", "x", "s").alias("among")), "entities")
     groups = written(mine.select("key", "copy", F.explode("entities").alias("entity")).join(_cast(sets), "entity").select("key", "copy", "among").distinct(), "groups")
-    both = groups.select("copy", "among").distinct().join(mine.select("copy", "terms").dropDuplicates(["copy"]), "copy").select("among", F.explode("terms").alias("term"))
-    both = written(both.groupBy("among", "term").agg(F.count(F.lit(1)).alias("both")), "pairs")
+    both = groups.select("copy", "among").distinct().join(mine.select("copy", "terms").dropDuplicates(["copy"]), "copy").select("among", "copy", F.explode("terms").alias("t"))
+    both = both.groupBy("among", F.col("t.term").alias("term"), "copy").agg(F.min("t.context").alias("context"))  # one context a text
+    both = written(both.groupBy("among", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("contexts")), "pairs")
     tested = _cast(written(both.groupBy("among").agg(F.count(F.lit(1)).alias("tested")), "tested"))
-    told = both.join(tested, "among").withColumn("h", F.xxhash64("term")).join(used, "h")
+    told = both.where(F.col("contexts") >= support).join(tested, "among").withColumn("h", F.xxhash64("term")).join(used, "h")
     ne, c, p = F.col("among.with_entity"), F.col("both"), F.col("with_term") / F.lit(n)
     pmi = F.log((c + p) / (ne + 1) / p)
     ways = F.least(c, ne - c) * F.log(ne * F.lit(2.718281828) / F.greatest(F.least(c, ne - c), F.lit(1)))  # at least log C(ne, c)
@@ -158,7 +170,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, ratio: float = 0.8, alph
     told = told.where((pmi >= ratio * F.log(F.lit(n) / ne)) & (chance <= F.log(F.lit(alpha))))
     told = written(told.groupBy("among").agg(F.collect_set("term").alias("found")), "told")
     told = groups.select("key", "among").join(_cast(told, F.length(F.array_join("found", " "))), "among").groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
-    told = told.join(mine, "key").select("key", F.array_intersect("terms", "found").alias("terms"))
+    told = told.join(mine, "key").select("key", F.array_intersect("terms.term", "found").alias("terms"))
     return told.where("size(terms) > 0")
 
 

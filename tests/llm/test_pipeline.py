@@ -30,6 +30,7 @@ def corpus(spark, tmp_path_factory):
     rows += [(1000 + k, " ".join([*base[:-1], f"end{k}"])) for k in range(5)] + [(1, rows[1][1]), (2, rows[1][1]), (1010, rows[2][1])]
     rows += [(2000, f"x {ITEM} y"), (2001, "x " + ITEM.replace("capital", "capitol").upper()), (2002, ITEM[:50])]
     rows += [(3000, " ".join(words(rng, 4)) + " zanzibar mail ann@mail.org now"), (3001, "from 10.20.30.40 " + " ".join(words(rng, 4)))]
+    rows += [(3010 + k, " ".join([*words(rng, 5), "timbuktu", *words(rng, 3), "bob@mail.org"])) for k in range(6)]
     rows += [(4000, None), (4001, ""), (None, "no id " + " ".join(words(rng, 12))), (4002, " \n "), (4003, "short")]
     out = [(i, t, "en", ["a", "b", None][k % 3], None if t is None else len(t), "clash", k, "c", False) for k, (i, t) in enumerate(rows)]
     d = str(tmp_path_factory.mktemp("corpus"))
@@ -103,17 +104,22 @@ def test_pii(spark, docs, corpus):
     n = len(texts)
     values = {t: [m.group() for p in BASE.values() for m in re.finditer(p, t)] for t in texts}
     told = {}
-    for t, found in values.items():
-        for v in found:
-            among = [x for x in texts if v in values[x]]
-            own = {x: letters(" ".join(values[x])) for x in among}
-            terms = set().union(*[letters(x) - own[x] for x in among])
-            for term in terms:
-                c, ne, p = sum(term in letters(x) - own[x] for x in among), len(among), sum(term in letters(x) for x in texts) / n
-                k = min(c, ne - c)
-                ways = k * math.log(ne * 2.718281828 / max(k, 1))
-                if math.log((c + p) / (ne + 1) / p) >= 0.8 * math.log(n / ne) and math.log(len(terms)) + ways + c * math.log(p) <= math.log(0.05):
-                    told.setdefault(t, set()).add(term)
+    classes = [[x for x in texts if v in values[x]] for v in set().union(*values.values())] + [[x for x in texts if re.search(p, x)] for p in BASE.values()]
+    for among in classes:
+        own = {x: letters(" ".join(values[x])) for x in among}
+        terms = set().union(*[letters(x) - own[x] for x in among])
+        for term in terms:
+            contexts = set()
+            for x in among:
+                words = re.split(r"[\W_]+", x.lower())
+                contexts |= {(words[i - 1] if i else None, words[i + 1] if i + 1 < len(words) else None) for i, w in enumerate(words) if w == term and term not in own[x]}
+            c, ne, p = sum(term in letters(x) - own[x] for x in among), len(among), sum(term in letters(x) for x in texts) / n
+            k = min(c, ne - c)
+            ways = k * math.log(ne * 2.718281828 / max(k, 1))
+            if len(contexts) >= 3 and math.log((c + p) / (ne + 1) / p) >= 0.8 * math.log(n / ne) and math.log(len(terms)) + ways + c * math.log(p) <= math.log(0.05):
+                for x in among:
+                    if term in letters(x) - own[x]:
+                        told.setdefault(x, set()).add(term)
     assert any(told.values())
     for r in docs.collect():
         t = r["text"]
