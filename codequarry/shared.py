@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` or the checkpoint folder that is set; a local one of our own only where there is none."""
+    """``spark.checkpoint.dir`` or the checkpoint folder that is set; with neither, one of our own where Spark runs on one machine.
+
+    On a cluster without either this is an error: executors do not see each other's temporary folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-codequarry-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
