@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-codequarry-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+from ..shared import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
