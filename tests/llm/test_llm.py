@@ -303,6 +303,42 @@ def test_html_keeps_articles_without_markup(spark):
     assert all(got[10 + i].startswith(f"Title {i} body number {i}") for i in range(6))
 
 
+def _site(host, n, rng, words):
+    """Pages without any telling tag or name, and their articles: menus, notes that pages share, articles, replies, footers."""
+    say = lambda k: " ".join(rng.choice(words, k))
+    notes = [say(7) for _ in range(3)]
+    for i in range(n):
+        title, paragraphs = f"{say(4)} {host} {i}", [say(int(rng.integers(20, 60))) for _ in range(int(rng.integers(2, 6)))]
+        menu = "".join(f"<li><a href='/'>{say(1)}</a></li>" for _ in range(int(rng.integers(3, 7))))
+        note = f"<div>{notes[i % 3]}</div>" if i % 4 else ""
+        replies = "".join(f"<div><p>{say(9)}</p></div>" for _ in range(int(rng.integers(4))))
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        yield f"<body><div><ul>{menu}</ul></div>{note}<div><h1>{title}</h1>{body}</div><div>{replies}</div><div>&copy; {host} {say(2)}</div></body>", " ".join([title, *paragraphs])
+
+
+def test_html_wrappers_decide_without_names(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 8)))) for _ in range(400)]
+    pages = [(host, *x) for host, n in (("a.org", 40), ("b.org", 12), ("c.org", 15)) for x in _site(host, n, rng, words)]
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", page, "x") for i, (h, page, _) in enumerate(pages)], "page_id int, url string, html string, host string")
+    frame = frame.unionByName(frame.where("page_id % 10 = 0"))  # repeated rows, a clashing column, a narrower id
+    rows = extract_pages(frame).collect()
+    assert len(rows) == len(pages) + len(pages[::10]) and {r["page_id"] for r in rows} == set(range(len(pages)))
+    wrong = [r["page_id"] for r in rows if r["text"] != pages[r["page_id"]][2]]
+    assert not wrong
+    assert all(main_text(page, None) != text for _, page, text in pages)  # without a wrapper nothing is told apart
+
+
+def test_html_repeated_groups():
+    block = lambda leaf, h: ("slot", "p", "", h, 1, 1, leaf, 0, 10, 5, 0)
+    got = fold([block("h3", 1), block("p", 2)] * 3 + [block("p", 9)])
+    assert [x[0] for x in got] == ["slot", "slot", "rep", "slot", "slot", "slot"] and [y[3] for y in got[2][1]] == [1, 2]
+    assert fold([block("p", 1), block("p", 2)]) == [block("p", 1), block("p", 2)]
+    whole = align(fold([block("p", k) for k in range(5)]), fold([block("p", k) for k in range(7)]))
+    assert [x[0] for x in whole] == ["slot", "rep", "slot"] or len(whole) == 4  # the last turns differ in their texts
+    assert sum(y[8] for x in whole for y in ((x[1] if x[0] == "opt" else x)[1] if (x[1] if x[0] == "opt" else x)[0] == "rep" else [x[1] if x[0] == "opt" else x])) == 120
+
+
 def test_decontamination(spark, edge, empty):
     rng = np.random.default_rng(2)
     for _ in range(200):  # both forms against the whole table
