@@ -105,15 +105,20 @@ def _lookup(model: ToxicityModel):
 
 
 def quotations(text: str) -> tuple[list[int], list[int]]:
-    """Starts and ends of what stands in quotation marks, however long; a quotation does not go past its line."""
+    """Starts and ends of what stands in quotation marks, however long; a quotation does not go past its line.
+
+    A straight mark opens only ahead of a word and not behind one, and closes only where no word follows it: one behind
+    a number, as for inches, opens nothing.
+    """
     opened, closed, start, closers = [], [], -1, ""
     for m in MARK.finditer(text):
-        c = m.group()
+        c, ahead, behind = m.group(), text[m.end() : m.end() + 1], text[m.start() - 1 : m.start()] if m.start() else ""
         if c == "\n":
             start = -1
         elif start < 0:
-            start, closers = (m.start(), CLOSERS[c]) if c in CLOSERS else (-1, "")
-        elif c in closers:
+            if c in CLOSERS and (c != '"' or not (ahead.isspace() or behind.isalnum())):
+                start, closers = m.start(), CLOSERS[c]
+        elif c in closers and (c != '"' or not ahead.isalnum()):
             opened.append(start)
             closed.append(m.end())
             start = -1
@@ -173,7 +178,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> list[float]:
 def fit_toxicity(labelled: DataFrame, max_docs: int = 20_000) -> ToxicityModel:
     """Learn from ``labelled(doc_id, text, toxic)``; of more than ``max_docs`` rows a seeded sample of that size is used.
 
-    Terms are words and word stems (their first 4 to 6 letters).  A term enters the lexicon when it marks toxic
+    Terms are words of four letters or more, whole or as stems (their first 4 to 6 letters); shorter ones are never terms.  A term enters the lexicon when it marks toxic
     documents fifty times as often as others and either stands in one toxic document of a hundred or, taken greedily,
     in three that no chosen term covers.  Document features are then weighted by logistic regression.
     """

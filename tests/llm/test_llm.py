@@ -383,6 +383,10 @@ def test_quotations():
     long = '"' + "w " * 5000 + '" x\n"open “in” \n«a» „b“ „c” "'
     assert [long[a:b][:6] for a, b in zip(*quotations(long))] == ['"w w w', "«a»", "„b“", "„c”"]
     assert quotations("„" * 1_000_000) == ([], [])
+    told = lambda t: [t[a:b] for a, b in zip(*quotations(t))]
+    assert told('a 5" pipe, you idiot, and a 6" pipe') == told('5" you idiot') == told('"you idiot\nhe"') == told('a " b " c') == []
+    assert told('he said "you idiot", then ("go") "x"') == ['"you idiot"', '"go"', '"x"'] and told('a 5" "pipe"') == ['"pipe"']
+    assert told('"a 5"x pipe"') == ['"a 5"x pipe"'] and told('"') == told('"a') == [] and told('""') == ['""']
 
 
 def test_toxicity(spark, edge, empty):
