@@ -506,8 +506,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of each page: ``page_id, url, text, n_chars, host``, a row for each row of ``pages``.
 
     Null or empty html gives an empty text; a null url counts as host "".  What is no article goes by the verdicts on the
-    parts of the host's wrapper (see ``judged``), for which tag, role, class and id are evidence where pages have them;
-    nothing else is dropped or cut.  Broken and cut-off markup is read to its end.  An empty table gives an empty one,
+    parts of the host's wrapper (see ``judged``); what tag, role, class or id exclude always goes, and main elements are the
+    text of a page that has them.  Nothing else is dropped or cut.  Broken and cut-off markup is read to its end.  An empty table gives an empty one,
     rows that repeat are read alike, a null page_id stays null, and further columns are left out.
     """
     wrappers = written(host_wrappers(pages).select("host", "rule"), "wrappers")
