@@ -216,12 +216,18 @@ def s08_suite_problems(spark, d):
     return S.suite_problems(closed(spark, d, X.CASE_SUITES))
 
 
+FILE_ROWS = 10_000  # sources in one file of a tree
+
+
 def tree(spark, d, key, bad=False):
-    """The source files as one file for each value of ``key``, in a folder of its own; ``bad``: some end in a byte that no text has."""
+    """The source files below a folder for each value of ``key``, in files of at most FILE_ROWS sources; ``bad``: some end in a byte that no text has.
+
+    A scan has a file as one value: so it is the number of files that grows with the sources, not their size.
+    """
     path = new_path(spark, "tree")
     f = files(spark, d).withColumn("o", F.col("o_orderkey")).withColumn("k", key)
     text = F.when(F.col("k") % 3 == 0, F.concat("text", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("text")) if bad else F.col("text")
-    f.select("k", "o", text.alias("text")).repartition("k").sortWithinPartitions("k", "o").select("k", "text").write.partitionBy("k").text(path)
+    f.select("k", "o", text.alias("text")).sortWithinPartitions("k", "o").select("k", "text").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("k").text(path)
     return path
 
 
@@ -236,7 +242,7 @@ def folder():
 @query(sizes("o_orderkey % 10"))
 def s01_scan_sources(spark, d):
     found = S.scan_sources(spark, tree(spark, d, F.col("o_orderkey") % 10), require_nonempty=True, glob="*.txt")
-    return found.select(folder(), F.length("text").cast("long").alias("chars"))
+    return found.groupBy(folder()).agg(F.sum(F.length("text")).alias("chars"))
 
 
 @query(f"SELECT n, 'ValueError' AS error FROM (SELECT count(*) AS n FROM {M})")
@@ -254,7 +260,7 @@ def s02_nothing_found(spark, d):
 def s03_checked_scan(spark, d):
     """Files that cannot be read are told; the others are there."""
     good, failures = S.scan_checked(spark, tree(spark, d, F.col("o_orderkey") % 10, bad=True), glob="*.txt")
-    good, failures = good.select(folder(), F.length("text").cast("long").alias("chars")), failures.select(folder(), "problem")
+    good, failures = good.groupBy(folder()).agg(F.sum(F.length("text")).alias("chars")), failures.select(folder(), "problem").distinct()
     return good.join(failures, "k", "full_outer").select("k", "problem", "chars")
 
 
@@ -264,7 +270,7 @@ def s07_scan_releases(spark, d):
     path = tree(spark, d, F.col("release"))
     named = sorted(r[0] for r in files(spark, d).select("release").distinct().collect())
     found = S.scan_releases(spark, {str(r): f"{path}/k={r}" for r in named}, glob="*.txt")
-    return found.select("release", F.length("text").cast("long").alias("chars"))
+    return found.groupBy("release").agg(F.sum(F.length("text")).alias("chars"))
 
 
 @query("SELECT 0 AS statement, true AS ok, count(DISTINCT c_nationkey) AS rows, NULL AS error FROM customer UNION ALL SELECT 1, false, NULL, 'UNRESOLVED_COLUMN.WITH_SUGGESTION' UNION ALL SELECT 2, true, count(*), NULL FROM customer WHERE c_acctbal > 100")

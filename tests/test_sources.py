@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import reports as R
 from codequarry.operators import snapshots as V
+from codequarry.plans import metrics as P
 from codequarry.sources import code as S
 from codequarry.sources import lines as L
 
@@ -127,3 +128,18 @@ def test_levels_against_a_stack(spark):
     df = spark.createDataFrame(rows, "log string, line_no long, indent int, name string").repartition(3)
     assert {r["line_no"]: (r["level"], r["parent"]) for r in R.infer_levels(df).collect()} == want
     assert R.infer_levels(df.limit(0)).count() == 0
+
+
+def test_trees_are_of_files_of_bounded_size(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    sources = P.files(spark, d).select("release", (F.col("o_orderkey") % 10).alias("k"), F.length("text").alias("n")).collect()
+    monkeypatch.setattr(P, "FILE_ROWS", 20)
+    path = P.tree(spark, d, F.col("o_orderkey") % 10)
+    found = [r["text"] for r in S.scan_sources(spark, path, glob="*.txt").collect()]
+    assert max(t.count("package ") for t in found) <= 20 and sum(t.count("package ") for t in found) == len(sources)
+    by = lambda c: {str(v): sum(r["n"] + 1 for r in sources if r[c] == v) for v in {r[c] for r in sources}}
+    assert {r["k"]: r["chars"] for r in P.s01_scan_sources(spark, d).collect()} == by("k")
+    assert {r["release"]: r["chars"] for r in P.s07_scan_releases(spark, d).collect()} == by("release")
+    checked = {r["k"]: (r["problem"], r["chars"]) for r in P.s03_checked_scan(spark, d).collect()}
+    assert checked == {k: ("undecodable", None) if int(k) % 3 == 0 else (None, n) for k, n in by("k").items()}
+    assert [tuple(r) for r in P.s02_nothing_found(spark, d).collect()] == [(len(sources), "ValueError")]
