@@ -135,8 +135,7 @@ def m11_diagnostics(spark, d):
 
 @query(f"SELECT path, CASE WHEN o_orderkey % 89 = 0 THEN 'unterminated comment' WHEN o_orderkey % 97 = 0 THEN 'unbalanced braces' END AS parse_error FROM {M}")
 def s03_error_column(spark, d):
-    f = corrupt(spark, d)
-    return f.select("path").join(D.diagnostics(f), "path", "left").withColumnRenamed("problem", "parse_error")
+    return D.problems(corrupt(spark, d)).withColumnRenamed("problem", "parse_error")
 
 
 @query(f"SELECT count(*) AS classes, round(avg(npm), 2) AS avg_npm, round(avg(loc), 2) AS avg_loc, CAST(sum(loc) AS BIGINT) AS total_loc FROM {C}")

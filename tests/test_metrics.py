@@ -169,3 +169,37 @@ def test_running_sums_and_concatenation(spark):
             assert r["start"] == at
             at += len(r["text"]) + 1
         assert len(found) == sum(i % 3 == k for i in range(500))
+
+
+def test_declarations_shuffle_nothing_and_batches_may_end_anywhere(spark):
+    texts = [SCOPES, SAMPLE, "class A {", "}} class B { void f() {} }", "int x;", "", "enum E { A { void v() {} } }", SCOPES]
+    f = files(spark, *texts).coalesce(1)
+    for found in (D.declarations(f), D.loc_by_type(f), D.problems(f), D.loc_by_file(f)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole, loc = rows(D.declarations(f)), rows(D.loc_by_type(f))
+    assert loc == rows(D.loc_by_type(f, D.types(f))) and len(loc) > 15
+    assert len(whole) == sum(D.declarations(files(spark, t)).count() for t in texts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert rows(D.declarations(f)) == whole and rows(D.loc_by_type(f)) == loc
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_masks_and_open_comments_against_python(spark):
+    import random
+    import re
+
+    literal = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+    hidden = re.compile(literal + r"|/\*[\s\S]*?\*/|/\*[\s\S]*|//[^\n]*")
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["/*", "*/", "//", "\n", "\n", '"', "'", "\\", "a", "*", "/", " "]) for _ in range(rng.randint(0, 24))) for _ in range(3000)]
+    f = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in f.select("i", D.masked(F.col("text")).alias("m"), F.col("text").rlike(D.OPEN_COMMENT).alias("o")).collect():
+        found = [m[0] for m in hidden.finditer(texts[r["i"]])]
+        want = hidden.sub(lambda m: re.sub(r"[^\n]", "", m[0]) if m[0][0] == "/" else m[0][0] * 2, texts[r["i"]])
+        assert r["m"] == want, repr(texts[r["i"]])
+        assert r["o"] == any(h.startswith("/*") and not (len(h) > 3 and h.endswith("*/")) for h in found), repr(texts[r["i"]])
