@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import cut
 
 ROUNDS = 1000  # the greatest depth of a closure
 SHALLOW = 4  # levels that are taken one by one before ways of 2, 4, 8 ... edges are laid
+CORE = 1 << 18  # edges that are left to doubling when chains are contracted
 WIDE = 16  # ways of a length are laid while they are at most so many times the edges
 
 
@@ -77,22 +78,64 @@ def affected(edges: DataFrame, changed: DataFrame, transitive: bool = True) -> D
     return found.select(F.explode(F.array_distinct(F.array("node", F.substring_index("node", "$", 1)))).alias("node")).distinct()
 
 
+def _counted(edges: DataFrame) -> DataFrame:
+    """Each pair ``src, dst`` once, with its greatest ``len``, and ``n``: the edges from src; one shuffle for both."""
+    pairs = edges.repartition("src").groupBy("src", "dst").agg(F.max("len").alias("len"))
+    return cut(pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("src"))))
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``(rest, gone)``: edges as ``_counted`` after nodes were taken out, and each round's edges of the nodes taken out.
+
+    A node with one edge is taken out where its coin falls heads and tails for what that edge leads to; edges into it
+    then lead there, longer by its own.  A chain loses a quarter of its nodes a round, so all rounds together do the
+    work of four.  Ends at CORE edges, or where a round takes out less than one in twenty.
+    """
+    gone, before = [], None
+    while (left := edges.count()) > CORE and (before is None or left <= 0.95 * before):
+        coin = lambda c, k=len(gone): F.xxhash64(c, F.lit(k)) % 2 == 0
+        out = (F.col("n") == 1) & coin("src") & ~coin("dst")
+        gone.append(edges.where(out).select("src", "dst", "len"))
+        on = gone[-1].select(F.col("src").alias("_at"), F.col("dst").alias("_to"), F.col("len").alias("_more"))
+        rest = edges.where(~out).join(on, F.col("dst") == F.col("_at"), "left")
+        edges, before = _counted(rest.select("src", F.coalesce("_to", "dst").alias("dst"), (F.col("len") + F.coalesce("_more", F.lit(0))).alias("len"))), left
+    return edges, gone
+
+
+def _longest(edges: DataFrame) -> DataFrame:
+    """``node, dit``: longest way from each node of ``edges(src, dst, len)``, by doubling; null where ways do not end."""
+    ways, length = edges.select("src", "dst", "len"), 1
+    found = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit(0).cast("long").alias("dit"), F.lit(0).cast("long").alias("edges")))
+    nodes = found.count()
+    while length <= nodes and not ways.isEmpty():
+        beyond = ways.join(found, ways["dst"] == found["node"]).select(F.col("src").alias("node"), (F.col("dit") + F.col("len")).alias("dit"), (F.col("edges") + length).alias("edges"))
+        found = cut(found.unionByName(beyond).groupBy("node").agg(F.max("dit").alias("dit"), F.max("edges").alias("edges")))
+        after = ways.select(F.col("src").alias("_at"), F.col("dst").alias("_to"), F.col("len").alias("_more"))
+        pairs = ways.join(after, F.col("dst") == F.col("_at")).select("src", F.col("_to").alias("dst"), (F.col("len") + F.col("_more")).alias("len"))
+        ways, length = cut(pairs.groupBy("src", "dst").agg(F.max("len").alias("len"))), 2 * length
+    return found.select("node", F.when(F.col("edges") < max(nodes, 1), F.col("dit")).alias("dit"))  # a way of as many edges as there are nodes meets one twice
+
+
 def inheritance(edges: DataFrame) -> DataFrame:
     """``node, dit, noc``: longest way to a root along ``src extends dst``, and number of direct children.
 
-    Longest ways double: one of less than 2^(k+1) edges is one of less than 2^k, or a way of 2^k edges and one of less
-    than 2^k from there; so a chain of n takes log2(n) rounds, and there is no cap.  From a cycle, and from what leads
-    into one, ways do not end: these nodes are left out (their ways are laid all the same: up to the square of a cycle's nodes).
+    Nodes with one parent are taken out first, by rounds whose work adds up to a few times the edges, however deep the
+    chains.  In what is left longest ways double: one of less than 2^(k+1) edges is one of less than 2^k, or a way of 2^k
+    edges and one of less than 2^k from there; there is no cap.  What was taken out then follows its parent, last round
+    first.  From a cycle, and from what leads into one, ways do not end: these nodes are left out (their ways are laid all
+    the same: up to the square of a cycle's nodes).
     """
     edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    found = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("dit", F.lit(0)))
-    nodes, length = found.count(), 0
-    for length, ways in _squares(edges, nodes):
-        beyond = ways.join(found, ways["dst"] == found["node"]).select(F.col("src").alias("node"), (F.col("dit") + length).alias("dit"))
-        found = cut(found.unionByName(beyond).groupBy("node").agg(F.max("dit").alias("dit")))
-    found = found.where(F.col("dit") < F.lit(max(nodes, 1)))  # a way of as many edges as there are nodes meets one twice
-    children = edges.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("noc"))
-    return found.join(children, "node", "left").select("node", "dit", F.coalesce("noc", F.lit(0)).alias("noc"))
+    core, gone = _contracted(_counted(edges.withColumn("len", F.lit(1).cast("long"))))
+    found = _longest(core)
+    for taken in reversed(gone):  # a parent that is not found yet has no parent itself
+        above = found.select(F.col("node").alias("_of"), F.col("dit").alias("_dit"))
+        told = taken.join(above, F.col("dst") == F.col("_of"), "left")
+        found = found.unionByName(cut(told.select(F.col("src").alias("node"), F.when(F.col("_of").isNull(), F.col("len")).otherwise(F.col("_dit") + F.col("len")).alias("dit"))))
+    children = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("noc"))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(children.select("node")).distinct()
+    found = nodes.join(found.withColumn("_seen", F.lit(True)), "node", "left").where("_seen is null or dit is not null")
+    return found.join(children, "node", "left").select("node", F.coalesce("dit", F.lit(0)).cast("int").alias("dit"), F.coalesce("noc", F.lit(0)).alias("noc"))
 
 
 def containers(wanted: DataFrame, holdings: DataFrame) -> DataFrame:

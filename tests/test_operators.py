@@ -250,3 +250,35 @@ def test_line_ends_and_hashes_outside_the_basic_plane(spark):
     for text in ("é😀", "", "a" * 40, "😀𝄞x", "\uffff"):
         assert one(spark, text, N.string_hash) == units(text)
     assert units("é😀") == 1996812
+
+
+def test_inheritance_of_contracted_graphs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(G, "CORE", 100)
+    rng = random.Random(4)
+    e = {(i, rng.randrange(max(0, i - 3), i)) for i in range(1, 300)} | {(i, rng.randrange(i)) for i in range(200, 260)} | {(i, i - 1) for i in range(1001, 1400)}
+    e |= {(2000 + i, 2000 + (i + 1) % 40) for i in range(40)} | {(2100 + i, 2099 + i) for i in range(1, 30)} | {(2100, 2005), (3000, 3000), (3001, 3000), (3002, 3001), (3002, 1399), (4000, 4001)}
+    ups, children, nodes = {}, {}, {n for pair in e for n in pair}
+    for s, d in e:
+        ups.setdefault(s, set()).add(d)
+        children[d] = children.get(d, 0) + 1
+    dit, left = {}, set(nodes)
+    while ready := [n for n in left if ups.get(n, set()) <= dit.keys()]:
+        dit |= {n: max((dit[u] + 1 for u in ups.get(n, ())), default=0) for n in ready}
+        left -= set(ready)
+    got = {tuple(r) for r in G.inheritance(spark.createDataFrame(list(e), "src long, dst long")).collect()}
+    assert got == {(n, k, children.get(n, 0)) for n, k in dit.items()} and len(left) > 60
+
+
+def test_work_on_a_deep_chain_goes_with_its_length(spark, monkeypatch):
+    kept, cut = [], G.cut
+    monkeypatch.setattr(G, "CORE", 800, raising=False)
+
+    def counted(df):
+        kept.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    assert tuple(G.inheritance(spark.range(4_000).selectExpr("id + 1 as src", "id as dst")).agg(F.count(F.lit(1)), F.max("dit")).first()) == (4_001, 4_000)
+    assert sum(kept) < 15 * 4_000  # doubling alone keeps more than 24 times the nodes
