@@ -7,6 +7,8 @@ runs along a file (depths, lines, what encloses what) is worked out over batches
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ def _balanced(depth: int) -> str:
     return rf"\((?:{inside})*+\)"
 
 
-PIECE = r"(?:[^{};()]++|" + _balanced(NESTED) + r")*+[{};()]"
+#: Statements without parentheses declare nothing: those that follow each other are one piece, with a brace that closes behind them.
+PIECE = r"(?:[^{};()]*+;)++(?:\s*+\})?+|(?:[^{};()]++|" + _balanced(NESTED) + r")*+[{};()]"
 LEAD = r"^\s*+(?:@(?!interface\b)[\w.]++\s*+(?:\((?:[^()]++|\([^()]*+\))*+\)\s*+)?+)*+"
 TYPE = r"^[^(=]*?(@interface|\bclass|\binterface|\benum)\s++(\w++)[^(=]*+(?<=\{)$"
 CALL = r"^[^=({};]*?(?<![\w.])(\w++)\s*+\("
@@ -41,6 +44,7 @@ CONTROL = r"^(?:\w++\s*+:\s*+)?+(?:(?:if|for|while|switch|catch|try|do|else|fina
 STATEMENT = r"^(?:return|throw|new|assert|super|this|else)\b"
 CREATION = r"\bnew\s++[\w.$<>?,\s\[\]&]*+\("
 BRANCHES = r"(?=[ifwc])\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?!\s*(?:extends\b|super\b|[>,]))"
+BRANCH_WORDS = ("if", "for", "while", "ca", "&&", "||", "?")  # no branch without one of them
 #: kinds of an opening brace: a class or interface, an enum, an annotation, a body without a name (anonymous class, constant), a method, anything else
 CLASS, ENUM, ANNOTATION, BODY, METHOD, BLOCK = "C", "E", "A", "N", "M", "B"
 #: only until the piece before is known: a name, or a call, without a type before it
@@ -53,46 +57,67 @@ def masked(text: Column) -> Column:
 
 
 def _newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))  # bytes: no code points are counted
 
 
-def pieces(files: DataFrame, carry: str | None = None) -> DataFrame:
-    """``path, stmt, last, kind, name, typed, is_public, pkg, lines, lead, branches``: the text between braces and statement ends.
+def pieces(files: DataFrame, carry: str | None = None, complexity: bool = True) -> DataFrame:
+    """``said, told, more``: the text between braces and statement ends, a row for each piece, as few columns as can be.
 
-    A piece ends at a brace, at ``;`` outside parentheses, or at a parenthesis that holds a body.  ``kind`` is null for
-    what declares nothing.  A file's pieces are rows that follow each other, with its path, its package and, as
-    ``_carried``, the column ``carry`` on the first.
+    A piece ends at a brace, at ``;`` outside parentheses, or at a parenthesis that holds a body.  A file's pieces are
+    rows that follow each other; the first has ``_carried``, the column ``carry``.  said is the piece's name, in the first
+    of a file ``name package path``; told packs lines and branches, more the leading lines, the kind (0: it declares
+    nothing) and flags, as ``_unpacked`` reads them.  Each column costs time for each row on its way to Python.  Without
+    ``complexity`` no branches are counted.
+
+    The outer explode keeps Spark from testing ahead of it whether a text has pieces, which would mask and cut each text
+    once more for every such test; a text without pieces is left out behind it.
     """
     kept = ["_carried"] if carry else []
     code = files.select("path", *([F.col(carry).alias("_carried")] if carry else []), masked(F.col("text")).alias("code"))
     code = code.select("path", *kept, F.regexp_extract("code", r"(?:^|[;\s])package\s++([\w.]++)\s*+;", 1).alias("pkg"), F.regexp_extract_all("code", F.lit(PIECE), F.lit(0)).alias("cut"))
-    cut = code.select("path", "pkg", *kept, F.posexplode("cut").alias("stmt", "text"))
-    cut = cut.withColumn("last", F.right("text", F.lit(1)))
-    opener, calls = F.col("last") == "{", F.col("text").contains("(")
-    told = opener | ((F.col("last") == ";") & calls)  # nothing else declares anything
+    cut = code.select("path", "pkg", *kept, F.posexplode_outer("cut").alias("stmt", "text")).where("stmt is not null")
+    opener, closer, calls = F.endswith("text", F.lit("{")), F.endswith("text", F.lit("}")), F.col("text").contains("(")
+    told = opener | (F.endswith("text", F.lit(";")) & calls)  # nothing else declares anything
     trimmed = F.ltrim("text", F.lit(BLANK))
     cut = cut.withColumn("head", F.when(told & F.col("text").contains("@"), F.regexp_replace("text", LEAD, "")).when(told, trimmed))
     calls = F.col("head").contains("(")
-    cut = cut.withColumns({"word": F.when(opener & (F.col("head").contains("class") | F.col("head").contains("interface") | F.col("head").contains("enum")), F.regexp_extract("head", TYPE, 1)).otherwise(""), "call": F.when(told & calls & ~F.col("head").rlike(STATEMENT), F.regexp_extract("head", CALL, 1)).otherwise("")})
-    cut = cut.withColumns({"signature": (F.col("call") != "") & F.col("head").rlike(SIGNATURE_END), "bare": told & F.col("head").rlike(r"^\w++\s*+[({]")})
+    cut = cut.withColumn("control", opener & F.col("head").rlike(CONTROL))
+    cut = cut.withColumns({"word": F.when(opener & (F.col("head").contains("class") | F.col("head").contains("interface") | F.col("head").contains("enum")), F.regexp_extract("head", TYPE, 1)).otherwise(""), "call": F.when(told & calls & ~F.col("control") & ~F.col("head").rlike(STATEMENT), F.regexp_extract("head", CALL, 1)).otherwise("")})
+    cut = cut.withColumns({"signature": (F.col("call") != "") & F.col("head").rlike(SIGNATURE_END), "bare": told & ~F.col("control") & F.col("head").rlike(r"^\w++\s*+[({]")})
     signature, bare = F.col("signature"), F.col("bare")
     opens = (
         F.when(F.col("word").isin("class", "interface"), CLASS).when(F.col("word") == "enum", ENUM).when(F.col("word") == "@interface", ANNOTATION)
-        .when(F.col("head").rlike(CONTROL), BLOCK)
+        .when(F.col("control"), BLOCK)
         .when(calls & F.col("head").rlike(CREATION) & F.col("head").rlike(r"\)\s*+\{$"), BODY)
         .when(F.startswith("head", F.lit(",")) & F.col("head").rlike(r"^,\s*+(?:@\w++\s*+)*+\w++\s*+[({]") & ~F.col("head").contains("="), BODY)
         .when(bare & (signature | ~calls), BARE).when(signature, METHOD).otherwise(BLOCK)
     )
-    cut = cut.withColumn("kind", F.when(opener, opens).when((F.col("last") == ";") & signature & ~bare, METHOD))
+    cut = cut.withColumn("kind", F.when(opener, opens).when(F.endswith("text", F.lit(";")) & signature & ~bare, METHOD))
     kind, first = F.col("kind"), F.col("stmt") == 0
     name = F.when(F.col("word") != "", F.regexp_extract("head", TYPE, 2)).when(F.col("call") != "", F.col("call"))
     public = kind.isin(METHOD, BARE) & F.col("head").contains("public") & F.regexp_extract("head", r"^([^(]*+)\(", 1).rlike(r"\bpublic\b")
     lead = F.when(kind.isNotNull(), _newlines(F.col("text")) - _newlines(trimmed)).otherwise(0)
-    branches = F.size(F.regexp_extract_all("text", F.lit(BRANCHES), F.lit(0)))
-    return cut.select(
-        F.when(first, F.col("path")).alias("path"), "stmt", F.when(opener, 1).when(F.col("last") == "}", -1).otherwise(0).alias("step"), F.coalesce(F.ascii(kind), F.lit(0)).alias("kind"), F.when(kind.isNotNull(), name).alias("name"),
-        ~bare, F.coalesce(public, F.lit(False)), F.when(first, F.col("pkg")).alias("pkg"), _newlines(F.col("text")).alias("lines"), lead.alias("lead"), branches.alias("branches"), *[F.when(first, F.col(c)) for c in kept],
-    ).toDF("path", "stmt", "step", "kind", "name", "typed", "is_public", "pkg", "lines", "lead", "branches", *kept)
+    may_branch = reduce(or_, (F.col("text").contains(w) for w in BRANCH_WORDS))
+    branches = F.when(may_branch, F.size(F.regexp_extract_all("text", F.lit(BRANCHES), F.lit(0)))).otherwise(0) if complexity else F.lit(0)
+    name, flag = F.when(kind.isNotNull(), name), lambda c, at: F.when(c, 1 << at).otherwise(0)
+    begins = F.concat(F.coalesce(name, F.lit("")), F.lit(" "), "pkg", F.coalesce(F.concat(F.lit(" "), "path"), F.lit("")))
+    packed = F.shiftleft(_newlines(F.col("text")).cast("long"), 32) + branches
+    more = F.shiftleft(lead.cast("long"), 16) + F.shiftleft(F.coalesce(F.ascii(kind), F.lit(0)), 5) + flag(opener, 4) + flag(closer, 3) + flag(~bare, 2) + flag(F.coalesce(public, F.lit(False)), 1) + flag(first, 0)
+    return cut.select(F.when(first, begins).otherwise(name).alias("said"), packed.alias("told"), more.cast("long").alias("more"), *[F.when(first, F.col(c)).alias(c) for c in kept])
+
+
+def _unpacked(t: pa.Table) -> tuple:
+    """``start, paths, pkgs`` of the files among the pieces, and ``name, step, kind, typed, public, lines, lead, branches`` of each piece."""
+    told, more = (t[c].combine_chunks().to_numpy() for c in ("told", "more"))
+    start, said = np.flatnonzero(more & 1), t["said"].combine_chunks()
+    begins = pc.split_pattern(said.take(pa.array(start)), " ", max_splits=2)
+    offset, parts = begins.offsets.to_numpy(), begins.flatten()  # two parts where the path is null
+    part = lambda k: parts.take(pa.array(offset[:-1] - offset[0] + k, mask=np.diff(offset) <= k))
+    names = pc.if_else(pc.equal(part(0), ""), None, part(0))
+    begin = pa.array(more & 1 == 1)
+    name = pc.replace_with_mask(said, begin, names)
+    bit = lambda at: (more >> at) & 1
+    return start, part(2), part(1), name, bit(4) - bit(3), (more >> 5) & 0x7FF, bit(2) == 1, bit(1) == 1, told >> 32, more >> 16, told & 0xFFFFFFFF
 
 
 def _latest(file: np.ndarray, level: np.ndarray, opener: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -122,10 +147,11 @@ FOUND = "path string, pkg string, stmt int, kind string, name string, outer stri
 
 def _declared(t: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
     """The declarations among the pieces of whole files, and which of the files each is of."""
-    get = lambda c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-    stmt, step, kind, typed, public, lines, lead, branches = (get(c) for c in ("stmt", "step", "kind", "typed", "is_public", "lines", "lead", "branches"))
-    start, name = np.flatnonzero(stmt == 0), t["name"].combine_chunks()
-    file, paths, pkgs = np.cumsum(stmt == 0) - 1, t["path"].combine_chunks().take(pa.array(start)), t["pkg"].combine_chunks().take(pa.array(start))
+    start, paths, pkgs, name, step, kind, typed, public, lines, lead, branches = _unpacked(t)
+    begin = np.zeros(len(step), bool)
+    begin[start] = True
+    file = np.cumsum(begin) - 1
+    stmt = np.arange(len(step)) - start[file]
 
     def run(c: np.ndarray) -> np.ndarray:  # running sums over each file
         s = np.cumsum(c, dtype=np.int64)
@@ -187,7 +213,7 @@ def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """A partition's pieces in tables of whole files; the last file of a batch waits for its end."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        begun = np.flatnonzero(batch["stmt"].to_numpy() == 0)
+        begun = np.flatnonzero(batch["more"].to_numpy() & 1)
         if len(begun):
             if len(done := pa.Table.from_batches([*held, batch.slice(0, begun[-1])], batch.schema)):
                 yield done
@@ -205,13 +231,16 @@ def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a file carries, the last column, once, with the list of its declarations."""
     for t in _whole_files(batches):
         found, file = _declared(t)
-        first = pa.array(np.flatnonzero(t["stmt"].to_numpy() == 0))
+        first = pa.array(np.flatnonzero(t["more"].to_numpy() & 1))
         carried = t.column(t.num_columns - 1).take(first).combine_chunks()
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(file, np.arange(len(first) + 1)), pa.int32()), found.to_struct_array())
         yield pa.RecordBatch.from_arrays([carried, lists], names=["carried", "found"])
 
 
-def declarations(files: DataFrame, carry: str | None = None) -> DataFrame:
+COMPLEXITY = ("cc", "own_wmc", "own_max")
+
+
+def declarations(files: DataFrame, carry: str | None = None, complexity: bool = True) -> DataFrame:
     """Types and methods: ``path, pkg, stmt, kind, name, outer, is_public, before, first_line, last_line, npm, methods, cc, own_wmc, own_max, own_n``.
 
     kind is ``type``, ``hidden`` (a type that makes no row: nested enums and annotations, types in them, in anonymous
@@ -220,20 +249,22 @@ def declarations(files: DataFrame, carry: str | None = None) -> DataFrame:
     body of a method, and members of annotations, are none.  npm and methods of a type count all methods between its
     braces.  cc counts a method's branches, those of local classes too; own_* aggregate it over a type's direct methods.
     npm, methods and own_* are null for methods, is_public and cc for types.  ``carry`` names a text column of the files
-    that comes along.
+    that comes along.  Without ``complexity`` branches are not counted, and cc, own_wmc and own_max are left out.
     """
+    unknown = () if complexity else COMPLEXITY
     if carry is None:
-        return pieces(files).mapInArrow(_rows, FOUND)
+        return pieces(files, None, complexity).mapInArrow(_rows, FOUND).drop(*unknown)
     found = ", ".join(f.replace(" ", ": ", 1) for f in FOUND.split(", "))
-    return pieces(files, carry).mapInArrow(_by_file, f"carried string, found array<struct<{found}>>").select(F.col("carried").alias(carry), F.inline("found"))
+    by_file = pieces(files, carry, complexity).mapInArrow(_by_file, f"carried string, found array<struct<{found}>>")
+    return by_file.select(F.col("carried").alias(carry), F.inline("found")).drop(*unknown)
 
 
-def types(files: DataFrame, carry: str | None = None) -> DataFrame:
+def types(files: DataFrame, carry: str | None = None, complexity: bool = True) -> DataFrame:
     """A row for each top-level type, and each class or interface directly within classes: ``path, name, outer`` and counts.
 
     A nested type is named by its immediate outer type: ``pkg.Outer$Inner``.
     """
-    t = declarations(files, carry).where("kind = 'type'")
+    t = declarations(files, carry, complexity).where("kind = 'type'")
     local = F.when(F.col("outer").isNotNull(), F.concat("outer", F.lit("$"), "name")).otherwise(F.col("name"))
     return t.withColumn("simple", F.col("name")).withColumn("name", F.when(F.col("pkg") != "", F.concat("pkg", F.lit("."), local)).otherwise(local))
 
@@ -243,9 +274,9 @@ def counts_by_file(found: DataFrame) -> DataFrame:
     return found.where("before = 0").groupBy("path").agg(F.sum("npm").alias("npm"), F.sum("methods").alias("methods"))
 
 
-def loc_by_type(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def loc_by_type(files: DataFrame, found: DataFrame | None = None, complexity: bool = True) -> DataFrame:
     """Types with ``loc``: code lines from the declaration to its closing brace, nested types included."""
-    rows = types(files, "text") if found is None else found.join(files.select("path", "text"), "path")
+    rows = types(files, "text", complexity) if found is None else found.join(files.select("path", "text"), "path")
     lines = F.slice(physical_lines(F.col("text")), F.col("first_line"), F.greatest(F.lit(0), F.col("last_line") - F.col("first_line") + 1))
     return rows.withColumn("loc", code_lines(lines).cast("long")).drop("text")
 
@@ -259,7 +290,7 @@ def loc_by_file(files: DataFrame) -> DataFrame:
 def problems(files: DataFrame) -> DataFrame:
     """``path, problem`` of every file: ``unterminated comment``, ``unbalanced braces`` or null."""
     told = files.select("path", F.col("text").rlike(OPEN_COMMENT).alias("open"), masked(F.col("text")).alias("code"))
-    count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c), F.lit("")))
+    count = lambda c: F.octet_length("code") - F.octet_length(F.replace("code", F.lit(c), F.lit("")))
     return told.select("path", F.when(F.col("open"), "unterminated comment").when(count("{") != count("}"), "unbalanced braces").alias("problem"))
 
 

@@ -51,7 +51,7 @@ def closed(spark, d, sql):
 @query(f"SELECT name, npm, loc FROM {C}")
 def s04_compact_metrics(spark, d):
     f = files(spark, d)
-    return D.loc_by_type(f).select("name", "npm", "loc")
+    return D.loc_by_type(f, complexity=False).select("name", "npm", "loc")
 
 
 ALL_COLUMNS = ", ".join(c if c == "name" else f"CAST({c if c in ('npm', 'loc') else 0} AS {'INT' if c in S.INTS else 'DOUBLE'}) AS {c}" for c in S.COLUMNS)
@@ -64,43 +64,43 @@ def s05_full_format(spark, d):
 
 @query(f"SELECT name, npm FROM {C}")
 def m03_npm_by_type(spark, d):
-    return D.types(files(spark, d)).select("name", "npm")
+    return D.types(files(spark, d), complexity=False).select("name", "npm")
 
 
 @query("SELECT DISTINCT name, CASE WHEN name LIKE '%$%' THEN split_part(split_part(name, '.', 2), '$', 1) ELSE NULL END AS outer_type, package FROM " + C)
 def m01_types(spark, d):
-    return D.types(files(spark, d)).select("name", F.col("outer").alias("outer_type"), F.col("pkg").alias("package"))
+    return D.types(files(spark, d), complexity=False).select("name", F.col("outer").alias("outer_type"), F.col("pkg").alias("package"))
 
 
 @query(f"SELECT name FROM {C} WHERE name LIKE '%$%'")
 def m02_nested_types(spark, d):
-    return D.types(files(spark, d)).where("outer is not null").select("name")
+    return D.types(files(spark, d), complexity=False).where("outer is not null").select("name")
 
 
 @query(f"SELECT path, CAST(r + inner_n AS BIGINT) AS npm FROM {M}")
 def m04_npm_by_file(spark, d):
-    return D.counts_by_file(D.types(files(spark, d))).select("path", "npm")
+    return D.counts_by_file(D.types(files(spark, d), complexity=False)).select("path", "npm")
 
 
 @query(f"SELECT name, methods FROM {C}")
 def m05_methods_by_type(spark, d):
-    return D.types(files(spark, d)).select("name", "methods")
+    return D.types(files(spark, d), complexity=False).select("name", "methods")
 
 
 @query(f"SELECT name, outer_type, npm, methods FROM ({X.SCOPED_METRICS})")
 def m01_scoped_types(spark, d):
     """Types, nested types and their counts where bodies hold types: local and anonymous classes, enums, annotations."""
-    return D.types(scoped(spark, d)).select("name", F.col("outer").alias("outer_type"), "npm", "methods")
+    return D.types(scoped(spark, d), complexity=False).select("name", F.col("outer").alias("outer_type"), "npm", "methods")
 
 
 @query(f"SELECT path, CAST(sum(npm) AS BIGINT) AS npm, CAST(sum(methods) AS BIGINT) AS methods FROM ({X.SCOPED_METRICS}) WHERE outer_type IS NULL GROUP BY path")
 def m04_scoped_files(spark, d):
-    return D.counts_by_file(D.types(scoped(spark, d)))
+    return D.counts_by_file(D.types(scoped(spark, d), complexity=False))
 
 
 @query(f"SELECT name, loc FROM {C}")
 def m06_loc_by_type(spark, d):
-    return D.loc_by_type(files(spark, d)).select("name", "loc")
+    return D.loc_by_type(files(spark, d), complexity=False).select("name", "loc")
 
 
 LOC = f"SELECT path, CAST(4 + 3 * n + q + o + 3 * inner_n AS BIGINT) AS loc FROM {M}"

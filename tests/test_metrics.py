@@ -203,3 +203,27 @@ def test_masks_and_open_comments_against_python(spark):
         want = hidden.sub(lambda m: re.sub(r"[^\n]", "", m[0]) if m[0][0] == "/" else m[0][0] * 2, texts[r["i"]])
         assert r["m"] == want, repr(texts[r["i"]])
         assert r["o"] == any(h.startswith("/*") and not (len(h) > 3 and h.endswith("*/")) for h in found), repr(texts[r["i"]])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_text_is_masked_and_cut_once(spark):
+    """No test of whether a text has pieces stands ahead of the explode: it would mask and cut the text again."""
+    f = spark.range(3).select(F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("class A"), F.col("id").cast("string"), F.lit(" { int a() { if (b) c(); } }")).alias("text"))
+    plan = _plan(D.pieces(f))
+    assert plan.count("regexp_extract_all(code") == 1 and plan.count(D.HIDDEN) == 1
+    assert D.BRANCHES in plan and D.BRANCHES not in _plan(D.pieces(f, complexity=False))
+
+
+def test_pieces_are_few_and_hold_all_counts(spark):
+    """Plain statements and the brace that closes behind them are one row, its lines and branches are theirs; types without complexity are the same."""
+    text = "class A {\n int a;\n int b = c ? 1 : 2;\n void m() { x = y;\n z = w && v;\n}\n}\n"
+    f = spark.createDataFrame([("p", text), ("q", ""), (None, text)], "path string, text string")
+    assert D.pieces(f.where("path = 'p'")).count() == 5  # class, fields, method, its statements with its end, end of class
+    found = {(r["path"], r["kind"], r["name"]): (r["first_line"], r["last_line"], r["cc"]) for r in D.declarations(f).collect()}
+    assert found == {(p, k, n): v for p in ("p", None) for (k, n), v in {("type", "A"): (1, 7, None), ("method", "m"): (4, 6, 2)}.items()}
+    kept = [c for c in D.types(f).columns if c not in D.COMPLEXITY]
+    assert D.types(f, complexity=False).columns == kept
+    assert sorted(map(str, D.types(f, complexity=False).collect())) == sorted(map(str, D.types(f).select(kept).collect()))
