@@ -104,7 +104,7 @@ def _suites(xml: DataFrame) -> DataFrame:
     """Documents with ``s``, the parsed suite, and ``problem``.  An outcome without text or attributes is marked, so that it is seen."""
     marked = F.regexp_replace("xml", r"<(failure|error)(?=[\s/>])", '<$1 present="1"')
     s = F.from_xml(marked, _SUITE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "rowTag": "testsuite"})
-    rows = xml.withColumn("s", s)
+    rows = xml.select("*", F.explode_outer(F.array(s)).alias("s"))  # once: filters on it are not pushed ahead of the parser, where they would parse again
     blank = F.coalesce(F.trim("xml"), F.lit("")) == ""
     problem = F.when(blank, "empty").when(F.col("s._bad").isNotNull(), "malformed").when(F.regexp_extract("xml", _ROOT, 1) != "testsuite", "wrong root")
     package, dotted = F.regexp_extract("s._name", r"^(.*)\.[^.]*$", 1), F.col("s._name").contains(".")
@@ -129,7 +129,8 @@ def suite_problems(xml: DataFrame) -> DataFrame:
 
 def suite_cases(xml: DataFrame) -> DataFrame:
     """``package, classname, name, seconds, status, message`` of each test case: passed, failure or error."""
-    cases = _suites(xml).where("problem is null").select("package", "classname", F.explode("s.testcase").alias("c"))
+    # no filter and no inner explode ahead of the cases: Spark would parse each document once more for every such test
+    cases = _suites(xml).select("package", "classname", F.explode_outer(F.when(F.col("problem").isNull(), F.col("s.testcase"))).alias("c")).where("c is not null")
     status = F.when(F.col("c.error").isNotNull(), "error").when(F.col("c.failure").isNotNull(), "failure").otherwise("passed")
     told = F.coalesce("c.error", "c.failure")
     return cases.select("package", "classname", F.col("c._name").alias("name"), F.col("c._time").try_cast("double").alias("seconds"), status.alias("status"), F.coalesce(told["_message"], told["_VALUE"]).alias("message"))

@@ -101,6 +101,13 @@ def test_suites_as_xml(spark):
     assert cases == {("C", "t&1", "passed", None), ("C", "t2", "failure", "x < A"), ("C", "t3", "error", None), ("one", "t", "failure", "said")}
 
 
+def test_a_suite_is_parsed_once(spark):
+    """No filter and no test of whether a document has cases stands ahead of the parser: it would parse the document again."""
+    xml = spark.range(3).select(F.concat(F.lit("<testsuite name='s"), F.col("id").cast("string"), F.lit("'/>")).alias("xml"))
+    for read in (S.suite_cases, S.read_suites, S.suite_problems):
+        assert read(xml)._jdf.queryExecution().optimizedPlan().toString().lower().count("from_xml") == 1
+
+
 def test_one_log_in_ranges_equals_the_whole_text(spark):
     rng, text = random.Random(3), "header\n"
     for f in range(12):
@@ -130,6 +137,7 @@ def test_levels_against_a_stack(spark):
     assert R.infer_levels(df.limit(0)).count() == 0
 
 
+
 def test_trees_are_of_files_of_bounded_size(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
     sources = P.files(spark, d).select("release", (F.col("o_orderkey") % 10).alias("k"), F.length("text").alias("n")).collect()
