@@ -62,7 +62,7 @@ def carry_forward(rows: DataFrame, keys: list[str], order: list[str], values: di
     if not values:
         return rows
     turned = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
-    ranged = cut(rows.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(*keys, *turned).withColumn("_part", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(*keys, *turned).withColumn("_part", F.spark_partition_id())).withColumns({f"_v_{k}": v for k, v in values.items()})
     inside = Window.partitionBy("_part", *keys).orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0 if upto_here else -1)
     at = F.struct(*order)
     last = (lambda c: F.min_by(c, F.when(c.isNotNull(), at))) if backward else (lambda c: F.max_by(c, F.when(c.isNotNull(), at)))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from codequarry import shared
 from codequarry.operators import reports as R
 from codequarry.operators import snapshots as V
 from codequarry.plans import metrics as P
@@ -137,6 +138,13 @@ def test_levels_against_a_stack(spark):
     assert R.infer_levels(df.limit(0)).count() == 0
 
 
+def test_levels_write_no_more_than_the_outline(spark, monkeypatch):
+    """What each element carries is worked out behind the ranges, so that it is neither dealt nor written."""
+    written = []
+    monkeypatch.setattr(shared, "cut", lambda df, _cut=shared.cut: written.append(df.columns) or _cut(df))
+    df = spark.createDataFrame([("log", 0, 0, "a"), ("log", 1, 1, "F.java")], "log string, line_no long, indent int, name string")
+    assert R.infer_levels(df).count() == 2 and written == [["log", "line_no", "indent", "name", "_part"]]
+
 
 def test_trees_are_of_files_of_bounded_size(spark, monkeypatch):
     d = "/root/testdata/sf0.001"
