@@ -296,7 +296,8 @@ def problems(files: DataFrame) -> DataFrame:
 
 def diagnostics(files: DataFrame) -> DataFrame:
     """``path, problem`` of files that do not parse; others are absent."""
-    return problems(files).where("problem is not null")
+    # a filter on an exploded column is not pushed ahead of it, where it would mask each text again
+    return problems(files).select("path", F.explode_outer(F.array("problem")).alias("problem")).where("problem is not null")
 
 
 def dependency_edges(files: DataFrame) -> DataFrame:

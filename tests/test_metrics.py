@@ -227,3 +227,10 @@ def test_pieces_are_few_and_hold_all_counts(spark):
     kept = [c for c in D.types(f).columns if c not in D.COMPLEXITY]
     assert D.types(f, complexity=False).columns == kept
     assert sorted(map(str, D.types(f, complexity=False).collect())) == sorted(map(str, D.types(f).select(kept).collect()))
+
+
+def test_diagnostics_mask_once(spark):
+    f = spark.range(3).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("class A {"), F.col("id").cast("string")).alias("text"))
+    plan = _plan(D.diagnostics(f))
+    assert plan.count(D.HIDDEN) == 1 and plan.count(D.OPEN_COMMENT) == 1
+    assert {r["problem"] for r in D.diagnostics(f).collect()} == {"unbalanced braces"}
