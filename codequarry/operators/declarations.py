@@ -1,7 +1,7 @@
 """Declarations in Java source text: mask, cut at braces, track scopes, name types.
 
-A file's text is one row, so all that is told of it is told where it is read: Spark cuts and judges the pieces, and what
-runs along a file (depths, lines, what encloses what) is worked out over batches of whole files.  Nothing is shuffled.
+A file's text is one row, so all that is told of it is told where it is read: Spark masks it, pieces are cut and judged
+over batches of whole files, as is what runs along a file (depths, lines, what encloses what).  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import code_lines, physical_lines
+from .cutting import ANNOTATION, BARE, BLOCK, BODY, CLASS, ENUM, LEAD, METHOD, chunks, cut
 
 LITERAL = r'"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\''  # possessive here and below: long texts do not recurse
 #: A literal, a line comment, or one line of a block comment; a further line of it begins where the one before ended.  All
@@ -36,7 +37,6 @@ def _balanced(depth: int) -> str:
 
 #: Statements without parentheses declare nothing: those that follow each other are one piece, with a brace that closes behind them.
 PIECE = r"(?:[^{};()]*+;)++(?:\s*+\})?+|(?:[^{};()]++|" + _balanced(NESTED) + r")*+[{};()]"
-LEAD = r"^\s*+(?:@(?!interface\b)[\w.]++\s*+(?:\((?:[^()]++|\([^()]*+\))*+\)\s*+)?+)*+"
 TYPE = r"^[^(=]*?(@interface|\bclass|\binterface|\benum)\s++(\w++)[^(=]*+(?<=\{)$"
 CALL = r"^[^=({};]*?(?<![\w.])(\w++)\s*+\("
 SIGNATURE_END = r"\)[^={()]*+\{?+$"
@@ -45,10 +45,6 @@ STATEMENT = r"^(?:return|throw|new|assert|super|this|else)\b"
 CREATION = r"\bnew\s++[\w.$<>?,\s\[\]&]*+\("
 BRANCHES = r"(?=[ifwc])\b(?:if|for|while|case|catch)\b|&&|\|\||\?(?!\s*(?:extends\b|super\b|[>,]))"
 BRANCH_WORDS = ("if", "for", "while", "ca", "&&", "||", "?")  # no branch without one of them
-#: kinds of an opening brace: a class or interface, an enum, an annotation, a body without a name (anonymous class, constant), a method, anything else
-CLASS, ENUM, ANNOTATION, BODY, METHOD, BLOCK = "C", "E", "A", "N", "M", "B"
-#: only until the piece before is known: a name, or a call, without a type before it
-BARE = "T"
 
 
 def masked(text: Column) -> Column:
@@ -60,21 +56,28 @@ def _newlines(c: Column) -> Column:
     return F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))  # bytes: no code points are counted
 
 
+def _code(files: DataFrame, carry: str | None) -> DataFrame:
+    """``path, pkg, code`` and ``_carried``: masked texts with their packages."""
+    kept = ["_carried"] if carry else []
+    code = files.select("path", *([F.col(carry).alias("_carried")] if carry else []), masked(F.col("text")).alias("code"))
+    return code.select("path", F.regexp_extract("code", r"(?:^|[;\s])package\s++([\w.]++)\s*+;", 1).alias("pkg"), "code", *kept)
+
+
 def pieces(files: DataFrame, carry: str | None = None, complexity: bool = True) -> DataFrame:
     """``said, told, more``: the text between braces and statement ends, a row for each piece, as few columns as can be.
 
     A piece ends at a brace, at ``;`` outside parentheses, or at a parenthesis that holds a body.  A file's pieces are
     rows that follow each other; the first has ``_carried``, the column ``carry``.  said is the piece's name, in the first
     of a file ``name package path``; told packs lines and branches, more the leading lines, the kind (0: it declares
-    nothing) and flags, as ``_unpacked`` reads them.  Each column costs time for each row on its way to Python.  Without
-    ``complexity`` no branches are counted.
+    nothing) and flags, as ``unpacked`` reads them.  Without ``complexity`` no branches are counted.  ``declarations``
+    cuts the same pieces from bytes, several times as fast; these are for those who want pieces as rows, and say by
+    regular expressions what a piece is.
 
     The outer explode keeps Spark from testing ahead of it whether a text has pieces, which would mask and cut each text
     once more for every such test; a text without pieces is left out behind it.
     """
     kept = ["_carried"] if carry else []
-    code = files.select("path", *([F.col(carry).alias("_carried")] if carry else []), masked(F.col("text")).alias("code"))
-    code = code.select("path", *kept, F.regexp_extract("code", r"(?:^|[;\s])package\s++([\w.]++)\s*+;", 1).alias("pkg"), F.regexp_extract_all("code", F.lit(PIECE), F.lit(0)).alias("cut"))
+    code = _code(files, carry).select("path", "pkg", *kept, F.regexp_extract_all("code", F.lit(PIECE), F.lit(0)).alias("cut"))
     cut = code.select("path", "pkg", *kept, F.posexplode_outer("cut").alias("stmt", "text")).where("stmt is not null")
     opener, closer, calls = F.endswith("text", F.lit("{")), F.endswith("text", F.lit("}")), F.col("text").contains("(")
     told = opener | (F.endswith("text", F.lit(";")) & calls)  # nothing else declares anything
@@ -106,7 +109,7 @@ def pieces(files: DataFrame, carry: str | None = None, complexity: bool = True)
     return cut.select(F.when(first, begins).otherwise(name).alias("said"), packed.alias("told"), more.cast("long").alias("more"), *[F.when(first, F.col(c)).alias(c) for c in kept])
 
 
-def _unpacked(t: pa.Table) -> tuple:
+def unpacked(t: pa.Table) -> tuple:
     """``start, paths, pkgs`` of the files among the pieces, and ``name, step, kind, typed, public, lines, lead, branches`` of each piece."""
     told, more = (t[c].combine_chunks().to_numpy() for c in ("told", "more"))
     start, said = np.flatnonzero(more & 1), t["said"].combine_chunks()
@@ -145,9 +148,8 @@ def _following(*keys: np.ndarray) -> np.ndarray:
 FOUND = "path string, pkg string, stmt int, kind string, name string, outer string, is_public boolean, before long, first_line int, last_line int, npm long, methods long, cc long, own_wmc long, own_max long, own_n long"
 
 
-def _declared(t: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
-    """The declarations among the pieces of whole files, and which of the files each is of."""
-    start, paths, pkgs, name, step, kind, typed, public, lines, lead, branches = _unpacked(t)
+def declared(start, paths, pkgs, name, step, kind, typed, public, lines, lead, branches) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The declarations among the pieces of whole files, and which of the files each is of.  Takes what ``unpacked`` gives."""
     begin = np.zeros(len(step), bool)
     begin[start] = True
     file = np.cumsum(begin) - 1
@@ -209,32 +211,28 @@ def _declared(t: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
 SCHEMA = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for c, t in (f.split() for f in FOUND.split(", "))])
 
 
-def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """A partition's pieces in tables of whole files; the last file of a batch waits for its end."""
-    held: list[pa.RecordBatch] = []
+def _found(batches: Iterator[pa.RecordBatch], complexity: bool) -> Iterator[tuple]:
+    """Files with pieces, their declarations, and which of the files each declaration is of."""
     for batch in batches:
-        begun = np.flatnonzero(batch["more"].to_numpy() & 1)
-        if len(begun):
-            if len(done := pa.Table.from_batches([*held, batch.slice(0, begun[-1])], batch.schema)):
-                yield done
-            held, batch = [], batch.slice(begun[-1])
-        held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
+        for part in chunks(batch):
+            start, files, *told = cut(part["code"], complexity)
+            if len(start):
+                held = part.drop_columns(["code"]).take(pa.array(files))
+                yield held, *declared(start, held["path"], held["pkg"], *told)
+
 
+def _rows(complexity: bool):
+    return lambda batches: (found for _, found, _ in _found(batches, complexity))
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (_declared(t)[0] for t in _whole_files(batches))
 
+def _by_file(complexity: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a file carries once, with the list of its declarations."""
+        for files, found, file in _found(batches, complexity):
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(file, np.arange(len(files) + 1)), pa.int32()), found.to_struct_array())
+            yield pa.RecordBatch.from_arrays([files["_carried"], lists], names=["carried", "found"])
 
-def _by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a file carries, the last column, once, with the list of its declarations."""
-    for t in _whole_files(batches):
-        found, file = _declared(t)
-        first = pa.array(np.flatnonzero(t["more"].to_numpy() & 1))
-        carried = t.column(t.num_columns - 1).take(first).combine_chunks()
-        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(file, np.arange(len(first) + 1)), pa.int32()), found.to_struct_array())
-        yield pa.RecordBatch.from_arrays([carried, lists], names=["carried", "found"])
+    return run
 
 
 COMPLEXITY = ("cc", "own_wmc", "own_max")
@@ -253,9 +251,9 @@ def declarations(files: DataFrame, carry: str | None = None, complexity: bool =
     """
     unknown = () if complexity else COMPLEXITY
     if carry is None:
-        return pieces(files, None, complexity).mapInArrow(_rows, FOUND).drop(*unknown)
+        return _code(files, None).mapInArrow(_rows(complexity), FOUND).drop(*unknown)
     found = ", ".join(f.replace(" ", ": ", 1) for f in FOUND.split(", "))
-    by_file = pieces(files, carry, complexity).mapInArrow(_by_file, f"carried string, found array<struct<{found}>>")
+    by_file = _code(files, carry).mapInArrow(_by_file(complexity), f"carried string, found array<struct<{found}>>")
     return by_file.select(F.col("carried").alias(carry), F.inline("found")).drop(*unknown)
 
 
