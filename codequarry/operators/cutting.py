@@ -178,12 +178,59 @@ def _judged(heads: pa.Array, opener: np.ndarray, calls: np.ndarray) -> tuple:
     return kind, name, bare, public
 
 
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes with blanks behind them, and where each text begins and the last ends; null texts are empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    text = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
+    return np.append(text, np.full(16, 32, np.uint8)), offset - offset[0]
+
+
+def _solid(blank: np.ndarray):
+    """Of places in a text that ends in blanks, the first one from there on that is not blank; one behind the text if none is."""
+    begins = np.append(np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, len(blank) - 9)
+    return lambda p: np.where(blank[p], begins[np.searchsorted(begins, p)], p)
+
+
+def code_lines(texts: pa.Array, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Lines of code from the line ``first`` to ``last`` of text ``of``, as ``functions.lines.code_lines`` counts them.
+
+    A line opens a comment, closes one or leaves all as it is; so whether a line is in a comment is told by the last one
+    before that opens or closes.  Ranges begin outside: up to the first such line nothing is in a comment.
+    """
+    text, offset = _bytes(texts)
+    ends_of_line = np.flatnonzero(text == NEWLINE)
+    before = np.searchsorted(ends_of_line, offset)
+    line = before[:-1] + np.arange(len(texts))  # the first line of each text
+    place = np.arange(len(ends_of_line)) + np.repeat(np.arange(len(texts)), np.diff(before))
+    n = len(ends_of_line) + len(texts)
+    start, end = np.empty(n, np.int64), np.empty(n, np.int64)
+    start[line], start[place + 1], end[place], end[np.append(line[1:], n) - 1] = offset[:-1], ends_of_line + 1, ends_of_line, offset[1:]
+    solid = _solid(text <= 32)
+    pair = lambda p, a, b: (text[p] == ord(a)) & (text[p + 1] == ord(b)) & (p + 1 < end)
+    begin = solid(start)
+    empty = begin >= end
+    closing = np.flatnonzero((text[:-1] == ord("*")) & (text[1:] == ord("/")))
+    close = np.append(closing, len(text) - 12)[np.searchsorted(closing, begin)]
+    closed = ~empty & (close + 1 < end)
+    rest = solid(close + 2)
+    after = closed & (rest < end) & ~pair(rest, "/", "/") & ~pair(rest, "/", "*")
+    block = ~empty & pair(begin, "/", "*")
+    outside = np.where(block, after, ~empty & ~pair(begin, "/", "/") & (text[begin] != ord("*")))
+    opened = block & ~closed
+    told = np.flatnonzero(opened | closed)
+    latest = np.append(-1, told)[np.searchsorted(told, np.arange(n))]  # the last line before that opens or closes
+    inside = (latest >= np.repeat(line, np.diff(np.append(line, n)))) & opened[latest]
+    plain, all_ = (np.append(0, np.cumsum(c)) for c in (outside, np.where(inside, after, outside)))
+    a = line[of] + first - 1
+    b = np.maximum(a, np.minimum(line[of] + last, np.append(line[1:], n)[of]))
+    k = np.minimum(np.append(told, n)[np.searchsorted(told, a)] + 1, b)
+    return plain[k] - plain[a] + all_[b] - all_[k]
+
+
 def cut(code: pa.Array, complexity: bool) -> tuple:
     """``start, file, name, step, kind, typed, public, lines, lead, branches``: the first piece of each file that has any, which file that is, and what is told of each piece."""
-    code = code.cast(pa.large_string()).fill_null("")
-    offset = np.frombuffer(code.buffers()[1], np.int64)[code.offset : code.offset + len(code) + 1]
-    text = np.frombuffer(code.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]
-    text, offset = np.append(text, np.full(16, 32, np.uint8)), offset - offset[0]
+    text, offset = _bytes(code)
     at = np.flatnonzero(MARK[text])
     mark, file = text[at], np.repeat(np.arange(len(code)), np.diff(np.searchsorted(at, offset)))
     first, last = _closed(file, mark)
@@ -202,9 +249,7 @@ def cut(code: pa.Array, complexity: bool) -> tuple:
     new = np.append(True, file[1:] != file[:-1])[: len(end)]
     before = np.where(new, begin_mark[file] - 1, np.append(-1, end[:-1])[: len(end)])
     start = np.where(new, offset[file], np.append(0, where[:-1] + 1)[: len(end)])
-    blank = BLANK[text]
-    words = np.append(np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, len(text) - 1)
-    next_word = lambda p: np.where(blank[p], words[np.searchsorted(words, p)], p)
+    next_word = _solid(BLANK[text])
     calls = end - before > 1
     plain = (mark == END) & ~calls
     behind = ~new & np.append(False, plain[:-1])[: len(end)]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import code_lines, physical_lines
 from .cutting import ANNOTATION, BARE, BLOCK, BODY, CLASS, ENUM, LEAD, METHOD, chunks, cut
+from .cutting import code_lines as lines_of_code
 
 LITERAL = r'"(?:[^"\\\n]++|\\.)*+"|\'(?:[^\'\\\n]++|\\.)*+\''  # possessive here and below: long texts do not recurse
 #: A literal, a line comment, or one line of a block comment; a further line of it begins where the one before ended.  All
@@ -235,6 +236,16 @@ def _by_file(complexity: bool):
     return run
 
 
+def _with_loc(complexity: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The declarations with the code lines of what each holds; files carry their texts."""
+        for files, found, file in _found(batches, complexity):
+            loc = lines_of_code(files["_carried"], file, found["first_line"].to_numpy(), found["last_line"].to_numpy())
+            yield found.append_column("loc", pa.array(loc, pa.int64()))
+
+    return run
+
+
 COMPLEXITY = ("cc", "own_wmc", "own_max")
 
 
@@ -262,7 +273,11 @@ def types(files: DataFrame, carry: str | None = None, complexity: bool = True) -
 
     A nested type is named by its immediate outer type: ``pkg.Outer$Inner``.
     """
-    t = declarations(files, carry, complexity).where("kind = 'type'")
+    return _named(declarations(files, carry, complexity))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    t = found.where("kind = 'type'")
     local = F.when(F.col("outer").isNotNull(), F.concat("outer", F.lit("$"), "name")).otherwise(F.col("name"))
     return t.withColumn("simple", F.col("name")).withColumn("name", F.when(F.col("pkg") != "", F.concat("pkg", F.lit("."), local)).otherwise(local))
 
@@ -274,7 +289,10 @@ def counts_by_file(found: DataFrame) -> DataFrame:
 
 def loc_by_type(files: DataFrame, found: DataFrame | None = None, complexity: bool = True) -> DataFrame:
     """Types with ``loc``: code lines from the declaration to its closing brace, nested types included."""
-    rows = types(files, "text", complexity) if found is None else found.join(files.select("path", "text"), "path")
+    if found is None:
+        rows = _named(_code(files, "text").mapInArrow(_with_loc(complexity), f"{FOUND}, loc long").drop(*(() if complexity else COMPLEXITY)))
+        return rows.select(*[c for c in rows.columns if c != "loc"], "loc")
+    rows = found.join(files.select("path", "text"), "path")
     lines = F.slice(physical_lines(F.col("text")), F.col("first_line"), F.greatest(F.lit(0), F.col("last_line") - F.col("first_line") + 1))
     return rows.withColumn("loc", code_lines(lines).cast("long")).drop("text")
 

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from codequarry.functions.lines import code_lines, physical_lines
 from codequarry.operators import cutting
 from codequarry.operators import declarations as D
 
@@ -26,6 +28,28 @@ def test_bytes_are_cut_as_the_regular_expressions_say(spark):
     f.unpersist()
 
 
+def test_code_lines_of_ranges_against_the_fold(spark):
+    rng = random.Random(3)
+    parts = ["/*", "*/", "//", "/", "*", "\n", "\n", "\n", "x", " ", "\t", "\x01", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2500)]
+    rows = []
+    for t in texts:
+        first = rng.randint(1, t.count("\n") + 1)
+        rows.append((len(rows), t, first, rng.randint(first - 1, t.count("\n") + 2)))
+    f = spark.createDataFrame(rows, "i int, text string, a int, b int")
+    fold = code_lines(F.slice(physical_lines(F.col("text")), F.col("a"), F.greatest(F.lit(0), F.col("b") - F.col("a") + 1)))
+    want = [r[0] for r in f.orderBy("i").select(fold).collect()]
+    got = cutting.code_lines(pa.array(texts), np.arange(len(texts)), *(np.array([r[k] for r in rows]) for k in (2, 3)))
+    assert got.tolist() == want and max(want) > 3
+
+
+def test_types_with_lines_carry_no_text_back(spark):
+    f = spark.createDataFrame([("a", "class A {\n /* x\n */ int a;\n class B {\n }\n}\n"), ("b", None)], "path string, text string")
+    plan = D.loc_by_type(f)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "Generate" not in plan
+    assert {r["name"]: r["loc"] for r in D.loc_by_type(f).collect()} == {"A": 5, "A$B": 2}
+
+
 def test_declarations_send_no_row_for_each_piece(spark):
     """A text is one row on its way to Python, whatever it holds, and is masked once."""
     f = spark.range(3).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("class A { int a() { if (b) c(); } }"), F.col("id").cast("string")).alias("text"))
