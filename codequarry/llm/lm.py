@@ -24,10 +24,12 @@ ITEMS, BUCKETS = 61_440, 4096  # words with an output of their own at most; rows
 SINGLE, LARGEST, EQUAL = 64, 640, 96  # words that are a class alone; words of a class at most; share of a class
 DIM, CONTEXT, CLASS_NOISE, WORD_NOISE = 16, 4, 32, 3
 BLOCK = 512  # tokens of one matrix product; its scores stay in the processor's cache
+PREDICTED = 4096  # tokens whose contexts are added at a time; they stay in the processor's cache
 START, COPY = (2048, 0.1, 0.1), (4096, 0.06, 1.0)  # tokens of a batch, step size, first sum of squares, of the start and of the copies
 REST, STOP = 0, 1  # items: all words without an output of their own; the end of a text
 FAN_IN = 32  # copies of a part of the model that one task averages
 CHUNK = 4096  # rows of the model in a part
+SCORED = 1_000_000  # characters that are scored at a time, in whole texts: enough words of each class for its product to pay
 
 
 def _token_counts(batches):
@@ -116,9 +118,12 @@ class LogBilinear:
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         q = np.ones((len(contexts), DIM + 1), np.float32)
-        q[:, :DIM] = self.context[contexts[:, 0]] * self.place[0]
-        for i in range(1, CONTEXT):
-            q[:, :DIM] += self.context[contexts[:, i]] * self.place[i]
+        for at in range(0, len(q), PREDICTED):
+            part = contexts[at : at + PREDICTED]
+            total = self.context[part[:, 0]] * self.place[0]
+            for i in range(1, CONTEXT):
+                total += self.context[part[:, i]] * self.place[i]
+            q[at : at + PREDICTED, :DIM] = total
         return q
 
     def log_probabilities(self, words: Lexicon, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -294,22 +299,30 @@ def fit(training: DataFrame, lexicon: Lexicon, sample_docs: int = 2000) -> LogBi
     return _averaged(model, training.select("text").mapInArrow(_train_task(words, spark.sparkContext.broadcast(model), *COPY), COPIES))
 
 
+def _groups(texts: list[str | None]):
+    """Ranges of texts that begin within the same SCORED characters."""
+    sizes = np.array([len(t or "") + 1 for t in texts])
+    of = (np.cumsum(sizes) - sizes) // SCORED
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(texts)]
+    return zip(cuts, cuts[1:]) if texts else ()
+
+
 def _score_task(lexicon, model):
     def run(batches):
         words, lbl = lexicon.value, model.value
         scale, rest = np.log(10), np.log10(words.unigram[REST])
         for b in batches:
             uids, ids, texts = (b.column(k).to_pylist() for k in range(3))
-            for first in range(0, len(texts), 64):
-                lengths, flat, at, there, item, contexts = _tokens(texts[first : first + 64], words)
+            for first, last in _groups(texts):
+                lengths, flat, at, there, item, contexts = _tokens(texts[first:last], words)
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 base = np.where(there, words.log_base[at], 0.0) if len(words.log_base) else np.zeros(len(flat))
                 score = lbl.log_probabilities(words, contexts, item) / scale
                 score += np.where(item == REST, base - rest, 0.0)
                 sums = [np.bincount(owner, x, len(lengths)) for x in (base, score, there)]
-                uid = np.array(uids[first : first + 64], np.int64)
+                uid = np.array(uids[first:last], np.int64)
                 none = pa.nulls(len(uid), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids[first : first + 64], pa.int64()), none, pa.array(lengths.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids[first:last], pa.int64()), none, pa.array(lengths.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], NAMES)
                 if not there.all():
                     pairs, n = _pairs(owner[~there], flat[~there])
                     zeros = pa.array(np.zeros(len(n)))
