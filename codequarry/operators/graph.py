@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import new_path
 
 ROUNDS = 1000  # the greatest depth of a closure
 SHALLOW = 4  # levels that are taken one by one before ways of 2, 4, 8 ... edges are laid
@@ -15,6 +15,17 @@ CORE = 1 << 18  # edges that are left to doubling when chains are contracted
 WIDE = 16  # ways of a length are laid while they are at most so many times the edges
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends, and Spark plans by the size that it has.
+
+    A checkpoint keeps the size that Spark expected, for a join the product of both sides'.  In rounds that join what the
+    round before joined, that number's digits double each time, until it fills the driver's memory by itself.
+    """
+    path = new_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _squares(edges: DataFrame, longest: int, bound: int | None = None) -> Iterator[tuple[int, DataFrame | None]]:
     """``(length, ways)``: pairs ``(src, dst)`` joined by a way of exactly 1, 2, 4 ... edges, up to ``longest`` edges.
 

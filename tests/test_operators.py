@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,3 +284,18 @@ def test_work_on_a_deep_chain_goes_with_its_length(spark, monkeypatch):
     monkeypatch.setattr(G, "cut", counted)
     assert tuple(G.inheritance(spark.range(4_000).selectExpr("id + 1 as src", "id as dst")).agg(F.count(F.lit(1)), F.max("dit")).first()) == (4_001, 4_000)
     assert sum(kept) < 15 * 4_000  # doubling alone keeps more than 24 times the nodes
+
+
+def test_rounds_over_a_deep_chain_are_planned_by_their_real_size(spark, monkeypatch, capsys):
+    sizes, cut = [], G.cut
+    monkeypatch.setattr(G, "CORE", 100)
+
+    def seen(df):
+        out = cut(df)
+        out.explain(mode="cost")
+        sizes.extend(re.findall(r"sizeInBytes=([^,)]+)", capsys.readouterr().out))
+        return out
+
+    monkeypatch.setattr(G, "cut", seen)
+    assert tuple(G.inheritance(spark.range(400).selectExpr("id + 1 as src", "id as dst")).agg(F.count(F.lit(1)), F.max("dit")).first()) == (401, 400)
+    assert len(sizes) > 20 and all(re.fullmatch(r"[\d.]+ (B|KiB)", size) for size in sizes)  # a product of both sides of each join has thousands of digits
